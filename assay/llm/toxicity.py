@@ -31,6 +31,7 @@ SAMPLE = 20_000
 #: Features of the model at most.
 FEATURES = 1_500
 MIN_TEXTS = 4
+RIDGE = 0.1
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers the features of; without influence on results.
 MEMORY = 500_000
@@ -101,45 +102,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit_weights(rows: list[list[int]], y: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, fairness: float, ridge: float = 0.01, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent. rows: the features of each text; changes: those that a swap
-    adds and takes away. The penalty is fairness times the mean of the squared logit changes."""
-    which = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    c_which = np.concatenate([np.asarray([*a, *b], np.int64) for a, b in changes]) if changes else np.zeros(0, np.int64)
-    c_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in changes]) if changes else np.zeros(0)
-    c_of = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes])
-    most = max((len(r) for r in rows), default=0) + 1
-    widest = max((len(a) + len(b) for a, b in changes), default=0)
-    rate = 1 / (most / 4 + ridge + 2 * fairness * widest)
-    w, b = np.zeros(n), float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
-    w_at, b_at, t = w, b, 1.0
-    boost = 8.0  # few texts hold many features: try steps far over the bound, and fall back when the loss rises
-    last = np.inf
+def fit_weights(rows: list[list[int]], y: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, fairness: float, ridge: float = 0.01, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton's method. rows: the features of each text; changes: those that a swap adds and takes
+    away. The penalty is fairness times the mean of the squared logit changes; ridge is per text, on the weights only."""
+    m = len(y)
+    parts = [(rows[i : i + 2000], y[i : i + 2000]) for i in range(0, m, 2000)]
+
+    def dense(part: list[list[int]]) -> np.ndarray:
+        x = np.zeros((len(part), n + 1), np.float32)
+        for i, r in enumerate(part):
+            x[i, r] = 1
+        x[:, n] = 1
+        return x
+
+    penalty = np.diag(np.r_[np.full(n, ridge / m), 1e-9])
+    for a, b in changes:
+        at, sign = np.r_[a, b].astype(np.int64), np.r_[np.ones(len(a)), -np.ones(len(b))]
+        penalty[np.ix_(at, at)] += 2 * fairness / len(changes) * np.outer(sign, sign)
+
+    def loss(w: np.ndarray) -> float:
+        return sum(float((np.logaddexp(0, z := dense(r) @ w) - t * z).sum()) for r, t in parts) / m + w @ penalty @ w / 2
+
+    w = np.zeros(n + 1)
+    w[n] = np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))
+    now = loss(w)
     for _ in range(steps):
-        z = b_at + np.bincount(of, w_at[which], len(rows))
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        change = np.bincount(c_of, c_sign * w_at[c_which], len(changes)) if changes else np.zeros(0)
-        loss = np.mean(np.logaddexp(0, z) - y * z) + ridge / len(y) * (w_at @ w_at) / 2 + (fairness * np.mean(change**2) if len(change) else 0)
-        if loss > last + 1e-12:
-            boost, t, w_at, b_at, last = max(boost / 2, 1.0), 1.0, w, b, np.inf
-            continue
-        last = loss
-        g = np.bincount(which, (p - y)[of], n) / len(y) + ridge / len(y) * w_at
-        if changes:
-            g += 2 * fairness * np.bincount(c_which, c_sign * change[c_of], n) / len(changes)
-        w_new, b_new = w_at - boost * rate * g, b_at - boost * rate * float(np.mean(p - y))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        w_at, b_at = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
-        w, b, t = w_new, b_new, t_new
-    return w, b
+        gradient, curvature = penalty @ w, penalty.copy()
+        for r, t in parts:
+            x = dense(r)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            gradient += x.T @ (p - t) / m
+            curvature += (x.T * np.float32(1 / m) * (p * (1 - p)).astype(np.float32)) @ x
+        step = np.linalg.solve(curvature + 1e-9 * np.eye(n + 1), gradient)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        done = now - new < 1e-10
+        if new < now:
+            w, now = w - size * step, new
+        if done:
+            break
+    return w[:n], float(w[n])
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, fairness: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, fairness: float = 1.0, ridge: float = RIDGE) -> Model:
     """A model learned from the labelled rows that aren't held out."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~is_held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -189,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = train.mapInArrow(vectors, "y int, has array<int>, plus array<array<int>>, minus array<array<int>>").collect()
     rows.sort(key=lambda r: (r["has"], r["y"]))
     changes = [(a, b) for r in rows for a, b in zip(r["plus"], r["minus"], strict=True)]
-    w, b = fit_weights([r["has"] for r in rows], np.array([r["y"] for r in rows], float), changes, len(index), fairness)
+    w, b = fit_weights([r["has"] for r in rows], np.array([r["y"] for r in rows], float), changes, len(index), fairness, ridge)
     return Model({f: i for f, i in index.items() if w[i] != 0}, w, b)
 
 
