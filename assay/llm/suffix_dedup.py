@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_blocks, text_or_empty, xxh64_spans
 
 LENGTH = 200
-ANCHOR = 50
+ANCHOR = 64
 #: Different surroundings of an anchor that one task compares.
 LONG = 2000
 #: Surroundings that are sorted at once.
@@ -70,24 +70,20 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
-    """For each run of width values the place of its first smallest one."""
-    n = len(x) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low, at, size = x, np.arange(len(x)), 1
+def slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """np.minimum or np.maximum over each run of width values."""
+    size = 1
     while size < width:
         shift = min(size, width - size)
-        a, b = low[: len(low) - shift], low[shift:]
-        right = b < a
-        low = np.where(right, b, a)
-        at = np.where(right, at[shift:], at[: len(at) - shift])
+        x = pick(x[: len(x) - shift], x[shift:])
         size += shift
-    return at[:n]
+    return x
 
 
 def anchors(texts: list[bytes], length: int, size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of texts as (bytes of all of them, where each begins and the last ends, text, place in the block, hash)."""
+    """Blocks of texts as (bytes of all of them, where each begins and the last ends, text, place in the block, hash).
+
+    An anchor has the smallest hash in some window of its text; ties all are anchors."""
     width = length - size + 1
     for a, b in text_blocks(texts, PART):
         data = b"".join(texts[a:b])
@@ -95,15 +91,18 @@ def anchors(texts: list[bytes], length: int, size: int) -> Iterator[tuple[bytes,
         raw, places, hashes = np.frombuffer(data, np.uint8), [], []
         for lo in range(0, max(len(raw) - length + 1, 0), PART):
             h = gram_hashes(raw[lo : lo + PART + length - 1], size)
-            low = leftmost_minima(h, width)
-            begin = np.arange(lo, lo + len(low))
-            row = np.searchsorted(start, begin, "right") - 1
-            at = np.unique(low[begin + length <= start[row + 1]])  # windows that end in another text don't count
+            short = (h >> np.uint64(32)).astype(np.uint32)
+            low = slide(short, width, np.minimum)
+            for e in start[np.searchsorted(start, lo + 1) : np.searchsorted(start, lo + len(low) + length)].tolist():
+                low[max(e - length + 1 - lo, 0) : max(e - lo, 0)] = 0  # windows over the end of a text
+            edge = np.zeros(width - 1, np.uint32)
+            at = np.flatnonzero(slide(np.concatenate([edge, low, edge]), width, np.maximum) == short)
             places.append(at + lo)
             hashes.append(h[at])
         if places:
             at, first = np.unique(np.concatenate(places), return_index=True)
-            yield data, start, a + np.searchsorted(start, at, "right") - 1, at, np.concatenate(hashes)[first]
+            if len(at):
+                yield data, start, a + np.searchsorted(start, at, "right") - 1, at, np.concatenate(hashes)[first]
 
 
 def surroundings(data: bytes, begin: np.ndarray, end: np.ndarray, places: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,36 +189,41 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "c", "k1", "k2", "p"])
 
     found = rows.select("text").mapInArrow(find, "h long, c long, k1 long, k2 long, p int")
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("rep"))
-    shared = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("h", "kinds")
-    keep = cut(kinds.join(shared, "h"))
+    by_kind = Window.partitionBy("h", "c")
+    by_anchor = Window.partitionBy("h")
+    dealt = found.repartition("h")  # one exchange serves all windows
+    seen = dealt.withColumn("n", F.count("*").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "p")))
+    seen = seen.withColumn("total", F.count("*").over(by_anchor)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(by_anchor)).where("total > 1")
     # one string stands for all equal surroundings of an anchor; it is compared if there are others
-    whole = found.join(keep.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", F.greatest(F.col("p") - lead, F.lit(0)).alias("s"), (F.col("p") + length).alias("e"))
-    open_ = keep.where("kinds > 1").select("rep.*", "h", (F.col("kinds") > LONG).alias("hot"))
-    asked = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "h", "hot")).alias("at"))
+    asks = (F.col("nth") == 1) & (F.col("kinds") > 1)
+    marks = seen.select("k1", "k2", F.when(F.col("n") > 1, F.col("p")).alias("p"), F.when(asks, F.struct("p", "h", (F.col("kinds") > LONG).alias("hot"))).alias("ask"))
+    marked = cut(marks.where("p IS NOT NULL OR ask IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"), F.collect_list("ask").alias("ask")))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = zstandard.decompress(batch.column("z")[i].as_py())
-                k1, k2 = batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()
-                at = batch.column("at")[i].as_py()
-                p = np.array([x["p"] for x in at], np.int64)
-                low, high = np.maximum(p - lead, 0), np.minimum(p + length, len(text))
-                cold = [j for j, x in enumerate(at) if not x["hot"]]
-                columns = [[at[j]["h"] for j in cold], [0] * len(cold), [k1] * len(cold), [k2] * len(cold), [at[j]["p"] for j in cold], [int(at[j]["p"] - low[j]) for j in cold], [text[low[j] : high[j]] for j in cold]]
-                starts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(low[j], high[j] - length + 1) for j, x in enumerate(at) if x["hot"])]))
-                if len(starts):  # windows around anchors with very many surroundings, by a 128-bit hash
-                    size_ = np.full(len(starts), length)
-                    hot = [xxh64_spans(text, starts, size_, seed).view(np.int64).tolist() for seed in (21, 22)]
-                    for column, x in zip(columns, (hot[0], hot[1], [k1] * len(starts), [k2] * len(starts), starts.tolist(), [-1] * len(starts), [b""] * len(starts)), strict=True):
-                        column += x
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["h", "h2", "k1", "k2", "p", "before", "string"])
-
-    texts = packed(rows).drop("id")
-    one = texts.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "at")
-    around = cut(one.mapInArrow(surround, "h long, h2 long, k1 long, k2 long, p int, before int, string binary").dropDuplicates(["h", "h2", "k1", "k2", "p", "before"]))
+            for k1, k2, z, at in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "ask")), strict=True):
+                text = zstandard.decompress(z)
+                rows = [(x["h"], k1, k2, x["p"], min(x["p"], lead), text[max(x["p"] - lead, 0) : x["p"] + length]) for x in at if not x["hot"]]
+                if rows:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "k1", "k2", "p", "before", "string"])
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, z, at in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "ask")), strict=True):
+                text = zstandard.decompress(z)
+                spans = [(max(x["p"] - lead, 0), min(x["p"] + length, len(text))) for x in at if x["hot"]]
+                starts = np.unique(np.concatenate([np.arange(s, e - length + 1) for s, e in spans]))
+                h, h2 = (xxh64_spans(text, starts, np.full(len(starts), length), seed).view(np.int64) for seed in (21, 22))
+                columns = (h, h2, np.full(len(starts), k1), np.full(len(starts), k2), starts.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "h2", "k1", "k2", "s"])
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        one = packed(rows).drop("id").join(asked, ["k1", "k2"])
+        return one.groupBy("k1", "k2").agg(F.first("z").alias("z"), F.first("ask").alias("ask"))  # of copies, one
+
+    asked = marked.where("exists(ask, a -> NOT a.hot)").select("k1", "k2", "ask")
+    around = texts_of(asked).mapInArrow(surround, "h long, k1 long, k2 long, p int, before int, string binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -245,19 +249,24 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
         if held is not None and held.num_rows:
             yield run(held)
 
-    cold = around.where("before >= 0").repartition("h").sortWithinPartitions("h").mapInArrow(compare, _SPAN)
-    windows = around.where("before < 0")
-    twice = windows.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2")
-    hot = windows.join(twice, ["h", "h2"]).select("k1", "k2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    spans = whole.unionByName(cold).unionByName(hot)
-    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(compare, _SPAN)
+    hot = marked.where("exists(ask, a -> a.hot)").select("k1", "k2", "ask")
+    if not hot.isEmpty():
+        windows = cut(texts_of(hot).mapInArrow(windows_of, "h long, h2 long, k1 long, k2 long, s int"))
+        twice = windows.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2")
+        spans = spans.unionByName(windows.join(twice, ["h", "h2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    more = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("more"))
+    whole = F.expr(f"transform(coalesce(whole, cast(array() AS array<int>)), p -> struct(greatest(p - {lead}, 0) AS s, p + {length} AS e))")
+    none = F.expr("cast(array() AS array<struct<s:int,e:int>>)")
+    both = marked.select("k1", "k2", "whole").join(more, ["k1", "k2"], "full")
+    return both.select("k1", "k2", F.array_sort(F.concat(whole, F.coalesce("more", none))).alias("spans"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
     """(id, k1, k2, z): texts compressed for the way through a shuffle, by the 128-bit key of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = batch.column("text").to_pylist()
             k1, k2 = _keys(texts)
