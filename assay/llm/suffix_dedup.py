@@ -35,8 +35,8 @@ from .common import cut, text_blocks, text_or_empty, xxh64_spans
 LENGTH = 200
 ANCHOR = 64
 #: Different surroundings of an anchor that one task compares.
-LONG = 2000
-#: Surroundings that are sorted at once.
+LONG = 20_000
+#: Surroundings that are sorted at once; some 8 MB of symbols.
 BATCH = 20_000
 #: Bytes of a text that are hashed at once; longer texts are read in overlapping parts.
 PART = 1 << 20
@@ -157,6 +157,7 @@ def _spans(flags: np.ndarray, low: int, lead: int, place: int, length: int) -> l
     return [(int(at[i]), int(at[j]) + length) for i, j in zip(np.r_[0, cuts + 1], np.r_[cuts, len(at) - 1], strict=True)]
 
 
+_RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _SPAN = "k1 long, k2 long, s int, e int"
 
 
@@ -184,20 +185,31 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
                 for data, start, row, at, h in anchors(texts, length, size):
                     base = int(row[0] - (np.searchsorted(start, at[0], "right") - 1))
                     begin = start[row - base]
-                    around = surroundings(data, begin, start[row - base + 1], at, length, size)[2]
-                    columns = (h.view(np.int64), around.view(np.int64), k1[row], k2[row], (at - begin).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "c", "k1", "k2", "p"])
-
-    found = rows.select("text").mapInArrow(find, "h long, c long, k1 long, k2 long, p int")
+                    low, high, around = surroundings(data, begin, start[row - base + 1], at, length, size)
+                    # equal surroundings in one text are settled here: one row stands for them and brings their spans
+                    order = np.lexsort((at, around, h, row))
+                    same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1]) & (around[order][1:] == around[order][:-1])
+                    first = np.flatnonzero(np.r_[True, ~same])
+                    many = np.diff(np.r_[first, len(order)])
+                    runs = [None] * len(first)
+                    for i in np.flatnonzero(many > 1).tolist():
+                        mine = order[first[i] : first[i] + many[i]]
+                        spans = zip((low[mine] - begin[mine]).tolist(), (high[mine] - begin[mine]).tolist(), strict=True)
+                        runs[i] = [{"s": s, "e": e} for s, e in covered(list(spans), 1 << 31, length)]
+                    one = order[first]
+                    columns = (h[one].view(np.int64), around[one].view(np.int64), k1[row[one]], k2[row[one]], (at - begin)[one].astype(np.int32), many)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(runs, _RUNS)], names=["h", "c", "k1", "k2", "p", "m", "runs"])
+
+    found = rows.select("text").mapInArrow(find, "h long, c long, k1 long, k2 long, p int, m long, runs array<struct<s:int,e:int>>")
     by_kind = Window.partitionBy("h", "c")
     by_anchor = Window.partitionBy("h")
     dealt = found.repartition("h")  # one exchange serves all windows
-    seen = dealt.withColumn("n", F.count("*").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "p")))
-    seen = seen.withColumn("total", F.count("*").over(by_anchor)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(by_anchor)).where("total > 1")
+    seen = dealt.withColumn("n", F.sum("m").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "p")))
+    seen = seen.withColumn("total", F.sum("m").over(by_anchor)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(by_anchor)).where("total > 1")
     # one string stands for all equal surroundings of an anchor; it is compared if there are others
     asks = (F.col("nth") == 1) & (F.col("kinds") > 1)
-    marks = seen.select("k1", "k2", F.when(F.col("n") > 1, F.col("p")).alias("p"), F.when(asks, F.struct("p", "h", (F.col("kinds") > LONG).alias("hot"))).alias("ask"))
-    marked = cut(marks.where("p IS NOT NULL OR ask IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"), F.collect_list("ask").alias("ask")))
+    marks = seen.select("k1", "k2", F.when(F.col("n") > 1, F.col("p")).alias("p"), F.when(asks, F.struct("p", "h", (F.col("kinds") > LONG).alias("hot"))).alias("ask"), "runs")
+    marked = cut(marks.where("p IS NOT NULL OR ask IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"), F.collect_list("ask").alias("ask"), F.flatten(F.collect_set("runs")).alias("runs")))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +270,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
     more = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("more"))
     whole = F.expr(f"transform(coalesce(whole, cast(array() AS array<int>)), p -> struct(greatest(p - {lead}, 0) AS s, p + {length} AS e))")
     none = F.expr("cast(array() AS array<struct<s:int,e:int>>)")
-    both = marked.select("k1", "k2", "whole").join(more, ["k1", "k2"], "full")
-    return both.select("k1", "k2", F.array_sort(F.concat(whole, F.coalesce("more", none))).alias("spans"))
+    both = marked.select("k1", "k2", "whole", "runs").join(more, ["k1", "k2"], "full")
+    return both.select("k1", "k2", F.array_sort(F.concat(whole, F.coalesce("runs", none), F.coalesce("more", none))).alias("spans"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
