@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,27 +216,24 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
         for batch in batches:
             for k1, k2, z, at in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "ask")), strict=True):
                 text = zstandard.decompress(z)
-                rows = [(x["h"], k1, k2, x["p"], min(x["p"], lead), text[max(x["p"] - lead, 0) : x["p"] + length]) for x in at if not x["hot"]]
-                if rows:
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "k1", "k2", "p", "before", "string"])
-
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k1, k2, z, at in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "ask")), strict=True):
-                text = zstandard.decompress(z)
-                spans = [(max(x["p"] - lead, 0), min(x["p"] + length, len(text))) for x in at if x["hot"]]
-                starts = np.unique(np.concatenate([np.arange(s, e - length + 1) for s, e in spans]))
-                h, h2 = (xxh64_spans(text, starts, np.full(len(starts), length), seed).view(np.int64) for seed in (21, 22))
-                columns = (h, h2, np.full(len(starts), k1), np.full(len(starts), k2), starts.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "h2", "k1", "k2", "s"])
+                rows = [(x["h"], 0, k1, k2, x["p"], min(x["p"], lead), text[max(x["p"] - lead, 0) : x["p"] + length]) for x in at if not x["hot"]]
+                columns = list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in range(7)]
+                spans = [np.arange(max(x["p"] - lead, 0), min(x["p"] + length, len(text)) - length + 1) for x in at if x["hot"]]
+                if spans:  # windows around anchors with very many surroundings, by a 128-bit hash
+                    starts = np.unique(np.concatenate(spans))
+                    n = len(starts)
+                    h, h2 = (xxh64_spans(text, starts, np.full(n, length), seed).view(np.int64).tolist() for seed in (21, 22))
+                    for column, x in zip(columns, (h, h2, [k1] * n, [k2] * n, starts.tolist(), [-1] * n, [b""] * n), strict=True):
+                        column += x
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["h", "h2", "k1", "k2", "p", "before", "string"])
 
     def texts_of(asked: DataFrame) -> DataFrame:
         one = packed(rows).drop("id").join(asked, ["k1", "k2"])
         return one.groupBy("k1", "k2").agg(F.first("z").alias("z"), F.first("ask").alias("ask"))  # of copies, one
 
-    asked = marked.where("exists(ask, a -> NOT a.hot)").select("k1", "k2", "ask")
-    around = texts_of(asked).mapInArrow(surround, "h long, k1 long, k2 long, p int, before int, string binary")
+    asked = texts_of(marked.where(F.size("ask") > 0).select("k1", "k2", "ask"))
+    around = asked.mapInArrow(surround, "h long, h2 long, k1 long, k2 long, p int, before int, string binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -249,8 +247,30 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
                 out += [(k1[i], k2[i], s, e) for s, e in _spans(flags[i], 0, lead, p[i], length)]
             return _span_batch(out)
 
+        last: tuple | None = None  # the window before: (h, h2, k1, k2, p, has it been given out)
+
+        def twins(t: pa.Table) -> pa.RecordBatch:
+            """Windows that equal the one before or after them; sorted, so nothing else is held."""
+            nonlocal last
+            rows = list(zip(*(t.column(c).to_pylist() for c in ("h", "h2", "k1", "k2", "p")), strict=True))
+            out = []
+            for x in rows:
+                same = last is not None and last[:2] == x[:2]
+                if same and not last[5]:
+                    out.append(last)
+                if same:
+                    out.append(x)
+                last = (*x, same)
+            return _span_batch([(x[2], x[3], x[4], x[4] + length) for x in out])
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
+            windows = pa.compute.less(t.column("before"), 0)
+            if pa.compute.any(windows).as_py():
+                yield twins(t.filter(windows))
+                t = t.filter(pa.compute.invert(windows))
+                if not t.num_rows:
+                    continue
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows >= BATCH:
                 h = held.column("h").to_numpy()
@@ -261,12 +281,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
         if held is not None and held.num_rows:
             yield run(held)
 
-    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(compare, _SPAN)
-    hot = marked.where("exists(ask, a -> a.hot)").select("k1", "k2", "ask")
-    if not hot.isEmpty():
-        windows = cut(texts_of(hot).mapInArrow(windows_of, "h long, h2 long, k1 long, k2 long, s int"))
-        twice = windows.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2")
-        spans = spans.unionByName(windows.join(twice, ["h", "h2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    # windows come first in a partition, by their hashes, then surroundings, by their anchors
+    spans = around.repartition("h").sortWithinPartitions(F.col("before") >= 0, "h", "h2").mapInArrow(compare, _SPAN)
     more = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("more"))
     whole = F.expr(f"transform(coalesce(whole, cast(array() AS array<int>)), p -> struct(greatest(p - {lead}, 0) AS s, p + {length} AS e))")
     none = F.expr("cast(array() AS array<struct<s:int,e:int>>)")
