@@ -44,11 +44,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """docs without copies, all columns as they were: one row of each distinct text, in one shuffle whose map side
-    already folds the copies that a task has read."""
+    already folds the copies that a task has read. A text moves once, as a grouping column; the kept row's other columns
+    ride along, with a mark whether its text was null."""
     pick = F.min_by if keep == "min" else F.max_by
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = text_or_empty(text_col)
-    rows = docs.select(whole.alias("row"), F.col(f"`{id_col}`").alias("id"), content_hash(text).alias("hash"), text.alias("text"))
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("0"), *[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(others, 1)])
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), content_hash(text).alias("hash"), text.alias("text"))
     order = F.struct(F.col("id").isNotNull() if keep == "max" else F.col("id").isNull(), F.col("id"))
     kept = rows.groupBy("hash", "text").agg(pick("row", order).alias("row"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    back = {c: F.col("row").getField(str(i)) for i, c in enumerate(others, 1)}
+    back[text_col] = F.when(~F.col("row").getField("0"), F.col("text")).cast(docs.schema[text_col].dataType)
+    return kept.select(*[back[c].alias(c) for c in docs.columns])

@@ -32,7 +32,7 @@ WIDTH = 2048
 GRAIN = 8
 END_ID = 1
 #: Encoded chunks that a worker remembers; a memory of encodings, without influence on results.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

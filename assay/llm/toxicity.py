@@ -34,7 +34,7 @@ MIN_TEXTS = 4
 RIDGE = 0.1
 PREFIXES = (4, 5, 6, 7)
 #: Words that a worker remembers the features of; without influence on results.
-MEMORY = 500_000
+MEMORY = 100_000
 
 # Words that name a group, by kind; swaps stay within a kind.
 IDENTITY = (
