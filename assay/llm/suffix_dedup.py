@@ -37,6 +37,10 @@ LENGTH = 200
 ANCHOR = 64
 #: Different surroundings of an anchor that one task compares.
 LONG = 20_000
+#: One text in so many tells which anchors are crowded, and the share of its anchors that makes one so. Both decide only
+#: by which plan an anchor is counted, not the result.
+SAMPLE_OF = 64
+CROWDED = 0.001
 #: Surroundings that are sorted at once; some 8 MB of symbols.
 BATCH = 20_000
 #: Bytes of a text that are hashed at once; longer texts are read in overlapping parts.
@@ -159,6 +163,7 @@ def _spans(flags: np.ndarray, low: int, lead: int, place: int, length: int) -> l
 
 
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+_FOUND = "h long, c long, k1 long, k2 long, p int, m long, runs array<struct<s:int,e:int>>"
 _SPAN = "k1 long, k2 long, s int, e int"
 
 
@@ -201,16 +206,29 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, size: int = ANCHOR) ->
                     columns = (h[one].view(np.int64), around[one].view(np.int64), k1[row[one]], k2[row[one]], (at - begin)[one].astype(np.int32), many)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(runs, _RUNS)], names=["h", "c", "k1", "k2", "p", "m", "runs"])
 
-    found = rows.select("text").mapInArrow(find, "h long, c long, k1 long, k2 long, p int, m long, runs array<struct<s:int,e:int>>")
-    by_kind = Window.partitionBy("h", "c")
-    by_anchor = Window.partitionBy("h")
-    dealt = found.repartition("h")  # one exchange serves all windows
+    found = rows.select("text").mapInArrow(find, _FOUND)
+    # anchors of a large share of a sample of texts are crowded; there are at most 1 / CROWDED of them
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0).select("text").mapInArrow(find, _FOUND)
+    seen_some = cut(some.groupBy("h").agg(F.sum("m").alias("n")))
+    in_all = seen_some.agg(F.sum("n")).first()[0] or 0
+    crowded = cut(seen_some.where(F.col("n") > max(in_all * CROWDED, 1)).select("h"))
+    crowds = not crowded.isEmpty()
+    by_kind, by_anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
+    # one exchange serves all windows; one string stands for all equal surroundings of an anchor
+    dealt = (found.join(F.broadcast(crowded), "h", "left_anti") if crowds else found).repartition("h")
     seen = dealt.withColumn("n", F.sum("m").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "p")))
-    seen = seen.withColumn("total", F.sum("m").over(by_anchor)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(by_anchor)).where("total > 1")
-    # one string stands for all equal surroundings of an anchor; it is compared if there are others
-    asks = (F.col("nth") == 1) & (F.col("kinds") > 1)
-    marks = seen.select("k1", "k2", F.when(F.col("n") > 1, F.col("p")).alias("p"), F.when(asks, F.struct("p", "h", (F.col("kinds") > LONG).alias("hot"))).alias("ask"), "runs")
-    marked = cut(marks.where("p IS NOT NULL OR ask IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"), F.collect_list("ask").alias("ask"), F.flatten(F.collect_set("runs")).alias("runs")))
+    seen = seen.withColumn("total", F.sum("m").over(by_anchor)).withColumn("kinds", F.count_if(F.col("nth") == 1).over(by_anchor))
+    facts = ["h", "k1", "k2", "p", "runs", "n", "total", "kinds"]
+    seen = seen.select(*facts, (F.col("nth") == 1).alias("stands"))
+    if crowds:  # partial sums and joins, whose partitions Spark can split, instead of windows
+        mass = cut(found.join(F.broadcast(crowded), "h"))
+        kinds = cut(mass.groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("rep")))
+        totals = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        known = mass.join(kinds, ["h", "c"]).join(F.broadcast(totals), "h")
+        seen = seen.unionByName(known.select(*facts, (F.struct("k1", "k2", "p") == F.col("rep")).alias("stands")))
+    asks = F.col("stands") & (F.col("kinds") > 1)
+    marks = seen.where("total > 1").select("k1", "k2", F.when(F.col("n") > 1, F.col("p")).alias("p"), F.when(asks, F.struct("p", "h", (F.col("kinds") > LONG).alias("hot"))).alias("ask"), "runs")
+    marked = cut(marks.where("p IS NOT NULL OR ask IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"), F.collect_set("ask").alias("ask"), F.flatten(F.collect_set("runs")).alias("runs")))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,6 +38,7 @@ def test_against_brute_force(spark, monkeypatch):
             monkeypatch.setattr(suffix_dedup, "LONG", 3)
             monkeypatch.setattr(suffix_dedup, "BATCH", 50)
             monkeypatch.setattr(suffix_dedup, "PART", 64)
+            monkeypatch.setattr(suffix_dedup, "SAMPLE_OF", 2)
         docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in remove_repeats(docs, length=40, size=12).collect()}
         want = brute([(t or "").encode() for t in texts], 40)
