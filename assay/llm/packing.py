@@ -148,26 +148,37 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, toleranc
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    amount = inverse @ demand
+
+    def times(v: np.ndarray) -> np.ndarray:
+        """inverse @ v over v's few entries; products this small only suffer from the threads of a linear-algebra library."""
+        at = np.flatnonzero(v)
+        return (inverse[:, at] * v[at]).sum(axis=1)
+
+    amount = times(demand)
     for n in range(rounds):
         worth = inverse.sum(axis=0)  # every pattern costs one sequence
         value, column = _price(sizes, np.maximum(worth, 0), room)
         # by Farley's bound the optimum is at least sum(amount) / value
         if value <= 1 + tolerance:
             break
-        step = inverse @ column
+        step = times(column)
         up = step > 1e-10
         ratio = np.full(m, np.inf)
         ratio[up] = amount[up] / step[up]
         out = int(ratio.argmin())
         basis[:, out] = column
         if n % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            row = inverse[out] / step[out]
+            inverse = inverse - np.outer(step, row)
+            inverse[out] = row
+            # one Newton step takes out what rounding has gathered
+            error = np.einsum("ij,jk->ik", basis, inverse)
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, error)
         else:
             row = inverse[out] / step[out]
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
-        amount = np.maximum(inverse @ demand, 0)
+        amount = np.maximum(times(demand), 0)
     return basis, amount
 
 
