@@ -1,7 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, in DataFrame and SQL functions only.
 
-A text is a set of paragraphs: its lines, long ones cut at sentence ends. A paragraph's digest is a 64-bit number whose
-lowest 16 bits are its length, so what peeling recovers also tells how much text differs. A sketch has 3 x 8 cells of
+A text is a set of paragraphs: its lines, cut at every sentence end; what is still longer than `longest` is cut after
+words whose hash, with the word before, meets a condition. A place thus depends on nothing but the text around it. A
+paragraph's digest is a 64-bit number that also holds its length (15 bits, or 31 for the few that need them), so what
+peeling recovers also tells how much text differs. A sketch has 3 x 8 cells of
 (count, xor of digests, xor of their hashes). Two sketches are subtracted cell by cell and peeled: a cell with one digest
 gives it up, which empties others. Where peeling gets stuck, the pair's digests are dealt into 8 sketches with another
 seed, and again into 8 for each of those that fail: 24, 192, 1536 ... cells, until all of them peel.
@@ -23,8 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 
-#: Longer lines are cut at sentence ends (before a capital A to H, which depends on nothing but the place).
 LONG_LINE = 400
+#: Sentences longer than this are cut on in the query, after one word of CUT_EVERY on average.
+LONG_PIECE = 120
+CUT_EVERY = 8
+SENTENCE_END = r"\n+|(?<=[.!?…])\s+|(?<=[。！？])"
+_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Words with the white space behind them; characters of scripts without spaces, and of runs of over 64, stand alone.
+UNIT = rf"[^\s{_SPACELESS}]{{1,64}}+(?![^\s{_SPACELESS}])\s*+|\S\s*+|\s++"
 SIDE = 8
 WAYS = 3
 MAX_LEVELS = 12
@@ -35,30 +43,49 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def digests(text: str) -> str:
+def _cut_on(p: str) -> str:
+    """SQL: a sentence cut at content-defined places, as an array."""
+    last = f"filter(sequence(0, size(u) - 1), i -> i = size(u) - 1 OR (xxhash64(concat(if(i = 0, '', u[i - 1]), u[i])) & {CUT_EVERY - 1}) = 0)"
+    parts = "transform(last, (z, k) -> array_join(slice(u, if(k = 0, 0, last[k - 1] + 1) + 1, z - if(k = 0, -1, last[k - 1])), ''))"
+    return let("u", f"regexp_extract_all({p}, r'{UNIT}', 0)", let("last", last, parts))
+
+
+def digests(text: str, longest: int = 2 * LONG_LINE) -> str:
     """SQL: the set of paragraph digests of a text column, as an array."""
-    lines = rf"flatten(transform(split({text}, r'\n+'), l -> if(length(l) > {LONG_LINE}, split(l, r'(?<=[.!?])\s+(?=[A-H])'), array(l))))"
-    return f"array_distinct(transform(filter({lines}, p -> p <> ''), p -> (xxhash64(p) & -65536L) | cast(least(length(p), 65535) AS bigint)))"
+    sentences = f"filter(split({text}, r'{SENTENCE_END}'), p -> p <> '')"
+    pieces = f"flatten(transform({sentences}, p -> if(length(p) > {longest}, {_cut_on('p')}, array(p))))"
+    # lengths from 2^15 on are flagged, with their higher bits in bits 16 to 31
+    n = "cast(length(p) AS bigint)"
+    digest = f"if({n} < 32768L, (xxhash64(p) & -65536L) | {n}, (xxhash64(p) & -4294967296L) | shiftleft(shiftright({n}, 15), 16) | 32768L | ({n} & 32767L))"
+    return f"array_distinct(transform({pieces}, p -> {digest}))"
+
+
+def length_of(d: str) -> str:
+    """SQL: the length that a digest holds."""
+    return f"(({d} & 32767L) + if(({d} & 32768L) = 0L, 0L, shiftleft(shiftright({d}, 16) & 65535L, 15)))"
 
 
 def weight(d: str) -> str:
-    return f"aggregate({d}, 0L, (w, d) -> w + (d & 65535L))"
+    return f"aggregate({d}, 0L, (w, d) -> w + {length_of('d')})"
 
 
 def _hash(d: str, level: int) -> str:
     return f"xxhash64({d}, {level})"
 
 
-def _holds(h: str) -> str:
-    """Is cell i one of the three of hash h?"""
-    return f"(shiftright({h}, 3 * cast(i / {SIDE} AS int)) & {SIDE - 1}) = i % {SIDE}"
+def _mask(h: str) -> str:
+    """SQL: the three cells of hash h, as bits."""
+    return "(" + " | ".join(f"shiftleft(1, cast({w * SIDE} + (shiftright({h}, {3 * w}) & {SIDE - 1}) AS int))" for w in range(WAYS)) + ")"
+
+
+_BITS = f"array({', '.join(str(1 << i) for i in range(SIDE * WAYS))})"
 
 
 def sketch(signed: str, level: int) -> str:
     """SQL: the cells of an array of (d, n): digests that count n = 1 or -1 times."""
-    full = f"transform({signed}, e -> struct(e.d AS d, e.n AS n, {_hash('e.d', level)} AS h))"
-    cell = f"aggregate(es, struct(0 AS c, 0L AS k, 0L AS h), (a, e) -> if({_holds('e.h')}, struct(a.c + e.n AS c, a.k ^ e.d AS k, a.h ^ e.h AS h), a))"
-    return let("es", full, f"transform(sequence(0, {SIDE * WAYS - 1}), i -> {cell})")
+    full = f"transform(transform({signed}, e -> struct(e.d AS d, e.n AS n, {_hash('e.d', level)} AS h)), e -> struct(e.d AS d, e.n AS n, e.h AS h, {_mask('e.h')} AS m))"
+    cell = "aggregate(filter(es, e -> (e.m & b) <> 0), struct(0 AS c, 0L AS k, 0L AS h), (a, e) -> struct(a.c + e.n AS c, a.k ^ e.d AS k, a.h ^ e.h AS h))"
+    return let("es", full, f"transform({_BITS}, b -> {cell})")
 
 
 def signed(d: str, n: int = 1) -> str:
@@ -67,9 +94,9 @@ def signed(d: str, n: int = 1) -> str:
 
 def peel(cells: str, level: int, rounds: int = 16) -> str:
     """SQL: (ok, w): whether all cells emptied, and the length of the paragraphs they gave up."""
-    pure = f"array_distinct(filter(acc.cells, c -> abs(c.c) = 1 AND {_hash('c.k', level)} = c.h))"
-    less = f"aggregate(pure, c, (u, p) -> if({_holds('p.h')}, struct(u.c - p.c AS c, u.k ^ p.k AS k, u.h ^ p.h AS h), u))"
-    step = f"if(size(pure) = 0, acc, struct(transform(acc.cells, (c, i) -> {less}) AS cells, acc.w + aggregate(pure, 0L, (s, p) -> s + (p.k & 65535L)) AS w))"
+    pure = f"transform(array_distinct(filter(acc.cells, c -> abs(c.c) = 1 AND {_hash('c.k', level)} = c.h)), c -> struct(c.c AS c, c.k AS k, c.h AS h, {_mask('c.h')} AS m))"
+    less = "aggregate(pure, c, (u, p) -> if((p.m & shiftleft(1, i)) <> 0, struct(u.c - p.c AS c, u.k ^ p.k AS k, u.h ^ p.h AS h), u))"
+    step = f"if(size(pure) = 0, acc, struct(transform(acc.cells, (c, i) -> {less}) AS cells, acc.w + aggregate(pure, 0L, (s, p) -> s + {length_of('p.k')}) AS w))"
     return f"aggregate(sequence(1, {rounds}), struct({cells} AS cells, 0L AS w), (acc, r) -> {let('pure', pure, step)}, acc -> struct(forall(acc.cells, c -> c.c = 0 AND c.k = 0L AND c.h = 0L) AS ok, acc.w AS w))"
 
 
@@ -82,7 +109,7 @@ def spell(cells: str, d: str) -> str:
     return f"concat(size({d}), ':', {weight(d)}, ':', array_join(transform({cells}, c -> if(c.c = 0, '', concat_ws('.', c.c, hex(c.k), hex(c.h)))), ','))"
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LONG_LINE) -> DataFrame:
     """(id, text, d, next_text, next_d): each row with the next by ascending id; after the last comes the first.
 
     Rows are dealt into id ranges; the first row of a range is also a guest at the end of the range before it, so one
@@ -102,16 +129,18 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lows, hosts = F.lit([low.get(b, None) for b in span]).cast("array<bigint>") if any(x is not None for x in low.values()) else F.array_repeat(F.lit(None).cast("bigint"), len(span)), F.lit([before.get(b, b) for b in span])
     is_first = F.col("id").eqNullSafe(F.element_at(lows, F.col("bucket") + 1))
     guest = F.when(is_first, F.element_at(hosts, F.col("bucket") + 1))
-    both = placed.withColumn("d", F.expr(digests("text"))).withColumn("host", F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))))))
-    dealt = both.select("id", "text", "d", F.explode("host").alias("h")).select("id", "text", "d", "h.bucket", "h.guest")
+    both = placed.withColumn("host", F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))))))
+    dealt = both.select("id", "text", F.explode("host").alias("h")).select("id", "text", "h.bucket", "h.guest")
+    # digests hardly compress, so they are made behind the shuffle
+    dealt = dealt.repartition("bucket").withColumn("d", F.expr(digests("text", longest)))
     w = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), F.xxhash64("text"))
     led = dealt.select("id", "text", "d", "guest", F.lead("text").over(w).alias("next_text"), F.lead("d").over(w).alias("next_d"))
     return led.where("guest = 0").drop("guest")
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", longest: int = 2 * LONG_LINE) -> DataFrame:
     """docs with a column `fingerprint`; without a shuffle."""
-    d = docs.withColumn("__d", F.expr(digests("coalesce(cast(`{}` AS string), '')".format(text_col))))
+    d = docs.withColumn("__d", F.expr(digests("coalesce(cast(`{}` AS string), '')".format(text_col), longest)))
     return d.withColumn("fingerprint", F.expr(let("cells", sketch(signed("__d"), 0), spell("cells", "__d")))).drop("__d")
 
 
@@ -142,12 +171,12 @@ def likeness(wa: str, wb: str, diff: str) -> str:
     return f"if({wa} + {wb} + {diff} = 0, 1D, cast({wa} + {wb} - {diff} AS double) / ({wa} + {wb} + {diff}))"
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 2 * LONG_LINE) -> DataFrame:
     """Every row with its fingerprint, that of its edited text (the last quarter of the code points replaced by the first
     as many of the next row's text), and the likeness of its fingerprint to that one and to the next row's."""
-    led = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
+    led = with_next(docs, id_col, text_col, longest).withColumn("n_chars", F.length("text").cast("long"))
     edited = led.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) AS int)), substring(next_text, 1, cast(floor(n_chars / 4) AS int)))"))
-    sets = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("d").alias("a"), F.expr(digests("edited")).alias("e"), F.col("next_d").alias("x"))
+    sets = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("d").alias("a"), F.expr(digests("edited", longest)).alias("e"), F.col("next_d").alias("x"))
     cells = sets.withColumns({f"{c}_cells": F.expr(sketch(signed(c), 0)) for c in "aex"})
     wide = cells.select(
         "id",

@@ -35,9 +35,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprint import edited_likeness
+    from .fingerprint import LONG_PIECE, edited_likeness
 
-    return edited_likeness(table(spark, sf_dir, "documents"))
+    return edited_likeness(table(spark, sf_dir, "documents"), longest=LONG_PIECE)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

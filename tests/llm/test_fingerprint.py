@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
-from assay.llm.fingerprint import LONG_LINE, edited_likeness, fingerprints
+import numpy as np
+import regex
+from assay.llm.common import xxh64_spans
+from assay.llm.fingerprint import CUT_EVERY, LONG_LINE, LONG_PIECE, SENTENCE_END, UNIT, edited_likeness, fingerprints
 
 
 def parts(text):
@@ -63,3 +66,37 @@ def test_fingerprints_of_equal_texts_are_equal(spark):
     got = fingerprints(spark.createDataFrame([("a\nb", 1), ("a\nb", 2), ("b", 3), (None, 4), ("", 5)], "text string, doc_id int")).collect()
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[1] == by[2] != by[3] and by[4] == by[5]
+
+
+def fine_parts(text):
+    out = set()
+    for p in regex.split(SENTENCE_END, text, flags=regex.V1):
+        units = regex.findall(UNIT, p) if len(p) > LONG_PIECE else [p]
+        piece, before = "", ""
+        for u in units:
+            piece += u
+            key = (before + u).encode()
+            if len(p) > LONG_PIECE and int(xxh64_spans(key, np.array([0]), np.array([len(key)]))[0]) % CUT_EVERY == 0:
+                out.add(piece)
+                piece = ""
+            before = u
+        out.add(piece)
+    return out - {""}
+
+
+def test_texts_without_capitals_line_ends_or_spaces_keep_their_likeness(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgäß") for _ in range(rng.randrange(2, 9)))
+    texts = [" ".join(word() + rng.choice(["", "", "", "."]) for _ in range(300)), " ".join(word() for _ in range(900)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)), "".join(rng.choice("0123456789abcdef") for _ in range(3000)), "x y. " * 3 + "z" * 70_000, "short one"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = edited_likeness(spark.createDataFrame(rows, "doc_id long, text string"), longest=LONG_PIECE).collect()
+    size = lambda s: sum(map(len, s))
+    for r in got:
+        text, other = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        q = len(text) // 4
+        a, e, x = fine_parts(text), fine_parts(text[: len(text) - q] + other[:q]), fine_parts(other)
+        assert abs(r.near_edited - size(a & e) / size(a | e)) < 1e-9 and abs(r.near_next - size(a & x) / size(a | x)) < 1e-9
+        if r.doc_id < 4:
+            assert r.near_edited > 0.4
+    whole = fingerprints(spark.createDataFrame([("z" * 70_000,)], "text string"), longest=100_000).first().fingerprint
+    assert int(whole.split(":")[1]) == 70_000
