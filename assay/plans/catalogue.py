@@ -394,3 +394,46 @@ def pool_and_sample_shares(spark, sf_dir):
 def surface_size(spark, sf_dir):
     n = F.count("*")
     return t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"), n.alias("sites"), F.when(n == 1, "1").when(n <= 3, "2-3").when(n <= 8, "4-8").otherwise("9+").alias("surface"))
+
+
+# The whole-table forms of queries above whose SQL twins fix a filter on keys.
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type IS DISTINCT FROM 'click')
+SELECT user_id, 'left' AS side FROM a ANTI JOIN b USING (user_id) UNION ALL SELECT user_id, 'right' FROM b ANTI JOIN a USING (user_id)""")
+def mismatch_report_whole(spark, sf_dir):
+    """Clicks against all other events: each event has a side."""
+    e, click = t(spark, sf_dir, "events"), F.col("event_type").eqNullSafe("click")
+    return scoring.mismatches(e.where(click), e.where(~click), "user_id")
+
+
+@query("""WITH u AS (SELECT *, (o_orderstatus IS NOT DISTINCT FROM 'F')::INT AS s FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY s DESC, o_orderkey DESC) AS n FROM u)
+SELECT o_custkey, o_orderpriority, o_orderkey FROM r WHERE n = 1""")
+def last_result_wins_whole(spark, sf_dir):
+    """Finished orders override the others: each order is in one of the two."""
+    o, done = t(spark, sf_dir, "orders"), F.col("o_orderstatus").eqNullSafe("F")
+    return relate.last_wins([o.where(~done), o.where(done)], ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+_WHOLE_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
+
+
+def _whole_edges(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS src", "l_partkey AS dst").distinct()
+
+
+@query(f"""WITH RECURSIVE {_WHOLE_EDGES}, r AS (SELECT 1::BIGINT AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
+def reachable_whole(spark, sf_dir):
+    return graph.reach(_whole_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long")).select("node")
+
+
+@query(f"""WITH RECURSIVE {_WHOLE_EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+def bounded_reach_whole(spark, sf_dir):
+    return graph.reach(_whole_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 3)
+
+
+@query()
+def phantom_prediction_whole(spark, sf_dir):
+    """phantom_prediction over all lines; held against brute force."""
+    return graph.through_others(_whole_edges(spark, sf_dir))
