@@ -84,9 +84,30 @@ class Encoder:
         return b"".join(parts)
 
 
+class TextEncoder:
+    """The ids that tokenizers gives for a text: the file's added tokens stand for themselves, what is between them is
+    encoded by Encoder."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that strip white space or are words of their own aren't supported")
+        self._encode = Encoder(path)
+        self._ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest_first = sorted(self._ids, key=len, reverse=True)
+        self._cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
+
+    def __call__(self, text: str) -> bytes:
+        if self._cut is None or not any(t in text for t in self._ids):
+            return self._encode(text)
+        parts = self._cut.split(text)  # every second part is an added token
+        return b"".join(self._ids[x] if i % 2 else self._encode(x) for i, x in enumerate(parts))
+
+
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, path: str | None = None, with_ids: bool = False) -> DataFrame:

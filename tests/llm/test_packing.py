@@ -78,3 +78,14 @@ def test_patterns_take_up_demand_exactly():
     # the linear program's optimum bounds any plan from below; rounding adds less than one sequence per pattern in theory
     least = column_generation(sizes[demand > 0], demand[demand > 0].astype(float), 64)[1].sum()
     assert least - 1 <= used <= least * 1.01 + 2
+
+
+def test_added_tokens_in_texts_are_those_of_the_public_tokenizer(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"a{end}b", f"{end}{end} x  {end}", end, f"{end} ", f"<|endoftext|{end}>\n{end}\n", "<|endoftext|", f"it's {end}'s"]
+    plain = Tokenizer.from_file(vocabulary())
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 1]
+    got = {r.doc_id: r for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, ids in enumerate(want):
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
