@@ -419,13 +419,15 @@ def piece_ids(lat: Lattice, path: Path, v: Vocabulary) -> tuple[np.ndarray, np.n
 
 
 def decode_ids(ids: list[int] | np.ndarray, v: Vocabulary) -> str:
-    raw = b"".join(v.text_of[int(i)] for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
+    known = v.text_of
+    raw = b"".join([known[i] for i in np.asarray(ids, np.int64).tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
     return raw.removeprefix(" ")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(id_col, sample, n_pieces, ids_crc32, log_prob, value, log_inclusion[, ids]): up to k distinct segmentations of every
-    text, best first. ids_crc32 is over little-endian 32-bit ids."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, path: str | None = None, with_ids: bool = True, with_decoded: bool = False) -> DataFrame:
+    """(id_col, sample, n_pieces, ids_crc32, log_prob, value, log_inclusion[, ids][, decoded_bytes, decoded_crc32]): up to k
+    distinct segmentations of every text, best first. ids_crc32 is over little-endian 32-bit ids; decoded_bytes and
+    decoded_crc32 are of the text, in UTF-8, that the ids spell."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,10 +463,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                     if with_ids:
                         columns.append(pa.array([ids[start[i] : start[i + 1]].astype(np.int32) for i in rows], pa.list_(pa.int32())))
                         names.append("ids")
+                    if with_decoded:
+                        spelled = [decode_ids(ids[start[i] : start[i + 1]], v).encode("utf-8", "surrogatepass") for i in rows]
+                        columns += [pa.array([len(x) for x in spelled], pa.int64()), pa.array([zlib.crc32(x) for x in spelled], pa.int64())]
+                        names += ["decoded_bytes", "decoded_crc32"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    schema = "id long, sample long, n_pieces long, ids_crc32 long, log_prob double, value double, log_inclusion double" + ", ids array<int>" * with_ids
+    schema = "id long, sample long, n_pieces long, ids_crc32 long, log_prob double, value double, log_inclusion double" + ", ids array<int>" * with_ids + ", decoded_bytes long, decoded_crc32 long" * with_decoded
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -93,3 +93,16 @@ def test_vocabulary_assumption():
 
 def test_empty(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_decodes_every_segmentation(spark, tmp_path):
+    import zlib
+
+    from assay.llm.queries import op10_sentencepiece
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_sentencepiece(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(len(TEXTS)))
+    for r in got:
+        want = TEXTS[r.doc_id].replace("▁", " ").encode()
+        assert (r.decoded_bytes, r.decoded_crc32) == (len(want), zlib.crc32(want))
