@@ -1,12 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-1. Base: four fixed expressions with their checks give the seed entities.
-2. Each seed's left neighbour word induces a lexical pattern (kind, word). Looser identifier-like strings that are not
-   seeds are candidate instances; a candidate stands in the patterns of its own left neighbour.
+1. Base: four fixed expressions with their checks give the seed entities. Credentials have no such expression; opaque
+   strings (16 characters or more, letters and digits mixed) are their instances, and those that look like keys by
+   themselves start with half a seed's score.
+2. Each instance stands in two lexical patterns: what is left of it (a word with the punctuation behind it, as `tel: ` or
+   `token = "`) and what is right of it (punctuation and a word). Looser identifier-like strings that are not base spans
+   are candidate instances.
 3. Patterns and instances form a bipartite graph that is scored in rounds: a pattern's confidence is the score of the
-   instances it extracts over all occurrences of its word in the whole corpus; an instance's score is the noisy-or of
-   its patterns' confidences; seeds score 1.
-4. Candidates in patterns of high confidence become spans beside the base ones.
+   instances it extracts over all occurrences of its context in the whole corpus, glued or not, whatever follows; the
+   context of a credential word starts half-way up. An instance's score is the noisy-or of its patterns' confidences;
+   seeds score 1. What trusted patterns extract counts as a seed in the next round, so that it induces patterns of its
+   own. Scores only grow; the rounds end when no pattern becomes trusted any more.
+4. Instances in patterns of high confidence become spans beside the base ones.
 
 Null text is the empty text. Repeated rows are reported row by row, and count as often in the statistics. A row without
 findings has empty spans; an empty table gives an empty result. Other columns keep their values and may have any name.
@@ -19,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with base expressions, and all kinds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 
 # The base expressions. \G and the look-behinds begin a match only where the plain expression's leftmost
 # match can begin, and possessive repeats give nothing back, so that long runs cost linear time; the matches are those of
@@ -33,33 +40,54 @@ BASE = {
 }
 #: What a text must hold for an expression to match; spares the others a scan.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-# Looser forms, for candidates: e-mail addresses written around, and grouped digits.
+# Looser forms, for candidates: e-mail addresses written around, grouped digits, opaque strings.
 LOOSE = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++|\x20?[(\[]dot[)\]]\x20?[\p{L}\p{N}-]++)*+",
     "number": r"(?<![\p{L}\p{N}])\+?[0-9]++(?:[\x20().:/-]{1,2}[0-9]++)*+(?![\p{L}\p{N}])",
+    "opaque": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}",
 }
-LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]", "number": r"[0-9](?:[\x20().:/-]{0,2}[0-9]){6}"}
+LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]", "number": r"[0-9](?:[\x20().:/-]{0,2}[0-9]){6}", "opaque": r"[0-9][A-Za-z]|[A-Za-z][0-9]"}
+# Words that name a credential; beginnings of keys that are known by them.
+CREDENTIAL = r"(?:^|[^\p{L}])(?:password|passwd|pwd|passphrase|secret|token|apikey|api_key|api-key|access_key|private_key|auth|bearer|credential|credentials|kennwort|passwort|contraseña)(?:[^\p{L}]|$)"
+KEY_FORM = r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|xoxb-|xoxp-|AIza|eyJ)[A-Za-z0-9_+/-]+)={0,2}$"
 
-ROUNDS = 3
-#: Different seeds that a pattern must have.
+#: Different values with a score of at least HALF that a pattern must have.
 MIN_SEEDS = 3
+HALF = 0.5
 MIN_CONFIDENCE = 0.6
+#: Patterns up to this number are broadcast to the count of contexts; more are joined by a shuffle.
+BROADCAST_PATTERNS = 500_000
 
-_SPAN = "struct<kind:int,start:int,end:int,value:string,word:string>"
+_SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string>"
+_W, _NOT_W = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+#: A context: a word with what is no word behind it, or before it; white space and plus signs count as one space.
+LEFT_UNIT = rf"{_W}++{_NOT_W}*+"
+RIGHT_UNIT = rf"(?:^|(?<={_W})){_NOT_W}*+{_W}++"
+
+
+def _spaced(x: str) -> str:
+    return rf"regexp_replace({x}, r'[\s+]+', ' ')"
+
+
+def _key(x: str) -> str:
+    """SQL: a context as a key; very long runs of punctuation by their digest."""
+    return f"if(length({x}) > 64, md5({x}), {x})"
 
 
 def _places(name: str, kind: int) -> Column:
     """Spans of the hits in column <name>_hits, from the lengths of what split() left between them, in <name>_gaps.
     Lengths are code points."""
+    left = _key(_spaced(rf"lower(regexp_extract(concat(x.gap, regexp_extract(x.hit, r'^{_NOT_W}*+', 0)), r'(?<!{_W}){_W}++{_NOT_W}*+$', 0))"))
+    right = _key(_spaced(rf"lower(regexp_extract(concat(regexp_extract(x.hit, r'{_NOT_W}*+$', 0), x.after), r'^{_NOT_W}*+{_W}++', 0))"))
     return F.expr(f"""
         coalesce(aggregate(
-            zip_with({name}_hits, slice({name}_gaps, 1, size({name}_hits)), (hit, gap) -> struct(hit, gap)),
+            zip_with({name}_hits, zip_with(slice({name}_gaps, 1, size({name}_hits)), slice({name}_gaps, 2, size({name}_hits)), (gap, after) -> struct(gap, after)), (hit, g) -> struct(hit, g.gap, g.after)),
             struct(0 AS at, cast(array() AS array<{_SPAN}>) AS found),
             (a, x) -> struct(
                 a.at + length(x.gap) + length(x.hit) AS at,
                 array_append(a.found, named_struct(
                     'kind', {kind}, 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'value', x.hit,
-                    'word', lower(regexp_extract(right(x.gap, 80), r'(\\S+)\\s*$', 1)))) AS found),
+                    'left', {left}, 'right', {right})) AS found),
             a -> a.found), cast(array() AS array<{_SPAN}>))""")
 
 
@@ -78,59 +106,81 @@ _MAY_BE = {
     "ip": ("number", r"s.value rlike r'^[0-9]++(?:[.:][0-9]++){3,}+$'"),
     "card": ("number", f"length({_digits}) BETWEEN 12 AND 19"),
     "phone": ("number", f"length({_digits}) BETWEEN 7 AND 15"),
+    "secret": ("opaque", "s.value rlike '[0-9][A-Za-z]|[A-Za-z][0-9]'"),
 }
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """rows(text, ...) with base and loose, arrays of spans; loose ones overlap no base span."""
-    forms = [(k, BASE[k], NEEDS[k]) for k in KINDS] + [(f"loose_{k}", rx, LOOSE_NEEDS[k]) for k, rx in LOOSE.items()]
+    forms = [(k, BASE[k], NEEDS[k]) for k in BASE_KINDS] + [(f"loose_{k}", rx, LOOSE_NEEDS[k]) for k, rx in LOOSE.items()]
     none = F.expr("cast(array() AS array<string>)")
     found = rows.withColumns({f"{k}_hits": F.when(F.col("text").rlike(need), F.regexp_extract_all("text", F.lit(rx), F.lit(0))).otherwise(none) for k, rx, need in forms})
     found = found.withColumns({f"{k}_gaps": F.when(F.size(f"{k}_hits") > 0, F.split("text", rx, -1)).otherwise(none) for k, rx, _ in forms})
     found = found.withColumns({f"{k}_spans": _places(k, i) for i, (k, _, _) in enumerate(forms)})
-    base = [f"filter({k}_spans, s -> {_VALID[k]})" for k in KINDS]
+    base = [f"filter({k}_spans, s -> {_VALID[k]})" for k in BASE_KINDS]
     found = found.withColumn("base", F.expr(f"concat({', '.join(base)})"))
-    loose = [f"transform(filter(loose_{form}_spans, s -> {test}), s -> named_struct('kind', {i}, 'start', s.start, 'end', s.end, 'value', s.value, 'word', s.word))" for i, (form, test) in enumerate(_MAY_BE.values())]
-    free = f"filter(concat({', '.join(loose)}), s -> s.word <> '' AND NOT exists(base, b -> b.start < s.end AND s.start < b.end))"
+    loose = [f"transform(filter(loose_{form}_spans, s -> {test}), s -> named_struct('kind', {i}, 'start', s.start, 'end', s.end, 'value', s.value, 'left', s.left, 'right', s.right))" for i, (form, test) in enumerate(_MAY_BE.values())]
+    free = f"filter(concat({', '.join(loose)}), s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end))"
     found = found.withColumn("loose", F.expr(free))
     return found.select(*rows.columns, "base", "loose")
 
 
-def _trusted_patterns(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """(kind, word, confidence) of the patterns that have at least MIN_CONFIDENCE after ROUNDS of scoring."""
-    spans = marked.select(F.explode(F.concat(F.expr("transform(base, s -> struct(s.kind, s.word, s.value, true AS seed))"), F.expr("transform(loose, s -> struct(s.kind, s.word, s.value, false AS seed))"))).alias("s"))
-    graph = cut(spans.select("s.*").where("word <> ''").groupBy("kind", "word", "value").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")))
-    # a word that stands before seeds of too few kinds of values never makes a pattern, so only the others are looked up
-    fit = graph.groupBy("kind", "word").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    words = rows.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-    patterns = cut(fit.join(words, "word").select("kind", "word", "total"))
-    edges = cut(graph.join(patterns, ["kind", "word"]))
-    scores = edges.groupBy("kind", "value").agg(F.bool_or("seed").cast("double").alias("score"))
-    trust = None
-    for _ in range(ROUNDS):
-        trust = cut(edges.join(scores, ["kind", "value"]).groupBy("kind", "word").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence")))
-        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
-        scores = edges.join(trust, ["kind", "word"]).groupBy("kind", "value").agg(F.when(F.bool_or("seed"), 1.0).otherwise(1 - miss).alias("score"))
-    return trust.where(F.col("confidence") >= MIN_CONFIDENCE)
+def context_totals(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(side, context, total) for the contexts of patterns(side, context): how often each occurs in the texts of all rows."""
+    text = _spaced("lower(text)")
+    units = [f"transform(regexp_extract_all({text}, r'{unit}', 0), u -> struct('{side}' AS side, {_key('u')} AS context))" for side, unit in (("left", LEFT_UNIT), ("right", RIGHT_UNIT))]
+    seen = rows.select(F.explode(F.expr(f"concat({', '.join(units)})")).alias("u")).select("u.*")
+    few = patterns.count() <= BROADCAST_PATTERNS
+    met = seen.join(F.broadcast(patterns) if few else patterns, ["side", "context"], "left_semi")
+    return met.groupBy("side", "context").agg(F.count("*").alias("total"))
+
+
+def trusted_patterns(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(kind, side, context, confidence) of the patterns that reach MIN_CONFIDENCE. rows(text) are all texts; spans(kind,
+    value, left, right, seed) all instances in them."""
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("context")) for x in ("left", "right")]))
+    start = F.when(F.bool_or("seed"), 1.0).when((F.col("kind") == KINDS.index("secret")) & F.col("value").rlike(KEY_FORM), HALF).otherwise(0.0)
+    graph = cut(spans.select("kind", "value", "seed", sides.alias("p")).where("p.context <> ''").groupBy("kind", "value", "p.side", "p.context").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")))
+    # a context of too few different values never makes a pattern, so only the others are counted in the corpus
+    fit = cut(graph.groupBy("kind", "side", "context").agg(F.count("*").alias("values"), F.sum("n").alias("hits")).where(F.col("values") >= MIN_SEEDS))
+    totals = context_totals(rows, fit.select("side", "context").distinct())
+    named = (F.col("kind") == KINDS.index("secret")) & (F.col("side") == "left") & F.col("context").rlike(CREDENTIAL)
+    known = fit.join(totals, ["side", "context"], "left").select("kind", "side", "context", F.greatest("hits", F.coalesce("total", F.lit(0))).alias("total"), named.alias("named"))
+    edges = cut(graph.join(known, ["kind", "side", "context"]))
+    scores = edges.groupBy("kind", "value").agg(start.alias("score"))
+    first, trusted = scores, -1
+    while True:
+        share = F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.max("total"))
+        confidence = F.when(F.count_if(F.col("score") >= HALF) >= MIN_SEEDS, F.when(F.first("named"), HALF + (1 - HALF) * share).otherwise(share)).otherwise(0.0)
+        trust = cut(edges.join(scores, ["kind", "value"]).groupBy("kind", "side", "context").agg(confidence.alias("confidence")).where(F.col("confidence") > 0))
+        now = trust.where(F.col("confidence") >= MIN_CONFIDENCE).count()
+        if now == trusted:
+            return trust.where(F.col("confidence") >= MIN_CONFIDENCE)
+        trusted = now
+        # only what trusted patterns extract gains: instances of weak contexts stay as they were
+        gain = edges.join(trust.where(F.col("confidence") >= MIN_CONFIDENCE), ["kind", "side", "context"])
+        miss = gain.groupBy("kind", "value").agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))).alias("miss"))
+        scores = first.join(miss, ["kind", "value"], "left").select("kind", "value", (1 - (1 - F.col("score")) * F.coalesce("miss", F.lit(1.0))).alias("score"))
 
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text, base, spans): row is the whole row of docs; base and spans are arrays of (kind, start, end) by kind and
     start; kind is a place in KINDS, offsets are code points, ends are exclusive."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
-    marked = _marked(rows)
-    trust = _trusted_patterns(rows, marked)
     short = "array_sort(transform({}, s -> struct(s.kind, s.start, s.end)))"
-    plain = marked.where(F.size("loose") == 0).select("row", "text", F.expr(short.format("base")).alias("base"))
-    plain = plain.withColumn("spans", F.col("base"))
-    # only rows with candidates are joined; they are written first, so that their numbers stay
-    open_rows = cut(marked.where(F.size("loose") > 0).withColumn("nr", F.monotonically_increasing_id()))
-    loose = open_rows.select("nr", F.explode("loose").alias("s")).select("nr", "s.*")
-    more = loose.join(trust, ["kind", "word"]).groupBy("nr").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    joined = open_rows.join(more, "nr", "left")
+    may = F.col("text").rlike("|".join([*NEEDS.values(), *LOOSE_NEEDS.values()]))
+    none = F.expr("cast(array() AS array<struct<kind:int,start:int,end:int>>)")
+    plain = rows.where(~may).select("row", "text", none.alias("base"), none.alias("spans"))
+    # rows that may hold instances are written once, so that they are marked once and their numbers stay
+    hit = cut(_marked(rows.where(may)).withColumn("nr", F.monotonically_increasing_id()))
+    spans = hit.select("nr", F.explode(F.expr("concat(transform(base, s -> struct(s.kind, s.start, s.end, s.value, s.left, s.right, true AS seed)), transform(loose, s -> struct(s.kind, s.start, s.end, s.value, s.left, s.right, false AS seed)))")).alias("s")).select("nr", "s.*")
+    trust = trusted_patterns(rows, spans)
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("context")) for x in ("left", "right")]))
+    asked = spans.where("NOT seed").select("nr", "kind", "start", "end", sides.alias("p")).select("nr", "kind", "start", "end", "p.*")
+    more = asked.join(trust, ["kind", "side", "context"]).groupBy("nr").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     base = F.expr(short.format("base"))
     every = F.when(F.col("more").isNull(), base).otherwise(F.array_sort(F.concat(base, "more")))
-    return plain.unionByName(joined.select("row", "text", base.alias("base"), every.alias("spans")))
+    return plain.unionByName(hit.join(more, "nr", "left").select("row", "text", base.alias("base"), every.alias("spans")))
 
 
 def spell(spans: str) -> Column:

@@ -27,10 +27,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are of base spans; n_found counts all spans."""
-    from .pii import KINDS, detect, spell
+    from .pii import BASE_KINDS, detect, spell
 
     found = detect(table(spark, sf_dir, "documents"))
-    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("row.doc_id", *counts, F.sha2(spell("base"), 256).alias("base_sha256"), spell("spans").alias("spans"), F.size("spans").cast("long").alias("n_found"))
 
 

@@ -1,6 +1,7 @@
+import hashlib
 import re
 
-from assay.llm.pii import KINDS, detect, redact, spell
+from assay.llm.pii import BASE_KINDS, detect, redact, spell
 from pyspark.sql import functions as F
 
 PLAIN = {
@@ -26,7 +27,7 @@ OK = {
 
 
 def brute(text):
-    return ",".join(f"{k}:{m.start()}:{m.end()}" for k in KINDS for m in re.finditer(PLAIN[k], text) if OK[k](m[0]))
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k in BASE_KINDS for m in re.finditer(PLAIN[k], text) if OK[k](m[0]))
 
 
 HARD = [
@@ -75,3 +76,28 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert detect(docs).count() == 0 and redact(docs).count() == 0
+
+
+def test_glued_contexts_credentials_and_induced_patterns(spark):
+    rows = [(i, f"call tel:+1555000{1000 + i} now or mailto:user{i}@mail.example today") for i in range(6)]
+    rows += [(10, "tel:555-123-4567 or mailto:anna(at)mail(dot)example"), (11, "hotel 555-123-4567")]
+    keys = ["".join("0123456789abcdef"[(7 * i + 3 * j) % 16] for j in range(20)) for i in range(5)]
+    rows += [(20 + i, f'x token = "{k}" y') for i, k in enumerate(keys)]
+    rows += [(30 + i, f"vault: <{k}> z") for i, k in enumerate(keys)]  # found as tokens, these induce the pattern 'vault: <'
+    rows += [(40, "vault: <Zq9-unseen_value_17x> z"), (41, "commit 0123456789abcdef0123456789abcdef01234567 is no secret")]
+    got = {r.doc_id: r.spans for r in detect(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", spell("spans").alias("spans")).collect()}
+    assert got[10] == "email:20:51,phone:4:16".replace("20:51", f"{rows[6][1].index('anna')}:{len(rows[6][1])}") and got[11] == ""
+    assert all(got[20 + i] == "secret:11:31" and got[30 + i] == "secret:8:28" for i in range(5))
+    assert got[40] == "secret:8:28" and got[41] == ""
+
+
+def test_spans_beyond_the_base_in_the_given_tables(spark):
+    from assay.llm.queries import op3_pii
+
+    rows = op3_pii(spark, "/root/testdata/sf0.01").collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    base = {i: brute(t or "") for i, t in docs.items()}
+    assert {r.doc_id: r.base_sha256 for r in rows} == {i: hashlib.sha256(b.encode()).hexdigest() for i, b in base.items()}
+    more = [(r.doc_id, s.split(":")) for r in rows for s in r.spans.split(",") if s and s not in base[r.doc_id].split(",")]
+    assert len(more) > 5
+    assert all(kind == "secret" and re.search(r'token = "$|password=$', docs[i][: int(a)]) for i, (kind, a, _) in more)
