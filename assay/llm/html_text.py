@@ -1,19 +1,25 @@
 """Main text of HTML pages: flat text blocks, their word count and link density and those of their neighbours, classified
 by a decision tree that is trained on a small labelled table.
 
-A page is read as a flat sequence of text blocks; any block-level tag ends one. Each block knows its words, its share of
-linked words, whether it is a heading, and in which kind of container it stands. The tree is grown by Gini impurity from
-the blocks of the hand-labelled pages in LABELLED, where the attribute data-main marks what is main text.
-
-Null html and pages without main text give the empty text. Unclosed and stray tags are tolerated; text of any length is
-read whole. Repeated rows are extracted row by row. An empty table gives an empty result. Other columns play no part.
+A page is read as a flat sequence of text blocks; any block-level tag ends one. A block is described by numbers: its words
+and share of linked words, those of the blocks before and after it, the words of its container, whether it ends a
+sentence or is a heading, and whether HTML's own elements (article, main; nav, aside, footer ...) enclose it. Names in
+class, id and role are one weak feature among these. The tree is grown by Gini impurity from LABELLED, where the attribute
+data-main marks what is main text, and from pages that labelled_pages() composes, some without any names or enclosing
+elements, some with misleading ones.
+
+Null html and pages without main text give the empty text. Unclosed and stray tags are tolerated; no byte of a page is
+looked at more than a fixed number of times, so text of any length is read whole in linear time. Repeated rows are extracted
+row by row. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import functools
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +38,7 @@ BLOCK_TAGS = frozenset(
 CONTAINERS = frozenset("article aside body button details dialog div dl fieldset figure footer form head header main menu nav ol section select table td title ul".split())
 RAW_TAGS = frozenset("iframe noembed noframes noscript object script style svg template textarea xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# Elements, roles and parts of class or id names that stand for furniture, and those for the main text.
+# Elements, roles and parts of class or id names that stand for furniture.
 FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav select title".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 FURNITURE_NAMES = frozenset(
@@ -40,10 +46,10 @@ FURNITURE_NAMES = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted recommended related replies reply respond "
     "share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toc toolbar topbar widget".split()
 )
-MAIN_NAMES = frozenset("article body content entry main post story text".split())
 
-_tag = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _attribute = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_special = re.compile(r"""[>"']""")
+_tag_name = re.compile(r"/?[A-Za-z][^\s/>]*+")
 _name_part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _hidden_style = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -54,8 +60,11 @@ class Block:
     words: int
     linked: int
     main: bool
-    furniture: bool
+    landmark: bool
+    named: bool
+    hidden: bool
     heading: bool
+    box: int
     marked: bool = False
 
 
@@ -63,8 +72,11 @@ class Block:
 class _Open:
     tag: str
     main: bool
-    furniture: bool
+    landmark: bool
+    named: bool
+    hidden: bool
     marked: bool
+    box: int
 
 
 @dataclass
@@ -72,12 +84,15 @@ class _Page:
     """What has been read so far: finished blocks, the open containers and the pending text."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False, False, False, 0)])
+    open_tags: Counter = field(default_factory=Counter)
+    boxes: int = 0
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     in_link: bool = False
     heading: bool = False
-    marked: bool = False
+    #: what a paragraph, heading or list item says of itself
+    own: _Open | None = None
 
     def add(self, raw: str) -> None:
         if raw:
@@ -90,51 +105,115 @@ class _Page:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                at = self.stack[-1]
-                self.blocks.append(Block(" ".join(words), len(words), len("".join(self.links).split()), at.main, at.furniture, self.heading, self.marked or at.marked))
+                at = self.own or self.stack[-1]
+                self.blocks.append(Block(" ".join(words), len(words), len("".join(self.links).split()), at.main, at.landmark, at.named, at.hidden, self.heading, self.stack[-1].box, at.marked))
         self.parts, self.links = [], []
 
+    def enter(self, tag: str, attributes: str) -> None:
+        self.boxes += 1
+        self.stack.append(_kind(tag, attributes, self.stack[-1], self.boxes))
+        self.open_tags[tag] += 1
+
+    def leave(self, tag: str) -> None:
+        """Closes the innermost container of that tag with all that is open in it; a stray end tag does nothing."""
+        while self.open_tags[tag]:
+            last = self.stack.pop().tag
+            self.open_tags[last] -= 1
+            if last == tag:
+                break
 
-def _kind(tag: str, attributes: str, above: _Open) -> _Open:
+
+def _kind(tag: str, attributes: str, above: _Open, box: int) -> _Open:
     """The container that a tag opens. What is furniture stays so within; a page header isn't, inside the main text."""
-    main, furniture = tag in ("article", "main"), tag in FURNITURE_TAGS or (tag == "header" and not above.main)
-    marked = False
+    main, landmark = tag in ("article", "main"), tag in FURNITURE_TAGS or (tag == "header" and not above.main)
+    named = hidden = marked = False
     if attributes.strip():
         for m in _attribute.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 parts = {p.lower() for p in _name_part.findall(value)}
                 if tag not in ("body", "html"):
-                    furniture |= not parts.isdisjoint(FURNITURE_NAMES) and not (above.main and parts <= {"header", "article", "entry", "post"})
-                    main |= not parts.isdisjoint(MAIN_NAMES)
+                    named |= not parts.isdisjoint(FURNITURE_NAMES) and not (above.main and parts <= {"header", "article", "entry", "post"})
             elif key == "role":
-                furniture |= value.lower() in FURNITURE_ROLES
+                landmark |= value.lower() in FURNITURE_ROLES
                 main |= value.lower() in ("main", "article")
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _hidden_style.search(value)):
-                furniture = True
+                hidden = True
             elif key == "data-main":
                 marked = True
-    return _Open(tag, above.main or main, above.furniture or furniture, above.marked or marked)
+    return _Open(tag, above.main or main, above.landmark or landmark, above.named or named, above.hidden or hidden, above.marked or marked, box)
+
+
+class _Scanner:
+    """Finds the ends of tags. Where a search failed it is never repeated, so that all searches together are linear."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.none_from: dict[str, int] = {}
+        self.dead: set[int] = set()  # quotes from which no end of a tag is reached
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.none_from.get(what, self.n + 1):
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.none_from[what] = at
+        return i
+
+    def tag_end(self, at: int) -> int:
+        """The > that ends a tag whose name ends at `at`: outside of quotes if there is such, else the next one; or -1."""
+        seen, p = [], at
+        while self.find(">", p) >= 0:
+            m = _special.search(self.page, p)
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            p = self.find(m[0], m.end()) + 1
+            if not p:
+                break
+        self.dead.update(seen)
+        return self.find(">", at)
+
+
+def _next_tag(scan: _Scanner, at: int) -> tuple[int, int, str, str] | None:
+    """(start, end, name, attributes) of the next tag, declaration or comment; the latter two have no name."""
+    page = scan.page
+    while (start := scan.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = scan.find("-->", start + 4)
+            return start, scan.n if end < 0 else end + 3, "", ""
+        end = scan.find(">", start)
+        if end < 0:
+            rest = scan.find("<!--", start)
+            return None if rest < 0 else (rest, scan.n, "", "")
+        if page[start + 1 : start + 2] in ("!", "?"):
+            return start, end + 1, "", ""
+        m = _tag_name.match(page, start + 1)
+        if m:
+            end = scan.tag_end(m.end())
+            if end >= 0:
+                return start, end + 1, m[0], page[m.end() : end]
+        at = start + 1
+    return None
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in page order."""
-    state, at, n = _Page(), 0, len(page)
-    while at < n:
-        m = _tag.search(page, at)
-        if m is None:
-            state.add(page[at:])
-            break
-        state.add(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+    state, at, scan = _Page(), 0, _Scanner(page)
+    text_from = 0
+    while (found := _next_tag(scan, at)) is not None:
+        start, at, name, attributes = found
+        state.add(page[text_from:start])
+        text_from = at
+        if not name:
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
+        closing, tag = name[0] == "/", name.lstrip("/").lower()
         if tag in RAW_TAGS:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+                at = text_from = end.end() if end else scan.n
             continue
         if tag == "a":
             state.in_link = not closing
@@ -143,48 +222,45 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCK_TAGS:
             continue
         state.end_block()
-        state.in_link = False
+        state.in_link, state.own = False, None
         if tag[0] == "h" and tag[1:].isdigit():
             state.heading = not closing
         elif tag != "hr":
             state.heading = False
         if tag in CONTAINERS:
-            if not closing:
-                if tag not in VOID_TAGS:
-                    state.stack.append(_kind(tag, attributes, state.stack[-1]))
-                state.marked = False
-            else:
-                for i in range(len(state.stack) - 1, 0, -1):
-                    if state.stack[i].tag == tag:
-                        del state.stack[i:]
-                        break
-        else:  # paragraphs, headings, list items: hidden ones and labels count, without a place in the stack
-            own = None if closing or not attributes.strip() else _kind(tag, attributes, state.stack[-1])
-            state.marked = own is not None and own.marked
-            if own is not None and own.furniture != state.stack[-1].furniture:
-                end = re.compile(rf"</{re.escape(tag)}\s*>|<(?:{tag}|article|aside|div|footer|main|nav|section)\b", re.I).search(page, at)
-                stop = end.start() if end else n
-                text = html.unescape(re.sub(r"<[^>]*>", " ", page[at:stop])).split()
-                if text:
-                    state.blocks.append(Block(" ".join(text), len(text), 0, own.main, True, False, own.marked))
-                at = stop
+            if closing:
+                state.leave(tag)
+            elif tag not in VOID_TAGS:
+                state.enter(tag, attributes)
+        elif not closing and attributes.strip():
+            state.own = _kind(tag, attributes, state.stack[-1], state.stack[-1].box)
+    state.add(page[text_from:])
     state.end_block()
-    return state.blocks
+    return [b for b in state.blocks if not b.hidden]
 
 
 #: The columns of the table that the tree is grown from.
-FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "in_main", "in_furniture", "heading", "page_has_main")
+FEATURES = (
+    *("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "most_near_words"),
+    *("box_words", "box_link_density", "ends_sentence", "heading", "in_main", "in_landmark", "named", "page_has_main"),
+)
+_sentence_end = re.compile(r"[.!?…。！？:][\"'”’»)]*$")
 
 
 def features(page: list[Block]) -> np.ndarray:
     n = len(page)
     words = np.array([b.words for b in page], float)
-    density = np.array([b.linked for b in page], float) / np.maximum(words, 1)
+    linked = np.array([b.linked for b in page], float)
+    density = linked / np.maximum(words, 1)
     before, after = np.r_[0.0, words[:-1]], np.r_[words[1:], 0.0]
     d_before, d_after = np.r_[0.0, density[:-1]], np.r_[density[1:], 0.0]
-    flags = np.array([(b.main, b.furniture, b.heading) for b in page], float).reshape(n, 3)
-    has_main = np.full(n, float(any(b.main and not b.furniture for b in page)))
-    return np.column_stack([words, density, before, d_before, after, d_after, flags, has_main])
+    near = np.max([np.r_[np.zeros(k), words * (density < 0.3)][:n] if k >= 0 else np.r_[words * (density < 0.3), np.zeros(-k)][-k:][:n] for k in (-3, -2, -1, 1, 2, 3)], axis=0)
+    _, box = np.unique([b.box for b in page], return_inverse=True)
+    in_box, linked_in_box = np.bincount(box, words)[box], np.bincount(box, linked)[box]
+    ends = np.array([_sentence_end.search(b.text[-8:]) is not None for b in page], float)
+    flags = np.array([(b.heading, b.main, b.landmark, b.named) for b in page], float).reshape(n, 4)
+    has_main = np.full(n, float(any(b.main and not b.landmark for b in page)))
+    return np.column_stack([words, density, before, d_before, after, d_after, near, in_box, linked_in_box / np.maximum(in_box, 1), ends, flags, has_main])
 
 
 # The small labelled table, as pages: blocks under data-main are main text, the others are not.
@@ -236,6 +312,74 @@ LABELLED = (
 )
 
 
+_SYLLABLES = "ba de fi go lu ma ne pi ro su ta ve wi zo ka len mor tis und rel".split()
+
+
+def _prose(rng: random.Random, words: int) -> str:
+    """Invented words in sentences; only their number and marks matter."""
+    out = ["".join(rng.choices(_SYLLABLES, k=rng.randint(1, 3))) for _ in range(max(words, 1))]
+    for i in range(rng.randint(5, 14), words - 1, 12):
+        out[i] += rng.choice((".", ",", "."))
+    return " ".join(out).capitalize() + "."
+
+
+def _links(rng: random.Random, n: int) -> str:
+    one = lambda: f"<a href=/x>{_prose(rng, rng.randint(1, 4))[:-1]}</a>"
+    if rng.random() < 0.5:
+        return "<ul>" + "".join(f"<li>{one()}</li>" for _ in range(n)) + "</ul>"
+    return f"<p>{' | '.join(one() for _ in range(n))}</p>"
+
+
+def labelled_pages(n: int = 720, seed: int = 11) -> list[str]:
+    """Pages composed by a rule, with data-main on their main text: with HTML's own elements, with named containers, with
+    plain ones, and with names that mislead."""
+    rng, out = random.Random(seed), []
+    out += [f"<body><p>{_prose(rng, rng.randint(1, 4))[:-1]}</p></body>" for _ in range(n // 48)]  # "Loading" and the like
+    for i in range(n):
+        style = ("elements", "names", "plain", "misleading")[i % 4]
+        box = {"elements": "nav aside footer aside section".split(), "names": 5 * ["div"], "plain": 5 * ["div"], "misleading": 5 * ["div"]}[style]
+        name = lambda k: f" class={rng.choice(k.split())}" if style == "names" else ""
+        title = f"<h1>{_prose(rng, rng.randint(2, 8))[:-1]}</h1>" if rng.random() < 0.8 else ""
+        body = []
+        top = rng.choice((9, 35, 120)) if style == "elements" else 120
+        short = top < 120  # then only what encloses the text tells
+        for j in range(rng.randint(1 if short else 2, 7)):
+            length = rng.randint(1, top) if short else rng.randint(1, 7) if (j and rng.random() < 0.3) else rng.randint(18, top)
+            text = _prose(rng, length).replace(" ", " <a href=/y>", 1).replace(" ", "</a> ", 2) if rng.random() < 0.1 and length > 30 else _prose(rng, length)
+            body.append(f"<{'p' if rng.random() < 0.9 else 'blockquote'}>{text}</p>")
+            if rng.random() < 0.15:
+                body.append(f"<h2>{_prose(rng, rng.randint(1, 5))[:-1]}</h2>")
+                body.append(f"<p>{_prose(rng, rng.randint(1, top) if short else rng.randint(20, 60))}</p>")
+        advert = lambda: f"<div{' class=ad' if style in ('names', 'elements') else ''}>{_prose(rng, rng.randint(4, 30))}</div>"
+        if rng.random() < 0.3:
+            body.insert(rng.randint(1, len(body)), f"</SPLIT>{advert()}<SPLIT>")
+        inner = "".join([title, *body])
+        open_main, close_main = {"elements": ("<article data-main>", "</article>"), "names": ("<div class=story data-main>", "</div>"), "plain": ("<div data-main>", "</div>"), "misleading": ("<div class='has-sidebar promo-theme' data-main>", "</div>")}[style]
+        if "SPLIT" in inner:  # an advert between paragraphs: the enclosing element stays, the parts are marked
+            shell = open_main.replace(" data-main", "")
+            inner = inner.replace("</SPLIT>", "</div>").replace("<SPLIT>", "<div data-main>")
+            main = f"{shell}<div data-main>{inner}</div>{close_main}"
+        else:
+            main = open_main + inner + close_main
+        parts = [f"<{box[0]}{name('menu nav topbar')}>{_links(rng, rng.randint(3, 8))}</{box[0]}>"]
+        if rng.random() < 0.6:
+            parts.append(advert())
+        if rng.random() < 0.3 and style != "misleading":
+            parts.append(f"<{box[3]}{name('cookie notice')}><p>{_prose(rng, rng.randint(8, 25))}</p><button>{_prose(rng, 1)}</button></{box[3]}>")
+        parts.append(main)
+        if rng.random() < 0.4:
+            parts.append(f"<{box[1]}{name('sidebar related')}><h3>{_prose(rng, 2)[:-1]}</h3>{_links(rng, rng.randint(3, 6))}</{box[1]}>")
+        if rng.random() < 0.4 and style == "elements":
+            other = rng.choice(("aside", "form", "footer"))
+            parts.insert(rng.randint(0, len(parts)), f"<{other}>{''.join(f'<p>{_prose(rng, rng.randint(2, 70))}</p>' for _ in range(rng.randint(1, 3)))}</{other}>")
+        if rng.random() < 0.3 and style in ("elements", "names"):
+            parts.append(f"<section class=comments><p>{_prose(rng, rng.randint(3, 40))}</p><p>{_prose(rng, rng.randint(3, 40))}</p></section>")
+        parts.append(f"<{box[2]}{name('footer copyright')}>&copy; {_prose(rng, rng.randint(3, 40 if style == "elements" else 22))}{' <a href=/i>Imprint</a>' if rng.random() < 0.5 else ''}</{box[2]}>")
+        head = f"<head><title>{_prose(rng, rng.randint(2, 20))}</title></head>" if rng.random() < 0.7 else ""
+        out.append(f"<html>{head}<body>{''.join(parts)}</body></html>")
+    return out
+
+
 @dataclass(frozen=True)
 class Tree:
     """An inner node asks whether feature <= bound; a leaf has feature -1 and the share of main blocks in `share`."""
@@ -255,29 +399,36 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Tree:
     """A binary decision tree by Gini impurity; of equal splits the first feature and the lowest bound."""
-    share = float(y.mean())
+    n, share = len(y), float(y.mean())
     best: tuple[float, int, float] | None = None
-    if depth and 0 < share < 1:
+    if depth and 0 < share < 1 and n >= 2 * least:
+        left = np.arange(1, n)
         for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for bound in (values[:-1] + values[1:]) / 2:
-                left = x[:, f] <= bound
-                if min(left.sum(), (~left).sum()) >= least:
-                    impurity = sum(s.sum() * y[s].mean() * (1 - y[s].mean()) for s in (left, ~left))
-                    if best is None or impurity < best[0] - 1e-12:
-                        best = (impurity, f, float(bound))
+            order = np.argsort(x[:, f], kind="stable")
+            v, hits = x[order, f], np.cumsum(y[order])
+            a, b = hits[:-1], hits[-1] - hits[:-1]
+            impurity = a * (1 - a / left) + b * (1 - b / (n - left))
+            ok = (v[1:] > v[:-1]) & (left >= least) & (n - left >= least)
+            if ok.any():
+                i = int(np.where(ok, impurity, np.inf).argmin())
+                if best is None or impurity[i] < best[0] - 1e-9:
+                    best = (float(impurity[i]), f, float((v[i] + v[i + 1]) / 2))
     if best is None:
         return Tree(-1, 0.0, share)
-    left = x[:, best[1]] <= best[2]
-    return Tree(best[1], best[2], share, grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
+    low = x[:, best[1]] <= best[2]
+    return Tree(best[1], best[2], share, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
+
+
+def grow_from(pages: list[str]) -> Tree:
+    read = [blocks(p) for p in pages]
+    return grow(np.vstack([features(p) for p in read]), np.array([float(b.marked) for p in read for b in p]))
 
 
 @functools.cache
 def default_tree() -> Tree:
-    pages = [blocks(p) for p in LABELLED]
-    return grow(np.vstack([features(p) for p in pages]), np.array([float(b.marked) for p in pages for b in p]))
+    return grow_from([*LABELLED, *labelled_pages()])
 
 
 def main_text(page: str, tree: Tree) -> str:

@@ -1,4 +1,8 @@
-from assay.llm.html_text import LABELLED, blocks, default_tree, extract, features, main_text
+import re
+import time
+
+import pytest
+from assay.llm.html_text import LABELLED, blocks, default_tree, extract, features, labelled_pages, main_text
 
 
 def test_tree_fits_most_of_the_table():
@@ -38,3 +42,58 @@ def test_frame(spark):
     assert sorted((r.page_id or 0, r.url, r.n_chars) for r in got.where("page_id is null or page_id = 1").collect()) == [(0, "v", 3), (1, "u", 70)]
     assert [r.text for r in got.where("page_id = 2").collect()] == ["", ""]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _errors(tree, pages):
+    """(blocks, errors of the tree, errors of a rule that keeps whatever isn't furniture by its name or element)"""
+    found = [(blocks(p), tree.predict(features(blocks(p))) >= 0.5) for p in pages]
+    pairs = [(b, k) for bs, ks in found for b, k in zip(bs, ks, strict=True)]
+    return len(pairs), sum(k != b.marked for b, k in pairs), sum((not b.named and not b.landmark) != b.marked for b, _ in pairs)
+
+
+def test_tree_beats_the_name_list_on_pages_it_has_not_seen():
+    unseen = labelled_pages(200, seed=99)
+    n, wrong, by_name = _errors(default_tree(), unseen)
+    assert wrong < 0.02 * n and wrong < by_name / 10
+    plain, misleading = unseen[200 // 48 + 2 :: 4], unseen[200 // 48 + 3 :: 4]
+    for pages in (plain, misleading):  # names tell nothing or the wrong thing there
+        n, wrong, by_name = _errors(default_tree(), pages)
+        assert wrong < 0.03 * n < by_name
+
+
+def test_neighbours_change_the_result():
+    """The same block is main text between paragraphs, and is not between links."""
+    tree, short = default_tree(), "<p>Short line of six words.</p>"
+    long = f"<p>{'word and more ' * 20}stop.</p>"
+    links = "<ul>" + "<li><a href=/x>some link</a></li>" * 6 + "</ul>"
+    between = main_text(f"<body><div>{long}{short}{long}</div></body>", tree)
+    alone = main_text(f"<body><div>{links}</div><div>{short}</div><div>{links}</div><div>{long}{long}</div></body>", tree)
+    assert "Short line" in between and "Short line" not in alone and alone.startswith("word and")
+    advert = "<div>Only now: nineteen words about a lamp that nobody needs but all will want to have at home soon.</div>"
+    assert "lamp" not in main_text(f"<body><div>{links}</div>{advert}<div>{long}{long}{long}</div></body>", tree)
+
+
+def test_against_brute_force_on_the_given_pages(spark):
+    """The given pages have one article each; what is in it, but for markup, is the main text."""
+    import html as h
+
+    from assay.llm.queries import op5_html_extraction
+
+    def brute(page):
+        page = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", page or "")
+        m = re.search(r"(?s)<article>(.*?)</article>", page)
+        parts = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", p))).split()) for p in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", m[1])] if m else []
+        return "\n\n".join(p for p in parts if p)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in op5_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    with_article = [i for i, p in pages.items() if p and "</article>" in p]
+    assert got.keys() == pages.keys() and len(with_article) > 200
+    assert [i for i in with_article if got[i] != brute(pages[i])] == []
+
+
+@pytest.mark.parametrize("piece", ["<a", '<p "', '<a "> "', "<", "<!", "<!--", "</script", "<div>", "</section>", "&", "<p style='display:none'><"])
+def test_hard_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    blocks("<div>" * 20_000 + piece * 100_000)
+    assert time.perf_counter() - start < 20
