@@ -2,9 +2,10 @@
 
 A fingerprint has eight positional bytes. Fingerprints that differ in at most d < 5 bits differ in at most d bytes, so
 they share at least 8 - d of the (position, byte) tokens: the guaranteed minimum. Lists of single tokens would hold
-1/256 of all fingerprints each and pairs would grow with the square of the corpus, so a posting list is keyed by 8 - d
-tokens at once: a pair meets in a list if and only if its tally of shared positional bytes reaches the minimum. What
-meets is verified by its Hamming distance.
+1/256 of all fingerprints each and pairs would grow with the square of the corpus, so a posting list is keyed by three
+tokens: twenty triples of positions are enough that any four positions hold one of them, so every pair that shares four
+tokens meets. For each pair that meets, the shared positional bytes are tallied; pairs whose tally reaches the minimum are
+verified by their Hamming distance.
 
 Work is on distinct fingerprints; copies of a text fold into one before the index is built. A list leaves only a
 spanning forest of its links, which keeps every connection and never all pairs. Lists longer than LONG are dealt out as
@@ -12,7 +13,7 @@ pairs of blocks to many tasks.
 
 Null text is the empty text; a text without words has fingerprint zero and is linked like any other. Repeated rows and
 repeated ids are kept as rows. A null id is never chosen as a component's id unless all its members' ids are null. An
-empty table gives an empty result.
+empty table gives an empty result. Other columns play no part in near_duplicates() and may have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,11 @@ from .common import Words, cut, text_blocks, text_or_empty
 #: Distinct fingerprints of a posting list that one task compares; longer lists are split into blocks of about this size.
 LONG = 2048
 _BLOCK = 1 << 18
+#: Parts that the members of components are dealt into, so that one giant component isn't one task.
+SALTS = 16
+#: Turan's system: three groups of positions, the triples within one and those of two from a group and one from the next.
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+TRIPLES = tuple(t for t in combinations(range(8), 3) if any(len(set(t) & set(g)) == 3 or (len(set(t) & set(g)) == 2 and len(set(t) & set(_GROUPS[(i + 1) % 3])) == 1) for i, g in enumerate(_GROUPS)))
 
 
 def simhash_texts(texts: list[bytes], k: int = 4, seed: int = 42) -> np.ndarray:
@@ -63,6 +70,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def _near(x: np.ndarray, bits: int) -> np.ndarray:
+    """Of xors of fingerprints: does the tally of equal positional bytes reach the minimum, and the distance keep the bound?"""
+    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1, dtype=np.int8)
+    near = tally >= 8 - bits
+    near[near] = np.bitwise_count(x[near]) <= bits
+    return near
+
+
 def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links (smallest of its group, member) with the connections of all pairs of fp within so many bits."""
     m = len(fp)
@@ -77,7 +92,7 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
         while len(front) and len(todo):
             near = np.zeros(len(todo), bool)
             for lo in range(0, len(front), 256):
-                near |= (np.bitwise_count(u[front[lo : lo + 256], None] ^ u[None, todo]) <= bits).any(axis=0)
+                near |= _near(u[front[lo : lo + 256], None] ^ u[None, todo], bits).any(axis=0)
             front = todo[near]
             root[front] = start
             todo = todo[~near]
@@ -100,7 +115,7 @@ def _between(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
     ua, ub = a.view(np.uint64), b.view(np.uint64)
     for lo in range(0, len(a), 256):
-        for i, j in np.argwhere(np.bitwise_count(ua[lo : lo + 256, None] ^ ub[None, :]) <= bits).tolist():
+        for i, j in np.argwhere(_near(ua[lo : lo + 256, None] ^ ub[None, :], bits)).tolist():
             x, y = find(lo + i), find(len(a) + j)
             if x != y:
                 root[y] = x
@@ -116,9 +131,9 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints fps(fp) that connect just what lies within so many bits."""
     if not 0 <= bits <= 4:
-        raise ValueError("bits must be 0 to 4: the index is keyed by at least four shared bytes")
+        raise ValueError("bits must be 0 to 4: pairs that share fewer than four bytes don't all meet in the index")
     keys = []
-    for at in combinations(range(8), 8 - bits):
+    for at in TRIPLES:
         mask = sum(0xFF << (8 * i) for i in at)
         keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(sum(1 << i for i in at))))
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
@@ -147,7 +162,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
             pairs: list[tuple[int, int]] = []
             # lists of two, the most by far, all at once
             two = starts[:-1][(ends - starts)[:-1] == 2]
-            near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= bits]
+            near = two[_near((fp[two] ^ fp[two + 1]).view(np.uint64), bits)]
             pairs += zip(np.minimum(fp[near], fp[near + 1]).tolist(), np.maximum(fp[near], fp[near + 1]).tolist(), strict=True)
             for i in np.flatnonzero((ends - starts)[:-1] > 2):
                 s, e = starts[i], ends[i]
@@ -208,16 +223,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = 4) -> DataFrame:
     """Every row of docs as (id_col, fp, component_id); component_id is the smallest id reachable over links."""
     rows = cut(fingerprints(docs, id_col, text_col, k))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    roots = connected_components(links(nodes.select("fp"), bits))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    members = joined_components(nodes, bits)
+    alone = nodes.join(members.select("fp"), "fp", "left_anti")
+    ids = members.select("fp", F.col("least").alias("component_id")).unionByName(alone.select("fp", F.col("first").alias("component_id")))
     return rows.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def joined_components(nodes: DataFrame, bits: int) -> DataFrame:
+    """(fp, first, least) for the fingerprints of nodes(fp, first) that have links: least is the smallest first of their
+    component. `least` of a component is repeated SALTS times, so that its members meet it in many partitions."""
+    roots = cut(connected_components(links(nodes.select("fp"), bits)))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = placed.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return placed.join(least, ["root", "salt"]).select("fp", "first", "least")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, bits: int = 4) -> DataFrame:
-    """docs with one row of each component, that of the smallest id; all columns as they were."""
-    found = near_duplicates(docs, id_col, text_col, k, bits)
-    keep = found.groupBy("component_id").agg(F.count("*")).select(F.col("component_id").alias("__keep"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """docs with one row of each component; all columns as they were, whatever their names.
+
+    The row of the smallest id stays, null ids after all others; of repeated ids the one with the smallest text hash, and of
+    rows that agree in both any one. Rows are folded by fingerprint, in one shuffle of texts whose map side already drops
+    copies; a component then keeps the fingerprint that holds its smallest row."""
+    id_, text = F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col).cast("binary")
+
+    @F.pandas_udf("long")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(simhash_texts(texts.tolist(), k).view(np.int64))
+
+    order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(docs.columns)]).alias("row"), order.alias("at"), fingerprint(text).alias("fp"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("at").alias("at")).select("fp", F.struct("at", "fp").alias("first")))
+    later = joined_components(nodes, bits).where("first <> least").select("fp")
+    folded = rows.groupBy("fp").agg(F.min_by("row", "at").alias("row"))
+    kept = folded.join(later, "fp", "left_anti")
+    return kept.select(*[F.col("row").getField(str(i)).alias(c) for i, c in enumerate(docs.columns)])

@@ -80,3 +80,21 @@ def test_empty_null_ids_and_repeated_rows(spark):
 def test_chain_of_components(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in connected_components(edges).collect()} == {0}
+
+
+def test_any_four_positions_hold_a_triple():
+    from itertools import combinations
+
+    from assay.llm.simhash import TRIPLES
+
+    assert len(TRIPLES) == 20 and all(any(set(t) <= set(four) for t in TRIPLES) for four in combinations(range(8), 4))
+
+
+def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark):
+    a, b, c = "a b c d e f", "other words stand here now", "nothing like it at all stands in the third"
+    rows = [(4, a, 1), (4, a, 2), (2, b, 3), (4, b, 4), (None, c, 5), (None, a, 6), (None, c, 7)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, c), (2, b), (4, a)]
+    assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = drop_near_copies(spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, " ", "z")], "doc_id long, text string, row string")).collect()
+    assert [tuple(r) for r in empty] == [(1, None, "x")]
