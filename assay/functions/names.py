@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ def id_part(composite: Column, part: int) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
+    """Files in folders of tests, and files named as tests."""
     return path.rlike(r"(^|/)(tests?|testing)/|(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$")
 
 
@@ -37,8 +40,8 @@ def strip_ansi(text: Column) -> Column:
 
 
 def whole_word(text: Column, word: str) -> Column:
-    """Does word stand in text without a letter, digit or underscore beside it?"""
-    return text.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])")
+    """Does word, taken literally, stand in text without a letter, digit or underscore beside it?"""
+    return text.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(word)}($|[^\p{{L}}\p{{N}}_])")
 
 
 def lines(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import code_tokens
 from ..functions.names import words
 
 
@@ -12,6 +13,23 @@ def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(words(F.lower(text))).alias("at", "token"))
 
 
+def code_token_rows(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, at, token) of source files: strings, numbers and names are placeholders."""
+    return files.select(*keys, F.posexplode(code_tokens(F.col(text))).alias("at", "token"))
+
+
+def library_prints(prints: DataFrame) -> DataFrame:
+    """(print): what a whole library has, each once."""
+    return prints.select("print").distinct()
+
+
+def library_containment(prints: DataFrame, library: DataFrame, key: str) -> DataFrame:
+    """(key, prints, containment): the share of a candidate's prints that a library has. The library has a print once, so
+    a print that everyone has makes no pairs; its rows are split like any skewed join's."""
+    marked = prints.join(library_prints(library).withColumn("in_library", F.lit(1)), "print", "left")
+    return marked.groupBy(key).agg(F.count("*").alias("prints"), (F.count("in_library") / F.count("*")).alias("containment"))
+
+
 def winnow(tokens: DataFrame, key: str, k: int, w: int, digest=F.crc32) -> DataFrame:
     """(key, print): the smallest digest of each w consecutive k-grams; all of them if there are no more than w."""
     order = Window.partitionBy(key).orderBy("at")

@@ -8,36 +8,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assay-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assay-"))
     return df.checkpoint(eager=True)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of what edges(src, dst) lead to from seeds(node); depth is the fewest steps. Cycles end by
     themselves; max_depth bounds the closure."""
-    links = edges.select("src", "dst").distinct()
-    seen = front = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    links = cut(edges.select("src", "dst").distinct())
+    seen = front = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     step = 0
     while max_depth is None or step < max_depth:
         step += 1
         ahead = front.select(F.col("node").alias("src")).join(links, "src").select(F.col("dst").alias("node")).distinct()
-        front = _cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
+        front = cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # of checkpoints, so the plan grows but nothing is computed again
+        if step % 8 == 0:
+            seen = cut(seen)
     return seen
 
 
 def bounded_closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(root, node) pairs within `depth` steps of every source, for sparse graphs."""
-    links = edges.select("src", "dst").distinct()
+    """(root, node) pairs within `depth` steps of every source. The result itself may be as large as the square of the
+    nodes, so it is meant for sparse graphs or few sources; only new pairs go on a step."""
+    links = cut(edges.select("src", "dst").distinct())
     pairs = front = links.select(F.col("src").alias("root"), F.col("dst").alias("node"))
     for _ in range(depth - 1):
-        front = front.join(links, front["node"] == links["src"]).select("root", F.col("dst").alias("node")).distinct()
-        pairs = pairs.unionByName(front).distinct()
+        ahead = front.join(links, front["node"] == links["src"]).select("root", F.col("dst").alias("node")).distinct()
+        front = cut(ahead.join(pairs, ["root", "node"], "left_anti"))
+        pairs = pairs.unionByName(front)
     return pairs
 
 

@@ -56,12 +56,26 @@ def interval_join(points: DataFrame, spans: DataFrame, key: str, point: str, low
     return found.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__cell")
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, token: str, least: float) -> DataFrame:
-    """For each left id the right id with the largest Jaccard likeness of token sets, if at least `least`; ties go to the
-    smallest id. An inverted index, not a cross join: pairs without a common token never meet."""
+def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, token: str, least: float, least_tokens: int = 1) -> DataFrame:
+    """For each left id the right id with the largest Jaccard likeness of token sets, if at least `least` (above 0); ties go
+    to the smallest id. Sets of fewer than `least_tokens` tokens don't take part.
+
+    A prefix filter: with all tokens in one order, the rarest first, two sets that are so alike share one of their first
+    n - ceil(least * n) + 1 tokens. Only these are met, so common words bring no pairs; lengths that rule a pair out are
+    dropped at once, and what is left is counted exactly."""
     a, b = left.select(left_id, token).distinct(), right.select(right_id, token).distinct()
-    na, nb = a.groupBy(left_id).agg(F.count("*").alias("na")), b.groupBy(right_id).agg(F.count("*").alias("nb"))
-    shared = a.join(b, token).groupBy(left_id, right_id).agg(F.count("*").alias("shared")).join(na, left_id).join(nb, right_id)
+    often = a.select(token).unionByName(b.select(token)).groupBy(token).agg(F.count("*").alias("often"))
+
+    def ordered(t: DataFrame, key: str, n: str) -> DataFrame:
+        whole = Window.partitionBy(key)
+        placed = t.join(often, token).withColumn("at", F.row_number().over(whole.orderBy("often", token))).withColumn(n, F.count("*").over(whole))
+        return placed.where(F.col(n) >= least_tokens).select(key, token, "at", n)
+
+    oa, ob = ordered(a, left_id, "na"), ordered(b, right_id, "nb")
+    starts = lambda t, n: t.where(F.col("at") <= F.col(n) - F.ceil(F.lit(least) * F.col(n) - 1e-9) + 1).drop("at")
+    alike = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    pairs = starts(oa, "na").join(starts(ob, "nb"), token).where(alike).select(left_id, right_id, "na", "nb").distinct()
+    shared = pairs.join(a, left_id).join(b, [right_id, token]).groupBy(left_id, right_id, "na", "nb").agg(F.count("*").alias("shared"))
     scored = shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= least)
     nth = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("jaccard"), right_id))
     return scored.withColumn("nth", nth).where("nth = 1").select(left_id, right_id, "shared", "jaccard")

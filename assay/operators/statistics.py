@@ -5,19 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def upper_median(values: Column) -> Column:
-    """v[n // 2] of the sorted values."""
+    """v[n // 2] of the sorted values of a small group; order_statistics() is for whole tables."""
     v = F.array_sort(F.collect_list(values))
     return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
 
 
 def quantile_index(values: Column, q: float) -> Column:
-    """v[int(q * (n - 1))] of the sorted values, which is no percentile_disc."""
+    """v[int(q * (n - 1))] of the sorted values of a small group, which is no percentile_disc."""
     v = F.array_sort(F.collect_list(values))
     return F.element_at(v, (F.floor(F.lit(q) * (F.size(v) - 1)) + 1).cast("int"))
 
 
+def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """One row with the values at some ranks, from 0, of the sorted values; ranks are expressions over `n`, their number.
+
+    Values are counted first, then range-partitioned; a range's rows are numbered from the total of the ranges before it, so
+    nothing but one total a range is brought together. Nulls don't count; without values every rank is null."""
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    totals = counts.groupBy("range").agg(F.sum("c").alias("t"))  # one row a range
+    before = totals.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    upto = F.sum("c").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).join(F.broadcast(before), "range").select("v", (F.col("base") + F.col("upto") - F.col("c")).alias("__low"), (F.col("base") + F.col("upto")).alias("__high"))
+    asked = totals.agg(F.sum("t").alias("n")).select(*[r.cast("long").alias(name) for name, r in ranks.items()])  # one row
+    met = placed.join(F.broadcast(asked), F.lit(True))
+    return met.agg(*[F.max(F.when((F.col(name) >= F.col("__low")) & (F.col(name) < F.col("__high")), F.col("v"))).alias(name) for name in ranks])
+
+
+def upper_median_rank() -> Column:
+    """v[n // 2]."""
+    return F.floor(F.col("n") / 2)
+
+
+def quantile_rank(q: float) -> Column:
+    """v[int(q * (n - 1))], which is no percentile_disc."""
+    return F.floor(F.lit(q) * (F.col("n") - 1))
+
+
 def pearson(x: str, y: str) -> Column:
     """Null with fewer than two rows or without variance."""
     return F.when((F.count("*") > 1) & (F.coalesce(F.var_pop(x), F.lit(0.0)) > 0) & (F.coalesce(F.var_pop(y), F.lit(0.0)) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))

@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from assay.plans import audits  # noqa: F401
 from assay.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -47,11 +48,11 @@ def test_whole_tables(spark, duck):
         out.setdefault(a, set()).add(b)
     ahead = {a: set(to).union(*(out.get(x, ()) for x in to)) for a, to in out.items()}
     want = {(a, b) for a, b in edges if any(b in ahead.get(o, ()) for o in out[a] if o != b)}
-    assert set(map(tuple, QUERIES["phantom_prediction_whole"](spark, DATA).collect())) == want
+    assert set(map(tuple, QUERIES["phantom_prediction"](spark, DATA).collect())) == want
     depth, front = {1: 0}, {1}
     while front:
         front = {y for x in front for y in out.get(x, ())} - depth.keys()
         depth |= dict.fromkeys(front, max(depth.values()) + 1)
-    assert {r.node for r in QUERIES["reachable_whole"](spark, DATA).collect()} == depth.keys()
+    assert {r.node for r in QUERIES["reachable"](spark, DATA).collect()} == depth.keys()
     pairs = set(duck.execute("SELECT DISTINCT o_custkey, o_orderpriority FROM orders").fetchall())
-    assert {(r.o_custkey, r.o_orderpriority) for r in QUERIES["last_result_wins_whole"](spark, DATA).collect()} == pairs
+    assert {(r.o_custkey, r.o_orderpriority) for r in QUERIES["last_result_wins"](spark, DATA).collect()} == pairs
