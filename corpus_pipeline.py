@@ -3,15 +3,18 @@ and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it again as
 the next stage's docs, so a later stage never recomputes an earlier one and a lost executor loses nothing.
+
+Null texts count as empty ones: all but one go as copies of each other. Null ids sort after others, so such rows go first
+where one of several stays; repeated rows are copies; of ties in id and text any one row stays. An empty table gives an
+empty result. Columns beside doc_id, text and n_chars pass through as they are, whatever their names, up to packing.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from assay.llm import exact_dedup, packing, pii, simhash, toxicity
-from assay.llm.common import table
+from assay.llm.common import shared_folder, table
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,14 +52,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where the session names none, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{conf or tempfile.mkdtemp(prefix='assay-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), _folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
