@@ -18,13 +18,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder in spark.checkpoint.dir, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where the session names none, as in tests, a local one, but never on a cluster."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="assay-")
+
 
-    A folder of our own is set only where the session names none, as in tests."""
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder in spark.checkpoint.dir, so that a lost executor loses nothing."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assay-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

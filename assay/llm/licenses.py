@@ -9,6 +9,10 @@ collide with it with a probability of at least RECALL. Retrieved pairs are verif
 The work needs no shuffle: every text is scanned where it is read. Templates go to the executors as a table whose size is
 bounded by MAX_TEMPLATES.
 
+Templates of fewer than five words have one shingle of their own length; they are found where these words stand in a row.
+Of templates that match in one place, with `best`, the one with the largest containment counts, and of equal ones the longest: a header
+that differs from another by a version or a word does not bring the other's name along.
+
 Null text is the empty text. A text without licenses has none listed. Repeated rows are scanned row by row; an empty table
 gives an empty result. Other columns play no part. Of templates of one name the best match counts.
 """
@@ -32,7 +36,7 @@ RECALL = 0.9999
 MAX_TEMPLATES = 20_000
 SEED = 42
 
-# License notices as they are published.
+# License notices and texts as they are published, by SPDX name where there is one.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -47,6 +51,25 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 )
 
@@ -83,13 +106,22 @@ def _mix(h: np.ndarray, band: int) -> np.ndarray:
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]], threshold: float = THRESHOLD):
+    def __init__(self, templates: list[tuple[str, str]], threshold: float = THRESHOLD, best: bool = False):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-        self.threshold, self.classes = threshold, []
+        self.threshold, self.classes, self.best = threshold, [], best
         w = words([t.encode() for _, t in templates])
+        #: By number of words below five: the names of each hash, and the hashes in order.
+        self.short: dict[int, tuple[dict[int, list[str]], np.ndarray]] = {}
+        for k in sorted({int(n) for n in w.n_words if 0 < n < SHINGLE}):
+            name_of: dict[int, list[str]] = {}
+            for (name, text), n in zip(templates, w.n_words, strict=True):
+                if n == k:
+                    h = int(Words([text.encode().translate(_to_space)], k).row_hashes(SEED)[1][0])
+                    name_of.setdefault(h, []).append(name)
+            self.short[k] = (name_of, np.array(sorted(name_of), np.uint64))
         offsets, hashes = w.row_hashes(SEED)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        sets = [np.unique(hashes[a:b]) if n >= SHINGLE else np.zeros(0, np.uint64) for a, b, n in zip(offsets[:-1], offsets[1:], w.n_words, strict=True)]
         sizes = [1 << max(0, (len(s) - 1).bit_length()) for s in sets]
         for c in sorted({n for n, s in zip(sizes, sets, strict=True) if len(s)}):
             own = [i for i, n in enumerate(sizes) if n == c and len(sets[i])]
@@ -124,29 +156,58 @@ class Scanner:
         return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
 
     def scan(self, texts: list[bytes]) -> list[dict[str, float]]:
-        """For each text the containment of the licenses found in it."""
+        """For each text the containment of the licenses found in it, with `best` without rivals."""
         out: list[dict[str, float]] = [{} for _ in texts]
         for a, b in text_blocks(texts, 2_000_000):
-            offsets, hashes = words(texts[a:b]).row_hashes(SEED)
+            w = words(texts[a:b])
+            offsets, hashes = w.row_hashes(SEED)
             if not len(hashes):
                 continue
+            found: list[tuple[int, int, int, int, float, str]] = []  # row, place, end, shingles, share, name
             mixed: dict[int, np.ndarray] = {}
             for c in self.classes:
                 n = -(-np.diff(offsets) // c.hop)
                 row = np.repeat(np.arange(b - a), n)
                 starts = offsets[row] + c.hop * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
                 ends = np.minimum(starts + c.window, offsets[row + 1])
-                for w, t in self._candidates(c, hashes, starts, ends, mixed).tolist():
-                    share = float(np.isin(c.shingles[t], hashes[starts[w] : ends[w]]).mean())
+                for i, t in self._candidates(c, hashes, starts, ends, mixed).tolist():
+                    span = hashes[starts[i] : ends[i]]
+                    share = float(np.isin(c.shingles[t], span).mean())
                     if share >= self.threshold - 1e-9:
-                        best = out[a + row[w]]
-                        best[c.names[t]] = max(best.get(c.names[t], 0.0), share)
+                        at = np.flatnonzero(np.isin(span, c.shingles[t]))
+                        found.append((int(row[i]), int(starts[i] + at[0]), int(starts[i] + at[-1]) + 1, len(c.shingles[t]), share, c.names[t]))
+            for k, (name_of, keys) in self.short.items():
+                short = Words([x.translate(_to_space) for x in texts[a:b]], k)
+                o, h = short.row_hashes(SEED)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                for i in np.flatnonzero(keys[at] == h).tolist():
+                    r = int(np.searchsorted(o, i, "right")) - 1
+                    if short.n_words[r] >= k:
+                        # in shingles of five words a short one's place is the same but at the end of a text
+                        p = int(offsets[r]) + min(i - int(o[r]), max(int(offsets[r + 1] - offsets[r]) - 1, 0))
+                        found += [(r, p, p + 1, 1, 1.0, name) for name in name_of[int(h[i])]]
+            self._keep(found, out, a)
         return out
 
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    def _keep(self, found: list[tuple[int, int, int, int, float, str]], out: list[dict[str, float]], base: int) -> None:
+        """Of rivals, which are matches of different names that overlap by half of the shorter one, only the best stays."""
+        by_row: dict[int, list[tuple[int, int, int, float, str]]] = {}
+        for r, *rest in found:
+            by_row.setdefault(r, []).append(tuple(rest))
+        for r, matches in by_row.items():
+            kept: list[tuple[int, int, int, float, str]] = []
+            for m in sorted(set(matches), key=lambda m: (-m[3], -m[2], m[4], m[0])):
+                rival = self.best and any(k[4] != m[4] and 2 * (min(k[1], m[1]) - max(k[0], m[0])) >= min(k[1] - k[0], m[1] - m[0]) for k in kept)
+                if not rival:
+                    kept.append(m)
+            best = out[base + r]
+            for *_, share, name in kept:
+                best[name] = max(best.get(name, 0.0), share)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, best: bool = True) -> DataFrame:
     """(id_col, n_licenses, licenses, containments) for every row of docs: names in order, containments beside them."""
-    scanner = Scanner(list(templates or TEMPLATES), threshold)
+    scanner = Scanner(list(templates or TEMPLATES), threshold, best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

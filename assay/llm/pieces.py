@@ -461,7 +461,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                     ]
                     names = ["id", "sample", "n_pieces", "ids_crc32", "log_prob", "value", "log_inclusion"]
                     if with_ids:
-                        columns.append(pa.array([ids[start[i] : start[i + 1]].astype(np.int32) for i in rows], pa.list_(pa.int32())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids, pa.int32())).take(pa.array(rows)))
                         names.append("ids")
                     if with_decoded:
                         spelled = [decode_ids(ids[start[i] : start[i + 1]], v).encode("utf-8", "surrogatepass") for i in rows]

@@ -82,10 +82,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled segmentations of every document, by their ids' checksum, and what they decode to, by length and checksum."""
+    """The sampled segmentations of every document, with their ids, and what they decode to, by length and checksum."""
     from .pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), with_ids=False, with_decoded=True)
+    return encode(table(spark, sf_dir, "documents"), with_ids=True, with_decoded=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

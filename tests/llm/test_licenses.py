@@ -56,3 +56,20 @@ def test_frame(spark):
     got = sorted((r.doc_id or 0, r.n_licenses, r.licenses) for r in scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect())
     assert got == [(0, 1, ["CC-BY-NC-4.0"]), (1, 1, ["MIT"]), (2, 0, []), (2, 0, []), (4, 0, [])]
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rivals_and_short_notices():
+    gpl2 = next(t for n, t in TEMPLATES if n == "GPL-2.0")
+    lgpl = next(t for n, t in TEMPLATES if n == "LGPL-3.0")
+    apart = f"{gpl2} {'w ' * 50} {lgpl}"
+    got = Scanner(list(TEMPLATES), best=True).scan([x.encode() for x in (gpl2, lgpl, apart, "(c) 2020 X. All rights reserved.", "All rights, reserved", "rights reserved", gpl2.lower().replace(";", ""))])
+    assert [sorted(g) for g in got] == [["GPL-2.0"], ["LGPL-3.0"], ["GPL-2.0", "LGPL-3.0"], ["proprietary"], ["proprietary"], [], ["GPL-2.0"]]
+
+
+def test_nothing_is_found_that_brute_force_does_not_find():
+    got = Scanner(list(TEMPLATES)).scan([t.encode() for t in texts(seed=9)])
+    for g, t in zip(got, texts(seed=9), strict=True):
+        hs = set(words([t.encode()]).row_hashes(SEED)[1].tolist())
+        for name in g:
+            sets = [(x, set(words([x.encode()]).row_hashes(SEED)[1].tolist())) for n, x in TEMPLATES if n == name]
+            assert any(len(s & hs) >= 0.8 * len(s) - 1e-9 or (len(x.split()) < 5 and " ".join(x.lower().rstrip(".").split()) in " ".join(t.lower().replace(".", "").split())) for x, s in sets)
