@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import code, names
 from ..operators import census, copies, gates, text, traces
 from ..sinks import writers
-from ..sources import files, manifests
+from ..sources import manifests
 from .catalogue import QUERIES, query, t
 
 
@@ -595,4 +595,4 @@ def log_verdicts(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", code.run_verdict(out, F.lit("")).alias("run"), code.ci_verdict(log, F.lit(0)).alias("ci"), code.strip_log_prefix(F.concat(F.lit("[ci/x] | line "), word)).alias("stripped"))
 
 
-__all__ = ["QUERIES", "files"]
+__all__ = ["QUERIES", "code_copy_scores"]
