@@ -77,8 +77,8 @@ def _key(x: str) -> str:
 def _places(name: str, kind: int) -> Column:
     """Spans of the hits in column <name>_hits, from the lengths of what split() left between them, in <name>_gaps.
     Lengths are code points."""
-    left = _key(_spaced(rf"lower(regexp_extract(concat(x.gap, regexp_extract(x.hit, r'^{_NOT_W}*+', 0)), r'(?<!{_W}){_W}++{_NOT_W}*+$', 0))"))
-    right = _key(_spaced(rf"lower(regexp_extract(concat(regexp_extract(x.hit, r'{_NOT_W}*+$', 0), x.after), r'^{_NOT_W}*+{_W}++', 0))"))
+    left = _key("trim(%s)" % _spaced(rf"lower(regexp_extract(concat(x.gap, regexp_extract(x.hit, r'^{_NOT_W}*+', 0)), r'(?<!{_W}){_W}++{_NOT_W}*+$', 0))"))
+    right = _key("trim(%s)" % _spaced(rf"lower(regexp_extract(concat(regexp_extract(x.hit, r'{_NOT_W}*+$', 0), x.after), r'^{_NOT_W}*+{_W}++', 0))"))
     return F.expr(f"""
         coalesce(aggregate(
             zip_with({name}_hits, zip_with(slice({name}_gaps, 1, size({name}_hits)), slice({name}_gaps, 2, size({name}_hits)), (gap, after) -> struct(gap, after)), (hit, g) -> struct(hit, g.gap, g.after)),
@@ -128,7 +128,7 @@ def _marked(rows: DataFrame) -> DataFrame:
 def context_totals(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(side, context, total) for the contexts of patterns(side, context): how often each occurs in the texts of all rows."""
     text = _spaced("lower(text)")
-    units = [f"transform(regexp_extract_all({text}, r'{unit}', 0), u -> struct('{side}' AS side, {_key('u')} AS context))" for side, unit in (("left", LEFT_UNIT), ("right", RIGHT_UNIT))]
+    units = [f"transform(regexp_extract_all({text}, r'{unit}', 0), u -> struct('{side}' AS side, {_key('trim(u)')} AS context))" for side, unit in (("left", LEFT_UNIT), ("right", RIGHT_UNIT))]
     seen = rows.select(F.explode(F.expr(f"concat({', '.join(units)})")).alias("u")).select("u.*")
     few = patterns.count() <= BROADCAST_PATTERNS
     met = seen.join(F.broadcast(patterns) if few else patterns, ["side", "context"], "left_semi")
