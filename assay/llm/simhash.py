@@ -232,10 +232,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def joined_components(nodes: DataFrame, bits: int) -> DataFrame:
     """(fp, first, least) for the fingerprints of nodes(fp, first) that have links: least is the smallest first of their
-    component. `least` of a component is repeated SALTS times, so that its members meet it in many partitions."""
+    component. `least` of a component is repeated SALTS times and dealt out by root and salt, so that its members meet it
+    in many partitions; dealt by root alone, as the aggregate leaves it, the join would put them all into one."""
     roots = cut(connected_components(links(nodes.select("fp"), bits)))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
-    least = placed.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    least = placed.groupBy("root").agg(F.min("first").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).repartition("root", "salt")
     return placed.join(least, ["root", "salt"]).select("fp", "first", "least")
 
 
