@@ -9,6 +9,14 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_the_three_rules_of_test_paths(spark):
+    paths = ["tests/a.py", "unittest/a.py", "unit_tests/a.py", "src/test", "test_data/a.py", "test_a.txt", "my_conftest.py", "tests.py", "latest/a.py", None, ""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
+    got = df.orderBy("i").select(*[names.is_test_path(F.col("path"), r) for r in ("gate", "footprint", "review")]).collect()
+    want = ["111", "100", "010", "001", "001", "011", "001", "110", "000", None, "000"]
+    assert [None if r[0] is None else "".join(str(int(x)) for x in r) for r in got] == want
+
+
 def test_set_scores(spark):
     make = lambda items: spark.createDataFrame([("r", x) for x in items], "id string, dep string")
     got = scoring.micro(scoring.set_scores(make("abc"), make("bcd"), "id", "dep")).first()
