@@ -369,10 +369,10 @@ def footprint(spark, sf_dir):
 
 
 _FOLDERS = ("", "src/", "tests/", "unittest/", "unit_tests/", "a/testing/b/", "test_data/", "latest/")
-_FILES = ("test_a.py", "test_a.txt", "a_test.py", "conftest.py", "my_conftest.py", "tests.py", "test", "a.py")
+_FILE_NAMES = ("test_a.py", "test_a.txt", "a_test.py", "conftest.py", "my_conftest.py", "tests.py", "test", "a.py")
 
 
-@query(f"""WITH p AS (SELECT {list(_FOLDERS)}[1 + o_orderkey % 8] AS folder, {list(_FILES)}[1 + o_custkey % 8] AS name FROM orders),
+@query(f"""WITH p AS (SELECT {list(_FOLDERS)}[1 + o_orderkey % 8] AS folder, {list(_FILE_NAMES)}[1 + o_custkey % 8] AS name FROM orders),
 u AS (SELECT folder || name AS path, string_split(folder, '/') AS parts, name FROM p)
 SELECT path, count(*) AS n,
   list_has_any(parts, ['test', 'tests', 'testing', 'unittest', 'unittests', 'integration_tests']) OR (name LIKE 'test\\_%.py' ESCAPE '\\') OR (name LIKE '%\\_test.py' ESCAPE '\\') OR name IN ('conftest.py', 'tests.py') AS gate,
@@ -382,7 +382,7 @@ FROM u GROUP BY path, parts, name""")
 def test_paths(spark, sf_dir):
     """Each order stands for a file; the three rules disagree on some."""
     pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % 8 + 1).cast("int"))
-    path = F.concat(pick(_FOLDERS, "o_orderkey"), pick(_FILES, "o_custkey"))
+    path = F.concat(pick(_FOLDERS, "o_orderkey"), pick(_FILE_NAMES, "o_custkey"))
     counted = t(spark, sf_dir, "orders").groupBy(path.alias("path")).agg(F.count("*").alias("n"))
     return counted.withColumns({rule: names.is_test_path(F.col("path"), rule) for rule in names.TEST_PATHS})
 
