@@ -88,8 +88,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), with_ids=True, with_decoded=True)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece)
+    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece, op11_centroid_clustering)
     return {f.__name__: f for f in found}
 
 
