@@ -94,8 +94,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spellings import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece, op11_centroid_clustering)
+    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece, op11_centroid_clustering, op12_spelling_variants)
     return {f.__name__: f for f in found}
 
 
