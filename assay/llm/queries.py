@@ -100,8 +100,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece, op11_centroid_clustering, op12_spelling_variants)
+    found = (op1_license_scan, op2_packing, op3_pii, op4_document_fingerprints, op5_html_extraction, op6_exact_dedup, op7_suffix_array_dedup, op8_toxicity, op9_simhash_near_dedup, op10_sentencepiece, op11_centroid_clustering, op12_spelling_variants, op13_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 
