@@ -13,7 +13,7 @@
    own. Scores only grow; the rounds end when no pattern becomes trusted any more.
 4. Instances in patterns of high confidence become spans beside the base ones.
 
-Null text is the empty text. Repeated rows are reported row by row, and count as often in the statistics. A row without
+A text with n hits costs about n * log n steps, however they are placed. Null text is the empty text. Repeated rows are reported row by row, and count as often in the statistics. A row without
 findings has empty spans; an empty table gives an empty result. Other columns keep their values and may have any name.
 """
 
@@ -74,21 +74,38 @@ def _key(x: str) -> str:
     return f"if(length({x}) > 64, md5({x}), {x})"
 
 
+#: Hits of a text that are summed up one by one; longer lists go by blocks of so many, so that long texts cost linear time.
+BLOCK = 64
+
+
+def _before(values: str, start: str, step: str) -> str:
+    """SQL: for each of an array of integers, what `step`, as in (a, v) -> a + v, makes of all before it, from `start`.
+    Blocks are folded first, then their results, then each block is gone through from its own start."""
+    n = f"size({values})"
+    block = f"slice({values}, b * {BLOCK} + 1, {BLOCK})"
+    folded = f"transform(sequence(0, ({n} - 1) div {BLOCK}), b -> aggregate({block}, {start}, {step}))"
+    starts = f"aggregate({folded}, array({start}), (all, x) -> array_append(all, aggregate(array(element_at(all, -1), x), {start}, {step})))"
+    inside = f"transform({block}, (x, i) -> aggregate(slice({block}, 1, i), first, {step}))"
+    return f"if({n} = 0, cast(array() AS array<int>), flatten(zip_with(sequence(0, ({n} - 1) div {BLOCK}), slice({starts}, 1, ({n} - 1) div {BLOCK} + 1), (b, first) -> {inside})))"
+
+
 def _places(name: str, kind: int) -> Column:
     """Spans of the hits in column <name>_hits, from the lengths of what split() left between them, in <name>_gaps.
     Lengths are code points."""
     left = _key("trim(%s)" % _spaced(rf"lower(regexp_extract(concat(x.gap, regexp_extract(x.hit, r'^{_NOT_W}*+', 0)), r'(?<!{_W}){_W}++{_NOT_W}*+$', 0))"))
     right = _key("trim(%s)" % _spaced(rf"lower(regexp_extract(concat(regexp_extract(x.hit, r'{_NOT_W}*+$', 0), x.after), r'^{_NOT_W}*+{_W}++', 0))"))
+    pairs = f"zip_with({name}_hits, zip_with(slice({name}_gaps, 1, size({name}_hits)), slice({name}_gaps, 2, size({name}_hits)), (gap, after) -> struct(gap, after)), (hit, g) -> struct(hit, g.gap, g.after))"
+    at = f"{name}_at[i] + length(x.gap)"
     return F.expr(f"""
-        coalesce(aggregate(
-            zip_with({name}_hits, zip_with(slice({name}_gaps, 1, size({name}_hits)), slice({name}_gaps, 2, size({name}_hits)), (gap, after) -> struct(gap, after)), (hit, g) -> struct(hit, g.gap, g.after)),
-            struct(0 AS at, cast(array() AS array<{_SPAN}>) AS found),
-            (a, x) -> struct(
-                a.at + length(x.gap) + length(x.hit) AS at,
-                array_append(a.found, named_struct(
-                    'kind', {kind}, 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'value', x.hit,
-                    'left', {left}, 'right', {right})) AS found),
-            a -> a.found), cast(array() AS array<{_SPAN}>))""")
+        coalesce(transform({pairs}, (x, i) -> named_struct('kind', {kind}, 'start', {at}, 'end', {at} + length(x.hit), 'value', x.hit, 'left', {left}, 'right', {right})), cast(array() AS array<{_SPAN}>))""")
+
+
+def _meets(spans: str) -> str:
+    """SQL: does the span s overlap one of the array's, which are sorted and apart? By halving."""
+    mid = "cast((r.lo + r.hi) div 2 AS int)"
+    return f"""(size({spans}) > 0 AND aggregate(sequence(1, cast(ceil(log2(size({spans}) + 1)) AS int)), named_struct('lo', 0, 'hi', size({spans})),
+        (r, _) -> if(r.lo >= r.hi, r, if(get({spans}, {mid}).end > s.start, named_struct('lo', r.lo, 'hi', {mid}), named_struct('lo', {mid} + 1, 'hi', r.hi))),
+        r -> coalesce(get({spans}, r.lo).start < s.end, false)))"""
 
 
 _digits = "regexp_replace(s.value, '[^0-9]', '')"
@@ -116,11 +133,14 @@ def _marked(rows: DataFrame) -> DataFrame:
     none = F.expr("cast(array() AS array<string>)")
     found = rows.withColumns({f"{k}_hits": F.when(F.col("text").rlike(need), F.regexp_extract_all("text", F.lit(rx), F.lit(0))).otherwise(none) for k, rx, need in forms})
     found = found.withColumns({f"{k}_gaps": F.when(F.size(f"{k}_hits") > 0, F.split("text", rx, -1)).otherwise(none) for k, rx, _ in forms})
+    size = lambda k: f"zip_with(slice({k}_gaps, 1, size({k}_hits)), {k}_hits, (gap, hit) -> length(gap) + length(hit))"
+    found = found.withColumns({f"{k}_sizes": F.expr(size(k)) for k, _, _ in forms})
+    found = found.withColumns({f"{k}_at": F.expr(_before(f"{k}_sizes", "0", "(a, v) -> a + v")) for k, _, _ in forms})
     found = found.withColumns({f"{k}_spans": _places(k, i) for i, (k, _, _) in enumerate(forms)})
-    base = [f"filter({k}_spans, s -> {_VALID[k]})" for k in BASE_KINDS]
-    found = found.withColumn("base", F.expr(f"concat({', '.join(base)})"))
+    found = found.withColumns({f"{k}_base": F.expr(f"filter({k}_spans, s -> {_VALID[k]})") for k in BASE_KINDS})
+    found = found.withColumn("base", F.concat(*[f"{k}_base" for k in BASE_KINDS]))
     loose = [f"transform(filter(loose_{form}_spans, s -> {test}), s -> named_struct('kind', {i}, 'start', s.start, 'end', s.end, 'value', s.value, 'left', s.left, 'right', s.right))" for i, (form, test) in enumerate(_MAY_BE.values())]
-    free = f"filter(concat({', '.join(loose)}), s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end))"
+    free = f"filter(concat({', '.join(loose)}), s -> NOT ({' OR '.join(_meets(f'{k}_base') for k in BASE_KINDS)}))"
     found = found.withColumn("loose", F.expr(free))
     return found.select(*rows.columns, "base", "loose")
 
@@ -191,11 +211,13 @@ def spell(spans: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; length_col, if docs has it, follows the text."""
-    pieces = """aggregate(array_sort(transform(spans, s -> struct(s.start, s.end, s.kind))), struct(0 AS at, cast(array() AS array<string>) AS out),
-        (a, s) -> if(s.start < a.at, struct(greatest(a.at, s.end) AS at, a.out AS out),
-            struct(s.end AS at, concat(a.out, array(substring(text, a.at + 1, s.start - a.at), array({names})[s.kind])) AS out)),
-        a -> array_join(array_append(a.out, substring(text, a.at + 1)), ''))""".format(names=", ".join(f"'[{k.upper()}]'" for k in KINDS))
-    found = detect(docs, text_col).withColumn("clean", F.when(F.size("spans") > 0, F.expr(pieces)))
+    names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
+    order = "array_sort(transform(spans, s -> struct(s.start, s.end, s.kind)))"
+    # what overlaps a span before it joins that one's mark
+    pieces = f"transform(sorted, (s, i) -> if(s.start < past[i], '', concat(substring(text, past[i] + 1, s.start - past[i]), array({names})[s.kind])))"
+    whole = f"concat(array_join({pieces}, ''), substring(text, array_max(transform(sorted, s -> s.end)) + 1))"
+    found = detect(docs, text_col).withColumn("sorted", F.expr(order))
+    found = found.withColumn("past", F.expr(_before("transform(sorted, s -> s.end)", "0", "(a, v) -> greatest(a, v)"))).withColumn("clean", F.when(F.size("spans") > 0, F.expr(whole)))
     out = []
     for f in docs.schema:
         own = F.col("row").getField(f.name)
