@@ -11,7 +11,8 @@ ceil(t / (1 + t) * (|A| + |B|)). Three bounds keep the product small, and none l
 * Each row has a sketch, the parity of its hashes in 1,024 cells. Two sketches differ in no more cells than the sets in
   elements, so a pair that differs in more cells than the bound allows is discarded.
 
-What is left is settled by the whole sets, which are built again from the texts for these rows alone. Columns of more than
+What is left is settled by the whole sets, which are built again from the texts for these rows alone, group by group of
+rows that pairs connect; a pair whose rows are connected already needs no look. Columns of more than
 SMALL rows first give only neighbouring pairs; after these are settled, only pairs of rows that aren't connected yet are
 compared, in blocks of LONG rows. So copies that are all like each other never give all their pairs.
 
@@ -42,10 +43,12 @@ SMALL = 16
 #: Rows of a block of a longer column.
 LONG = 2048
 #: Shingles of a window, and how often one must occur in it to be counted for the order of the columns.
-WINDOW, LEAST = 4_000_000, 3
+WINDOW, LEAST = 2_000_000, 3
 #: Sum from which a column is frequent, and how many there are at most (8 bytes each in every task).
 OFTEN, MOST = 64, 1_000_000
 CELLS = 1024
+#: Shingles of a block of sets that one task holds.
+GRAMS = 1_000_000
 #: Bits of the filter that keeps rows without candidates from being built again.
 FILTER_BITS = 1 << 26
 
@@ -253,52 +256,86 @@ def _apart(long: DataFrame, percent: int) -> DataFrame:
     return dealt.select("gram", "a", "na", "root", "sketch", "mine", "ij.i", "ij.j").groupBy("gram", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _filter(nodes: DataFrame) -> Broadcast:
-    """Bits set for the rows that stand for nodes(sig, least); of fixed size, and what it lets through wrongly the join drops."""
-    at = nodes.select(F.pmod(F.xxhash64("sig", "least"), F.lit(FILTER_BITS)).alias("bit"))
-    word = at.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("v"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in word.toLocalIterator():
-        bits[r.w] = r.v
-    return nodes.sparkSession.sparkContext.broadcast(bits)
+def _bit(sig: bytes, least: int | None) -> int:
+    return (int.from_bytes(sig[:8], "little") ^ ((least or 0) * 0x9E3779B97F4A7C15)) % FILTER_BITS
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, grams) of wanted(node, sig, least): their sets, built again from one row of each."""
-    bits = _filter(wanted)
+def _filter(wanted: DataFrame) -> Broadcast:
+    """Bits set for the rows that stand for wanted(sig, least); of fixed size, and what it lets through wrongly the join drops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch.column(1).to_pylist(), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signature(s) for s in sets]), pa.array([s.tobytes() for s in sets])], names=["least", "sig", "grams"])
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("least"), text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(run, "least long, sig binary, grams binary")
-
-    @F.pandas_udf("boolean")
-    def asked(at):
-        import pandas as pd
+            bits = np.array([_bit(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.int64(1) << (bits & 63))], names=["w", "v"])
 
-        v = at.to_numpy()
-        return pd.Series((bits.value[v >> 6] >> (v & 63)) & 1 == 1)
-
-    some = rows.where(asked(F.pmod(F.xxhash64("sig", "least"), F.lit(FILTER_BITS)))).groupBy("sig").agg(F.first("grams").alias("grams"))
-    return cut(some.join(wanted.select("sig", "node"), "sig").select("node", "grams"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in wanted.select("sig", "least").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
+        bits[r.w] = r.v
+    return wanted.sparkSession.sparkContext.broadcast(bits)
 
 
-def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): those of pairs(a, b) that link."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(sig, grams): the sets of wanted(sig, least), built again from the texts; a repeated row gives its set again."""
+    asked = _filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.r_[x, y])
-                good.append(int((both[1:] == both[:-1]).sum()) >= _need(len(x), len(y), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in text_blocks(texts):
+                kept = []
+                for i, s in zip(ids[a:b], _sets(texts[a:b], k), strict=True):
+                    sig = _signature(s)
+                    at = _bit(sig, i)
+                    if asked.value[at >> 6] >> (at & 63) & 1:
+                        kept.append((sig, s.tobytes()))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*kept, strict=True)], names=["sig", "grams"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col).cast("binary")).mapInArrow(run, "sig binary, grams binary")
+
+
+def _linked(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """A forest with the connections of those pairs that link; pairs that are connected already aren't looked at."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            both = np.sort(np.r_[sets[a], sets[b]])
+            if int((both[1:] == both[:-1]).sum()) >= _need(len(sets[a]), len(sets[b]), percent):
+                root[y] = x
+                yield a, b
+
+
+def _settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(a, b): links with the connections of those of pairs(a, b) that link, by the whole sets.
+
+    Rows that pairs connect are brought together, so that each set moves once; larger groups are dealt into blocks of
+    about GRAMS shingles, and their pairs into pairs of blocks."""
+    group = connected_components(pairs)
+    placed = cut(nodes.select("node", "sig", "least", "n").join(group, "node"))
+    parts = cut(placed.groupBy("root").agg(F.ceil(F.sum("n") / GRAMS).cast("int").alias("parts")))
+    dealt = placed.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    blocks = dealt.withColumn("ij", F.explode(others)).select("sig", "node", "root", "ij.i", "ij.j")
+    sets = _whole_sets(docs, placed, id_col, text_col, k).join(blocks, "sig").select(F.col("root").alias("g"), "i", "j", "node", "grams")
+    side = lambda c: dealt.select(F.col("node").alias(c), F.col("mine").alias(f"m{c}"), "root")
+    met = pairs.join(side("a"), "a").join(side("b").drop("root"), "b")
+    met = met.select("root", F.least("ma", "mb").alias("i"), F.greatest("ma", "mb").alias("j"), "a", "b")
+
+    def run(key: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        grams = dict(zip(sets.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("grams")), strict=True))
+        asked = zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)
+        found = np.array(list(_linked(list(asked), grams, percent)), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    return one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return cut(sets.groupBy("g", "i", "j").cogroup(met.groupBy("root", "i", "j")).applyInArrow(run, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -331,17 +368,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     first = like(added.select("a", "b", "overlap", "rest")).where(F.col("overlap") + F.col("rest") + F.least("longs_a", "longs_b") >= bound).select("a", "b")
     pairs = cut(first.unionByName(like(_neighbours(long, percent)).select("a", "b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select(F.col("a").alias("node"))).distinct()
-    sets = _whole_sets(docs, cut(nodes.select("node", "sig", "least").join(wanted, "node", "left_semi")), id_col, text_col, k)
-    links = cut(_settled(pairs, sets, percent))
+    settled = lambda p: _settled(docs, nodes, p, percent, id_col, text_col, k)
+    links = settled(pairs)
 
     roots = cut(connected_components(links))
     placed = long.join(nodes.select(F.col("node").alias("a"), "sketch"), "a").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     more = cut(_apart(cut(placed), percent).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        # between components that are known, so links of roots are enough
-        new = _settled(more, sets, percent)
-        roots = cut(connected_components(links.unionByName(new)))
+        roots = cut(connected_components(links.unionByName(settled(more))))
 
     member = nodes.select("node", "sig", "least").join(roots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).repartition("root", "salt")
