@@ -1,0 +1,74 @@
+import ast
+
+import pytest
+from assay.operators import mutants
+from assay.plans.catalogue import QUERIES
+from pyspark.sql import functions as F
+
+DATA = "/root/testdata/sf0.001"
+
+SOURCES = [
+    "",
+    "def broken(:\n",
+    "x = 1 if a < b <= c else -2\n",
+    "def f(a):\n    # note: größer\n    if a and not b or c is None:\n        @g(1)\n        def h(): return {1: [2], 'ü': {3}}\n        return h\n    elif a != 0: return (yield)\n    return None\n",
+    "y = f(x + 1) * g(*z) + h(k=1) + len('é' 'f')\nz = [] or () or {} or {**a} or [*b]\n",
+    "class A:\n    def m(self):\n        return True\n    [p, q] = r\nmatch v:\n    case 0 | -1: pass\n    case [1, 2]: w = f'{a < 3:>{4}}'\n",
+    "if a: b; c\nreturn_ = not (not x)\n",
+    "if a:\r\n    b = 10\r\nelse:\r\n    c = 0x1F\r\n",
+]
+
+
+def sites(tree):
+    """Counts of sites by a walk of its own."""
+    n = dict.fromkeys(mutants.OPERATORS, 0)
+    for x in ast.walk(tree):
+        kind = type(x).__name__
+        n["comparison"] += len(x.ops) if kind == "Compare" else 0
+        n["boundary+1"] += kind == "Constant" and type(x.value) is int
+        n["boundary-1"] += kind == "Constant" and type(x.value) is int
+        n["branch"] += kind == "If" and ast.unparse(x.body) != "pass"
+        n["constant return"] += kind == "Return" and x.value is not None and ast.unparse(x.value) not in ("None", "0")
+        n["negation dropped"] += kind == "UnaryOp" and isinstance(x.op, ast.Not)
+        n["and/or swapped"] += kind == "BoolOp"
+        n["call dropped"] += kind == "Call" and len(x.args) == 1 and not x.keywords and not isinstance(x.args[0], ast.Starred)
+        n["container emptied"] += bool(kind == "List" and x.elts and isinstance(x.ctx, ast.Load)) or bool(kind == "Set" and x.elts) or bool(kind == "Dict" and x.keys)
+    return n
+
+
+def differing(a, b):
+    """How many nodes, outermost only, differ between two trees."""
+    if type(a) is not type(b):
+        return 1
+    if isinstance(a, ast.AST):
+        parts = [differing(getattr(a, f, None), getattr(b, f, None)) for f in a._fields if f not in ("ctx",)]
+        return min(1, sum(parts)) if isinstance(a, ast.Constant | ast.Dict) else sum(parts)
+    if isinstance(a, list):
+        return 1 if len(a) != len(b) else sum(map(differing, a, b))
+    return int(a != b)
+
+
+@pytest.mark.parametrize("at", range(len(SOURCES)))
+def test_mutants_against_a_walk(spark, at):
+    source = SOURCES[at]
+    rows = mutants.mutants(spark.createDataFrame([(at, source), (99, None)], "id int, code string"), "code").collect()
+    try:
+        tree = ast.parse(source)
+    except SyntaxError:
+        assert not rows
+        return
+    want = sites(tree)
+    got = {o: sum(r.operator == o for r in rows) for o in want}
+    assert got == want, rows
+    assert len({(r.operator, r.mutant) for r in rows}) >= len(rows) - got["and/or swapped"]
+    for r in rows:
+        assert differing(tree, ast.parse(r.mutant)) == 1, (r.operator, r.mutant)
+        for comment in ("größer",):
+            assert (comment in source) == (comment in r.mutant)
+
+
+def test_mutant_scores_need_a_sound_baseline(spark):
+    rows = spark.createDataFrame([(1, True), (1, False), (2, True), (2, None), (3, True), (4, None)], "k int, ok boolean")
+    base = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True), (5, True), (6, None)], "k int, fine boolean")
+    got = {r.k: (r.mutants, r.killed, r.survived, r.status) for r in mutants.killed(rows, base, ["k"], F.col("ok"), F.col("fine")).collect()}
+    assert got == {1: (2, 1, 1, "pass"), 2: (2, 0, 1, "fail"), 3: (1, 0, 1, "unverified"), 4: (1, 0, 0, "pass"), 5: (0, 0, 0, "pass"), 6: (0, 0, 0, "unverified")}
