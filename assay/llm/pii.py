@@ -86,7 +86,8 @@ def _before(values: str, start: str, step: str) -> str:
     folded = f"transform(sequence(0, ({n} - 1) div {BLOCK}), b -> aggregate({block}, {start}, {step}))"
     starts = f"aggregate({folded}, array({start}), (all, x) -> array_append(all, aggregate(array(element_at(all, -1), x), {start}, {step})))"
     inside = f"transform({block}, (x, i) -> aggregate(slice({block}, 1, i), first, {step}))"
-    return f"if({n} = 0, cast(array() AS array<int>), flatten(zip_with(sequence(0, ({n} - 1) div {BLOCK}), slice({starts}, 1, ({n} - 1) div {BLOCK} + 1), (b, first) -> {inside})))"
+    few = f"slice(aggregate({values}, array({start}), (all, v) -> array_append(all, aggregate(array(element_at(all, -1), v), {start}, {step}))), 1, {n})"
+    return f"if({n} <= {BLOCK}, {few}, flatten(zip_with(sequence(0, ({n} - 1) div {BLOCK}), slice({starts}, 1, ({n} - 1) div {BLOCK} + 1), (b, first) -> {inside})))"
 
 
 def _places(name: str, kind: int) -> Column:
@@ -101,9 +102,9 @@ def _places(name: str, kind: int) -> Column:
 
 
 def _meets(spans: str) -> str:
-    """SQL: does the span s overlap one of the array's, which are sorted and apart? By halving."""
+    """SQL: does the span s overlap one of the array's, which are sorted and apart? By halving where they are many."""
     mid = "cast((r.lo + r.hi) div 2 AS int)"
-    return f"""(size({spans}) > 0 AND aggregate(sequence(1, cast(ceil(log2(size({spans}) + 1)) AS int)), named_struct('lo', 0, 'hi', size({spans})),
+    return f"""if(size({spans}) <= 8, exists({spans}, b -> b.start < s.end AND s.start < b.end), aggregate(sequence(1, cast(ceil(log2(size({spans}) + 1)) AS int)), named_struct('lo', 0, 'hi', size({spans})),
         (r, _) -> if(r.lo >= r.hi, r, if(get({spans}, {mid}).end > s.start, named_struct('lo', r.lo, 'hi', {mid}), named_struct('lo', {mid} + 1, 'hi', r.hi))),
         r -> coalesce(get({spans}, r.lo).start < s.end, false)))"""
 
