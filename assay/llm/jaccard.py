@@ -8,8 +8,9 @@ ceil(t / (1 + t) * (|A| + |B|)). Three bounds keep the product small, and none l
   only its first |A| - ceil(t * |A|) + 1 columns take part: two rows that share none of these can't reach the bound.
 * Blocks of columns add up the overlaps of pairs of like sizes; a pair is discarded when the sum so far, and all that may
   follow its last shared column, stay below the bound.
-* Each row has a sketch, the parity of its hashes in 1,024 cells. Two sketches differ in no more cells than the sets in
-  elements, so a pair that differs in more cells than the bound allows is discarded.
+* Each row has a sketch, the parity of its hashes in some cells. Two sketches differ in no more cells than the sets in
+  elements, so a pair that differs in more cells than the bound allows is discarded. Of two sketches the longer one is
+  folded to the other's length.
 
 What is left is settled by the whole sets, which are built again from the texts for these rows alone, group by group of
 rows that pairs connect; a pair whose rows are connected already needs no look. Columns of more than
@@ -46,9 +47,10 @@ LONG = 2048
 WINDOW, LEAST = 2_000_000, 3
 #: Sum from which a column is frequent, and how many there are at most (8 bytes each in every task).
 OFTEN, MOST = 64, 1_000_000
+#: Cells of a sketch, at least; a power of two.
 CELLS = 1024
 #: Shingles of a block of sets that one task holds.
-GRAMS = 1_000_000
+GRAMS = 3_000_000
 #: Bits of the filter that keeps rows without candidates from being built again.
 FILTER_BITS = 1 << 26
 
@@ -67,7 +69,9 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).tobytes()
+    """The parity of the hashes in each cell; as many cells as hashes, in powers of two, so that long sets are told apart too."""
+    cells = max(CELLS, 1 << (len(s) - 1).bit_length()) if len(s) else CELLS
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
 
 
 def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -184,8 +188,22 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
     return entries.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, na long, nb long, rest long, gram long")
 
 
-def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many cells each pair of sketches differs."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0).tolist():
+        at = np.flatnonzero((size[:, 0] == la) & (size[:, 1] == lb))
+        whole = max(1, 4_000_000 // (la + lb))
+        for lo in range(0, len(at), whole):
+            some = at[lo : lo + whole]
+            x, y = (np.frombuffer(b"".join([side[i] for i in some]), np.uint64).reshape(len(some), -1) for side in (a, b))
+            while x.shape[1] != y.shape[1]:
+                fold = lambda z, n: np.bitwise_xor(z[:, : n // 2], z[:, n // 2 :]) if z.shape[1] == n else z
+                n = max(x.shape[1], y.shape[1])
+                x, y = fold(x, n), fold(y, n)
+            out[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _within(x: Column, y: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -195,10 +213,7 @@ def _within(x: Column, y: Column, na: Column, nb: Column, percent: int) -> Colum
     def cells(a, b):
         import pandas as pd
 
-        if not len(a):
-            return pd.Series([], dtype="int32")
-        whole = lambda s: np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1)
-        return pd.Series(_differ(whole(a), whole(b)).astype(np.int32))
+        return pd.Series(_differ(a.tolist(), b.tolist()).astype(np.int32))
 
     return cells(x, y) <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent))
 
@@ -237,7 +252,7 @@ def _apart(long: DataFrame, percent: int) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         node, n, root, mine = (t.column(c).to_numpy() for c in ("a", "na", "root", "mine"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        sketch = t.column("sketch").to_pylist()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         found = [np.zeros((2, 0), np.int64)]
         for lo in range(0, len(left), 64):
@@ -247,7 +262,7 @@ def _apart(long: DataFrame, percent: int) -> DataFrame:
                 good &= node[p][:, None] < node[right][None, :]
             x, y = np.nonzero(good)
             x, y = p[x], right[y]
-            near = _differ(sketch[x], sketch[y]) <= n[x] + n[y] - 2 * _need(n[x], n[y], percent)
+            near = _differ([sketch[v] for v in x], [sketch[v] for v in y]) <= n[x] + n[y] - 2 * _need(n[x], n[y], percent)
             x, y = node[x[near]], node[y[near]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
         x = np.concatenate(found, axis=1)

@@ -110,3 +110,17 @@ def test_empty_and_clashing_names(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, "a b", "x", 1, 2), (2, "A B", "y", 3, 4)], "id2 long, body string, sig string, node int, component_id int")
     assert sorted(tuple(r) for r in jaccard_components(df, "id2", "body").collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_sketches_differ_in_no_more_cells_than_sets_in_elements():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 6), (900, 1100), (1500, 1200), (5000, 4400), (3000, 40_000)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.r_[x[: len(x) // 2], rng.integers(0, 1 << 63, m).astype(np.uint64)])
+        apart = len(np.setxor1d(x, y))
+        cells = jaccard._differ([jaccard._sketch(x), jaccard._sketch(y)], [jaccard._sketch(y), jaccard._sketch(x)])
+        assert cells[0] == cells[1] <= apart
+        if max(n, m) < 10_000:
+            assert cells[0] > 0.2 * apart
