@@ -17,9 +17,10 @@ TOKEN = f"{STRING}|{COMMENT}|{NUMBER}|{NAME}|{SIGN}"
 
 
 def code_tokens(source: Column) -> Column:
-    """Tokens with strings, numbers and names as S, N and I, keywords and signs as they are, comments dropped; null for null."""
+    """Tokens with strings, numbers and names as S, N and I, keywords and signs as they are, comments dropped; a quote that
+    nothing closes is a sign. Null for null."""
     found = F.filter(F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
-    kind = lambda t: F.when(t.rlike("[\"']"), "S").when(t.rlike("^[0-9]"), "N").when(t.rlike("^[A-Za-z_]") & ~t.isin(*keyword.kwlist), "I").otherwise(t)
+    kind = lambda t: F.when((F.length(t) > 1) & t.rlike("[\"']"), "S").when(t.rlike("^[0-9]"), "N").when(t.rlike("^[A-Za-z_]") & ~t.isin(*keyword.kwlist), "I").otherwise(t)
     return F.transform(found, kind)
 
 

@@ -30,23 +30,17 @@ def id_part(composite: Column, part: int) -> Column:
     return F.split_part(composite, F.lit("__"), F.lit(part))
 
 
-# What makes a path one of tests, by who asks. `folders` are whole folder names, `begins` and `ends` those of a
-# file's name, `files` whole names. For "review" a folder may end the path, and its beginnings and ends are of any name
-# within the path and of the whole path.
+# What makes a path one of tests, by who asks.
 TEST_PATHS = {
-    "gate": {"folders": ("test", "tests", "testing", "unittest", "unittests", "integration_tests"), "begins": r"test_[^/]*\.py", "ends": r"_test\.py", "files": ("conftest.py", "tests.py")},
-    "footprint": {"folders": ("test", "tests", "testing", "unit_tests", "unittests", "integration_tests"), "begins": r"test_[^/]*", "ends": r"_test\.py", "files": ("conftest.py", "tests.py")},
-    "review": {"folders": ("test", "tests", "testing"), "begins": r"test_.*", "ends": r"(_test|conftest)\.py", "files": ()},
+    "gate": r"(^|/)(tests?|testing|unittests?|integration_tests)/|(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$|(^|/)tests\.py$",
+    "footprint": r"(^|/)(tests?|testing|unit_?tests|integration_tests)/|(^|/)test_[^/]*$|_test\.py$|(^|/)conftest\.py$|(^|/)tests\.py$",
+    "review": r"(^|/)(tests?|testing)(/|$)|(^|/)test_|_test\.py$|conftest\.py$",
 }
 
 
 def is_test_path(path: Column, rule: str = "footprint") -> Column:
     """Is path in a folder of tests, or named as a test? rule is one of TEST_PATHS. Null for a null path."""
-    has = TEST_PATHS[rule]
-    folder_end = "(/|$)" if rule == "review" else "/"
-    folders = f"(^|/)({'|'.join(has['folders'])}){folder_end}"
-    named = [f"(^|/){has['begins']}$", f"{has['ends']}$", *(f"(^|/){re.escape(f)}$" for f in has["files"])]
-    return path.rlike("|".join([folders, *named]))
+    return path.rlike(TEST_PATHS[rule])
 
 
 def strip_ansi(text: Column) -> Column:

@@ -6,34 +6,38 @@ inputs make a gate unverified unless its docstring says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import norm
-from .text import diff_rows, file_changes
+from ..functions import names
+from ..functions.names import lines, norm
+from .text import diff_lines, path_of
 
-# What a test file, a test, an assertion, a skip, a parametrisation and an empty body look like; the files and
-# sections that steer a test run; packages that only build or test; gates that rest on a constraint which a task doesn't state.
-TEST_PATH = r"(^|/)(tests?|testing|unittests?|integration_tests)/|(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$|(^|/)tests\.py$"
-TEST_DEF = r"^\s*(async\s+)?def\s+test|^\s*class\s+Test"
-ASSERTION = r"\bassert\b|\bself\.assert[A-Za-z]*\s*\(|\bpytest\.raises\b"
+# What a test file, a test, an assertion, a skip, a parametrisation and an empty body look like; the files,
+# tables and sections that steer a test run; packages that only build or test; gates that rest on a constraint which a task
+# doesn't state.
+TEST_PATH = names.TEST_PATHS["gate"]
+TEST_DEF = r"^\s*(async\s+)?def\s+(test_[A-Za-z0-9_]*|[A-Za-z0-9_]*_test)\s*\("
+ASSERTION = r"\bassert\b|\bself\.assert[A-Za-z]*\s*\(|\bpytest\.raises\b|\bself\.fail\s*\(|\bnp\.testing\.assert"
 SKIP = r"@(pytest\.mark\.)?(skip|skipif|xfail)\b|\bpytest\.skip\s*\(|\bunittest\.skip\b|\bself\.skipTest\s*\(|\braise\s+SkipTest\b"
-PARAMETRIZE = r"@pytest\.mark\.parametrize\b"
-TRIVIAL = r"^\s*(pass|\.\.\.|return|return None|assert True)\s*$"
-RUNNER_PATH = r"(^|/)\.github/workflows/|(^|/)(pytest\.ini|tox\.ini|noxfile\.py|\.coveragerc)$"
-COLLECTION_HOOK = r"^\s*(def pytest_(collection|ignore_collect|collect)|collect_ignore)"
+PARAMETRIZE = r"@(pytest\.mark\.)?parametrize"
+TRIVIAL = r"^\s*(pass|\.\.\.|return(\s+None)?)\s*$"
+RUNNER_PATH = r"(^|/)\.github/workflows/[^/]+\.ya?ml$|(^|/)(pytest\.ini|\.pytest\.ini|tox\.ini|noxfile\.py)$"
+RUNNER_SECTIONS = {"pyproject.toml": r"^\s*\[\s*tool\.(pytest|tox|nox)(\.|\s*\])", "setup.cfg": r"^\s*\[\s*(tool:pytest|pytest|tox:[^\]]*)\s*\]"}
+SECTION = r"^\s*\[[^\]]+\]\s*$"
+COLLECTION_HOOK = r"^\s*((async\s+)?def\s+pytest_(collection_modifyitems|ignore_collect|collect_file|collect_directory|pycollect_makeitem|runtest_setup|runtest_call|deselected|runtest_makereport|sessionstart)\b|collect_ignore(_glob)?\s*=)"
 BUILD_TIME = ("pip", "setuptools", "wheel", "pytest", "tox", "nox", "build", "setuptools_scm", "hatchling", "flit_core", "poetry_core", "pdm_backend")
 UNSTATED = ("G3", "G7", "G8")
 
 
 def declaration_gate(submissions: DataFrame, key: str, before: str, after: str, target: str) -> DataFrame:
     """G1 (key, status, reason): the declared names after are those before without the target; arrays of names."""
-    names = lambda c: F.array_distinct(F.transform(c, norm))
-    b, a, t = names(before), names(after), norm(F.col(target))
+    normed = lambda c: F.array_distinct(F.transform(c, norm))
+    b, a, t = normed(before), normed(after), norm(F.col(target))
     gone = ~F.array_contains(a, t)
     exact = gone & (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 1) & F.array_contains(b, t)
-    reason = F.when(F.col(after).isNull() | F.col(before).isNull(), "the manifest could not be read").when(~gone, "still declared").when(exact, "removed").otherwise("other declarations changed too")
-    status = F.when(F.col(after).isNull() | F.col(before).isNull(), "unverified").when(exact, "pass").otherwise("fail")
+    reason = F.when(t.isNull(), "no target is named").when(F.col(after).isNull() | F.col(before).isNull(), "the manifest could not be read").when(~gone, "still declared").when(exact, "removed").otherwise("other declarations changed too")
+    status = F.when(t.isNull() | F.col(after).isNull() | F.col(before).isNull(), "unverified").when(exact, "pass").otherwise("fail")
     return submissions.select(key, status.alias("status"), reason.alias("reason"))
 
 
@@ -84,38 +88,112 @@ def phantom_gate(logs: DataFrame, key: str, log: str, pattern: Column) -> DataFr
     return logs.select(key, F.when(text.isNull() | (F.trim(text) == ""), "unverified").when(F.regexp_like(text, pattern), "fail").otherwise("pass").alias("status"))
 
 
-def oracle_gate(patches: DataFrame, key: str, text: str, target: str | None = None) -> DataFrame:
-    """G7 (key, status, signals): do edits of test files or of the runner's configuration weaken the tests? New test files are
-    no edits. Lines that take the target package out of a configuration are the task itself."""
-    rows = diff_rows(patches, key, text)
-    files = file_changes(patches, key, text)
-    if target is not None:
-        rows = rows.join(patches.select(key, norm(F.col(target)).alias("__target")), key)
-    named = F.contains(norm(F.col("text")), F.col("__target")) if target is not None else F.lit(False)
-    count = lambda kind, rx: F.count_if((F.col("kind") == kind) & F.col("text").rlike(rx))
-    facts = rows.groupBy(key, "path").agg(
-        *[count(kind, rx).alias(f"{name}_{kind}") for name, rx in (("tests", TEST_DEF), ("asserts", ASSERTION), ("skips", SKIP), ("params", PARAMETRIZE), ("trivial", TRIVIAL), ("hooks", COLLECTION_HOOK)) for kind in ("add", "del")],
-        F.count_if((F.col("kind") != "ctx") & (F.trim("text") != "") & ~((F.col("kind") == "del") & named)).alias("edits"),
+def named_package(line: Column, package: Column) -> Column:
+    """Does a line name the package as a whole, with hyphens, underscores and dots alike? False for a null package."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(package), r"([^a-z0-9_.-])", r"\\$1"), "[-_.]", "[-_.]")
+    return F.coalesce(F.regexp_like(F.lower(line), F.concat(F.lit("(?<![a-z0-9])"), name, F.lit("(?![a-z0-9])"))), F.lit(False))
+
+
+def _start_sections(hunks: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """(key, path, hunk, start): the section of the unchanged file in which a hunk of hunks(key, path, hunk, old_start, anchor)
+    begins. The place is the line equal to the hunk's first old line that is nearest to where its header says (ties: the
+    upper one), or else where its header says; the section is that of the last header up to there, an as-of join."""
+    numbered = originals.select(key, "path", F.posexplode(lines(F.col("text"))).alias("at", "line"))
+    size = numbered.groupBy(key, "path").agg(F.max("at").alias("last"))
+    want = F.coalesce("old_start", F.lit(1)) - 1
+    near = hunks.join(numbered.withColumnRenamed("line", "anchor"), [key, "path", "anchor"]).groupBy(key, "path", "hunk").agg(F.min_by("at", F.struct(F.abs(F.col("at") - want), "at")).alias("near"))
+    placed = hunks.join(size, [key, "path"]).join(near, [key, "path", "hunk"], "left")
+    at = F.coalesce("near", F.least(F.col("old_start") - 1, "last"))
+    points = placed.select(key, "path", at.cast("int").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("header"), "hunk").where("at IS NOT NULL")
+    headers = numbered.where(F.col("line").rlike(SECTION)).select(key, "path", "at", F.lit(0).alias("kind"), F.trim("line").alias("header"), F.lit(None).cast("int").alias("hunk"))
+    so_far = Window.partitionBy(key, "path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return points.unionByName(headers).withColumn("start", F.last("header", ignorenulls=True).over(so_far)).where("kind = 1").select(key, "path", "hunk", "start")
+
+
+def oracle_gate(patches: DataFrame, key: str, text: str, target: str | None = None, originals: DataFrame | None = None, injected: tuple[str, str] | None = None) -> DataFrame:
+    """G7 (key, status, signals, reason, findings, modified, added): do edits of test files or of the runner's configuration
+    weaken the tests? findings are (path, signal, detail) with up to three lines of detail; modified and added are the test
+    files. New test files are no edits.
+
+    Files that only steer test runs count whole; pyproject.toml and setup.cfg count where a hunk is in a section of a
+    runner. The section goes from header to header through a hunk; before the first one it is that of the unchanged file, if
+    originals(key, path, text) has it. A removed line that names the target package as a whole is the task itself, not an
+    edit. Lines between the marks `injected` (begin, end) that a harness adds to test files don't count.
+
+    A null patch is unverified; a null target exempts nothing."""
+    rows = diff_lines(patches.select(key, text), key, text).where(F.col("new").isNotNull()).withColumn("path", path_of())
+    line = F.col("line")
+    kind = F.when(line.startswith("+"), "add").when(line.startswith("-"), "del").otherwise("ctx")
+    file = ["__path", "__new_file", "__deleted_file"]
+    body = rows.select(key, F.col("path").alias("__path"), "hunk", "line_no", F.when(F.col("body"), kind).alias("kind"), F.when(F.col("body"), F.substring(line, 2, 1 << 30)).otherwise(line).alias("line"), (F.col("old") == "/dev/null").alias("__new_file"), (F.col("new") == "/dev/null").alias("__deleted_file"))
+    package = patches.select(key, (norm(F.col(target)) if target else F.lit(None).cast("string")).alias("__target"))
+    body = body.join(package, key)
+    base, trimmed, content = F.element_at(F.split("__path", "/"), -1), F.trim("line"), F.col("line")
+    if injected:
+        order = Window.partitionBy(key, *file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        mark = F.when(F.col("kind") == "add", F.when(content.contains(injected[0]), 1).when(content.contains(injected[1]), 2))
+        body = body.withColumn("__mark", F.last(mark, ignorenulls=True).over(order)).withColumn("__own", (F.col("kind") != "add") | (F.coalesce("__mark", F.lit(2)) == 2) & ~content.contains(injected[1]))
+    else:
+        body = body.withColumn("__own", F.lit(True))
+
+    sectioned = base.isin(*RUNNER_SECTIONS)
+    if originals is not None:
+        begins = F.regexp_extract("line", r"^@@ -(\d+)", 1)
+        hunks = body.where(sectioned).groupBy(key, F.col("__path").alias("path"), "hunk").agg(F.max(F.when(F.col("kind").isNull() & (F.col("line_no") == F.col("hunk")), F.nullif(begins, F.lit("")).cast("int"))).alias("old_start"), F.min_by("line", F.when(F.col("kind") != "add", F.col("line_no"))).alias("anchor"))
+        start = _start_sections(hunks, originals, key).withColumnsRenamed({"path": "__path"})
+        body = body.join(start, [key, "__path", "hunk"], "left")
+    else:
+        body = body.withColumn("start", F.lit(None).cast("string"))
+    body = body.where("kind IS NOT NULL")
+    header = content.rlike(SECTION)
+    through = Window.partitionBy(key, "__path", "hunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.when(sectioned, F.coalesce(F.last(F.when(header, trimmed), ignorenulls=True).over(through), "start"))
+    of_runner = lambda c: F.coalesce(*[F.when(base == name, c.rlike(rx)) for name, rx in RUNNER_SECTIONS.items()], F.lit(False))
+    body = body.withColumn("__section", section)
+    whole = F.col("__path").rlike(RUNNER_PATH)
+    changed = (F.col("kind") != "ctx") & (trimmed != "") & ~((F.col("kind") == "del") & named_package(content, F.col("__target")))
+    in_section = F.coalesce(of_runner(F.col("__section")), F.lit(False))
+    edit = F.when(whole, changed).when(sectioned & header, (F.col("kind") == "add") & in_section).when(sectioned, changed & in_section).otherwise(False)
+
+    has = lambda sort, rx: (F.col("kind") == sort) & F.col("__own") & content.rlike(rx)
+    count = lambda sort, rx: F.count_if(has(sort, rx))
+    some = lambda which: F.slice(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("line_no", F.concat(F.when(F.col("kind") == "del", "-").otherwise("+"), trimmed).alias("t"))))), lambda x: x["t"]), 1, 3)  # noqa: E731 (one file of one patch)
+    f = body.groupBy(key, *file).agg(
+        *[count(sort, rx).alias(f"{name}_{sort}") for name, rx in (("tests", TEST_DEF), ("asserts", ASSERTION), ("skips", SKIP), ("params", PARAMETRIZE), ("trivial", TRIVIAL), ("hooks", COLLECTION_HOOK)) for sort in ("add", "del")],
+        F.count_if(F.col("kind") == "del").alias("removed"),
+        F.count_if((F.col("kind") != "ctx") & F.col("__own")).alias("touched"),
+        F.max(F.when(edit, F.coalesce("__section", F.lit("")))).alias("edited"),
+        *[some(which).alias(name) for name, which in (("edit_lines", edit), ("skip_lines", has("add", SKIP)), ("hook_lines", has("add", COLLECTION_HOOK)))],
     )
-    f = files.join(facts, [key, "path"], "left")
-    test = F.col("path").rlike(TEST_PATH) & ~F.col("new_file")
-    live = test & ~F.col("deleted_file")
+    deleted = rows.where(F.col("new") == "/dev/null").groupBy(key, F.col("path").alias("__path")).agg(F.count_if(F.col("body")).alias("any")).where("any = 0").select(key, F.col("__path"), F.lit(False).alias("__new_file"), F.lit(True).alias("__deleted_file"))
+    f = f.unionByName(deleted, allowMissingColumns=True)  # a deleted file without lines
+    test = F.col("__path").rlike(TEST_PATH) & ~F.col("__new_file")
+    live = test & ~F.col("__deleted_file")
     less = lambda name: F.col(f"{name}_del") > F.col(f"{name}_add")
-    signals = F.array_compact(
-        F.array(
-            F.when(test & F.col("deleted_file"), "test file deleted"),
-            F.when(live & less("tests"), "test function removed"),
-            F.when(live & (F.col("skips_add") > 0), "skip added"),
-            F.when(live & less("asserts"), "assertions removed"),
-            F.when(live & less("params"), "parametrisation removed"),
-            F.when(live & (F.col("trivial_add") > 0) & (F.col("asserts_del") > 0) & (F.col("asserts_add") == 0), "test body emptied"),
-            F.when(F.col("path").rlike(RUNNER_PATH) & (F.col("edits") > 0), "runner configuration edited"),
-            F.when(F.col("path").rlike(r"(^|/)conftest\.py$") & (F.col("hooks_add") > 0), "collection hook added"),
-        )
-    )
-    found = f.select(key, F.explode(signals).alias("signal")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("signal")).alias("signals"))  # at most eight
-    every = patches.select(key).distinct().join(found, key, "left")
-    return every.select(key, F.when(F.col("signals").isNull(), "pass").otherwise("fail").alias("status"), F.coalesce(F.array_join("signals", ","), F.lit("")).alias("signals"))
+    change = lambda name: F.array(F.concat(F.col(f"{name}_del"), F.lit(" removed, "), F.col(f"{name}_add"), F.lit(" added")))
+    no_lines = F.array().cast("array<string>")
+    found = [
+        (test & F.col("__deleted_file"), "test file deleted", F.array(F.concat(F.coalesce("removed", F.lit(0)), F.lit(" lines removed")))),
+        (live & less("tests"), "test function removed", change("tests")),
+        (live & (F.col("skips_add") > 0), "skip added", F.col("skip_lines")),
+        (live & less("asserts"), "assertions removed", change("asserts")),
+        (live & less("params"), "parametrisation removed", change("params")),
+        (live & (F.col("trivial_add") > 0) & (F.col("asserts_del") > 0) & (F.col("asserts_add") == 0), "test body emptied", no_lines),
+        (F.col("edited").isNotNull(), "runner configuration edited", F.concat(F.filter(F.array(F.col("edited")), lambda x: x != ""), F.col("edit_lines"))),
+        ((base == "conftest.py") & (F.col("hooks_add") > 0), "collection hook added", F.col("hook_lines")),
+    ]
+    finding = lambda signal, detail: F.struct(F.col("__path").alias("path"), F.lit(signal).alias("signal"), detail.alias("detail"))
+    every = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), finding(signal, detail)) for c, signal, detail in found]))
+    edited_test = test & (F.col("__deleted_file") | (F.col("touched") > 0))
+    n = f.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(every))).alias("findings"), *[F.array_sort(F.collect_list(F.when(c, F.col("__path")))).alias(name) for name, c in (("modified", edited_test), ("added", F.col("__path").rlike(TEST_PATH) & F.col("__new_file")))])  # one patch
+    out = patches.groupBy(key).agg(F.bool_or(F.col(text).isNotNull()).alias("known")).join(n, key, "left")
+    nothing = "cast(array() AS array<struct<path:string,signal:string,detail:array<string>>>)"
+    out = out.withColumns({"findings": F.coalesce("findings", F.expr(nothing)), **{c: F.coalesce(c, no_lines) for c in ("modified", "added")}})
+    signals = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["signal"]))), ",")
+    clean = F.concat(F.when(F.size("modified") > 0, F.concat(F.size("modified"), F.lit(" test files modified, none weakened"))).otherwise("no test file modified"), F.when(F.size("added") > 0, F.concat(F.lit("; "), F.size("added"), F.lit(" added"))).otherwise(""))
+    reason = F.when(~F.col("known"), "no patch").when(F.size("findings") > 0, F.concat(F.lit("tests weakened: "), F.replace(signals, F.lit(","), F.lit(", ")))).otherwise(clean)
+    status = F.when(~F.col("known"), "unverified").when(F.size("findings") > 0, "fail").otherwise("pass")
+    return out.select(key, status.alias("status"), signals.alias("signals"), reason.alias("reason"), "findings", "modified", "added")
 
 
 def closure_gate(before: DataFrame, after: DataFrame, targets: DataFrame, key: str, name: str, target: str) -> DataFrame:

@@ -42,7 +42,8 @@ def diff_lines(patches: DataFrame, key: str, text: str) -> DataFrame:
     return rows.drop("in_header")
 
 
-def _path() -> Column:
+def path_of() -> Column:
+    """The path of a diff_lines() row; deleted files keep their old one."""
     return F.when(F.col("new") == "/dev/null", F.col("old")).otherwise(F.col("new"))
 
 
@@ -51,7 +52,7 @@ def diff_rows(patches: DataFrame, key: str, text: str) -> DataFrame:
     path."""
     line = F.col("line")
     kind = F.when(line.startswith("+"), "add").when(line.startswith("-"), "del").otherwise("ctx")
-    return diff_lines(patches, key, text).where("body").select(key, _path().alias("path"), "hunk", "line_no", kind.alias("kind"), F.substring(line, 2, 1 << 30).alias("text"))
+    return diff_lines(patches, key, text).where("body").select(key, path_of().alias("path"), "hunk", "line_no", kind.alias("kind"), F.substring(line, 2, 1 << 30).alias("text"))
 
 
 def diff_summary(patches: DataFrame, key: str, text: str) -> DataFrame:
@@ -62,7 +63,7 @@ def diff_summary(patches: DataFrame, key: str, text: str) -> DataFrame:
 def file_changes(patches: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, added, deleted, new_file, deleted_file)."""
     line = F.col("line")
-    rows = diff_lines(patches, key, text).where(F.col("new").isNotNull() & (F.col("body") | line.startswith("+++ "))).withColumn("path", _path())
+    rows = diff_lines(patches, key, text).where(F.col("new").isNotNull() & (F.col("body") | line.startswith("+++ "))).withColumn("path", path_of())
     return rows.groupBy(key, "path").agg(
         F.count_if(F.col("body") & line.startswith("+")).alias("added"),
         F.count_if(F.col("body") & line.startswith("-")).alias("deleted"),
@@ -74,7 +75,7 @@ def file_changes(patches: DataFrame, key: str, text: str) -> DataFrame:
 def added_text(patches: DataFrame, key: str, text: str, suffix: str = ".py") -> DataFrame:
     """(key, path, change, text): the added lines of each file whose name ends so; a new file's are its whole content.
     Deleted files and files without added lines are left out."""
-    rows = diff_lines(patches, key, text).withColumn("path", _path()).where(F.col("path").endswith(suffix) & (F.col("new") != "/dev/null") & F.col("body") & F.col("line").startswith("+"))
+    rows = diff_lines(patches, key, text).withColumn("path", path_of()).where(F.col("path").endswith(suffix) & (F.col("new") != "/dev/null") & F.col("body") & F.col("line").startswith("+"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", F.substring("line", 2, 1 << 30).alias("t"))))  # one file of one patch
     change = F.when(F.bool_or(F.col("old") == "/dev/null"), "added").otherwise("modified")
     return rows.groupBy(key, "path").agg(change.alias("change"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
@@ -94,7 +95,7 @@ def elided_digest(patches: DataFrame, key: str, text: str, injected: list[str])
 
 def matched_line_ends(patches: DataFrame, key: str, text: str, crlf_paths: DataFrame) -> DataFrame:
     """(key, text): hunk lines of files in crlf_paths(key, path) end in CR LF, other lines as they are."""
-    marked = diff_lines(patches, key, text).withColumn("path", _path()).join(crlf_paths.select(key, "path").distinct().withColumn("crlf", F.lit(True)), [key, "path"], "left")
+    marked = diff_lines(patches, key, text).withColumn("path", path_of()).join(crlf_paths.select(key, "path").distinct().withColumn("crlf", F.lit(True)), [key, "path"], "left")
     line = F.when(F.col("crlf") & F.col("body"), F.concat(F.rtrim("line", F.lit("\r")), F.lit("\r"))).otherwise(F.col("line"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", line.alias("t"))))  # one patch
     return marked.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))

@@ -59,7 +59,7 @@ def matched_line_ends(spark, sf_dir):
 
 @query("SELECT doc_id, 'fail' AS status, 'skip added' AS signals FROM documents")
 def oracle_untouched(spark, sf_dir):
-    return gates.oracle_gate(_patches(spark, sf_dir), "doc_id", "patch")
+    return gates.oracle_gate(_patches(spark, sf_dir), "doc_id", "patch").select("doc_id", "status", "signals")
 
 
 _GATE_CASES = [
@@ -86,7 +86,7 @@ def _values(rows: list[tuple]) -> str:
 def oracle_gate_cases(spark, sf_dir):
     """Attacks, each beside an edit that must pass."""
     cases = spark.createDataFrame([(c, p, "some_lib") for c, p in _GATE_CASES], "id string, patch string, dep string")
-    return gates.oracle_gate(cases, "id", "patch", "dep")
+    return gates.oracle_gate(cases, "id", "patch", "dep").select("id", "status", "signals")
 
 
 # Submissions: a supplier gives up its part of the smallest key. Declared before: its parts in orders that were finished or
@@ -200,7 +200,7 @@ def _code_sql() -> str:
 
     def prints(table: str, key: str) -> str:
         return rf"""{table}_t AS (SELECT {key}, generate_subscripts(w, 1) AS pos, unnest(w) AS t FROM (SELECT {key}, list_filter(regexp_extract_all(text, '{token}'), lambda x: x[1] <> '#') AS w FROM {table})),
-{table}_k AS (SELECT {key}, pos, CASE WHEN regexp_matches(t, '["'']') THEN 'S' WHEN regexp_matches(t, '^[0-9]') THEN 'N' WHEN regexp_matches(t, '^[A-Za-z_]') AND t NOT IN ({words}) THEN 'I' ELSE t END AS token FROM {table}_t),
+{table}_k AS (SELECT {key}, pos, CASE WHEN length(t) > 1 AND regexp_matches(t, '["'']') THEN 'S' WHEN regexp_matches(t, '^[0-9]') THEN 'N' WHEN regexp_matches(t, '^[A-Za-z_]') AND t NOT IN ({words}) THEN 'I' ELSE t END AS token FROM {table}_t),
 {table}_g AS (SELECT {key}, pos, list(token) OVER v AS gram FROM {table}_k WINDOW v AS (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
 {table}_h AS (SELECT {key}, pos, md5(array_to_string(gram, ' ')) AS h FROM {table}_g WHERE len(gram) = 16),
 {table}_w AS (SELECT {key}, h, min(h) OVER v AS low, count(*) OVER v AS held, count(*) OVER (PARTITION BY {key}) AS n FROM {table}_h WINDOW v AS (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
