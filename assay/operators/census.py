@@ -81,42 +81,6 @@ def shards(n: Column, count: int, index: Column) -> tuple[Column, Column]:
     return F.least(n, index * size).cast("long"), F.least(n, (index + 1) * size).cast("long")
 
 
-def greedy_draw(pool: DataFrame, quotas: DataFrame, stratum: str, repo: str, dep: str, per_repo: int, per_dep: int, budget: int) -> DataFrame:
-    """A draw of at most `budget` pairs: strata from the smallest, in each the pair whose repository, then dependency, has been
-    drawn least, within caps; ties by name. Each step depends on all before it, so one group holds the candidates; they are
-    first cut, per stratum, to the `budget` x (per_repo + per_dep + 1) pairs that can still be reached, in name order within
-    their repository and dependency.
-
-    quotas(stratum, quota) has one row a stratum. Rows with nulls in a name don't take part."""
-    rows = pool.select(stratum, repo, dep).where(F.col(stratum).isNotNull() & F.col(repo).isNotNull() & F.col(dep).isNotNull()).distinct()
-    in_repo = F.row_number().over(Window.partitionBy(stratum, repo).orderBy(dep))
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
-    reach = budget * (per_repo + per_dep + 1)
-    near = rows.withColumn("__r", in_repo).withColumn("__n", F.row_number().over(Window.partitionBy(stratum).orderBy("__r", repo, dep))).where(F.col("__n") <= reach)
-    one = near.join(quotas.select(stratum, "quota"), stratum).join(sizes, stratum).select(F.lit(1).alias("one"), stratum, repo, dep, "quota", "size")
-
-    def draw(t):
-        from collections import Counter
-
-        repos, deps, out = Counter(), Counter(), []
-        for (_, name), group in sorted(((int(g["size"].iloc[0]), s), g) for s, g in t.groupby(stratum)):
-            left = list(zip(group[repo], group[dep], strict=True))
-            for _ in range(int(group["quota"].iloc[0])):
-                fit = [p for p in left if repos[p[0]] < per_repo and deps[p[1]] < per_dep]
-                if not fit:
-                    break
-                pick = min(fit, key=lambda p: (repos[p[0]], deps[p[1]], p))
-                left.remove(pick)
-                repos[pick[0]] += 1
-                deps[pick[1]] += 1
-                out.append((name, *pick))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=[stratum, repo, dep])
-
-    return one.groupBy("one").applyInPandas(draw, one.select(stratum, repo, dep).schema)
-
-
 def set_tests(rows: DataFrame, key: str, before: str, after: str, target: Column) -> DataFrame:
     """(key, subset, shrunk, equal) of two arrays taken as sets: is after within before without the target; is it exactly
     that; are both equal? Null arrays give null."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.names import lines, norm
+from .graph import closures
 from .text import diff_lines, path_of
 
 # What a test file, a test, an assertion, a skip, a parametrisation and an empty body look like; the files,
@@ -208,6 +209,54 @@ def closure_gate(before: DataFrame, after: DataFrame, targets: DataFrame, key: s
     return n.select(key, status.alias("status"), "added", "still_present")
 
 
+def closure_report(submissions: DataFrame, key: str, target: str, declared: DataFrame, observed: DataFrame | None = None, requires: DataFrame | None = None, depth: int = 3) -> DataFrame:
+    """G8 (key, status, mode, reason, added, removed, target_still_present, n_before, n_after) with evidence.
+
+    submissions(key, target, edited, applied, gold): does the patch edit a manifest, could the edit be applied, is the
+    original manifest known? declared and observed(key, side, name) hold the names before and after, side being 'before'
+    or 'after'. A key's mode is 'observed' where observed has both sides of it; else 'metadata' where requires(src, dst) is
+    given, and both sides grow by what they require in up to `depth` hops, all keys at once; else 'declared'.
+
+    Packages that only build or test don't count. Without a manifest edit, or with one that can't be applied, it fails. It
+    can't speak where the target isn't among the names before, if the original is known, nor for a null target."""
+    base = submissions.select(key, norm(F.col(target)).alias("target"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("edited", "applied", "gold")])
+    clean = lambda rows: rows.select(key, "side", norm(F.col("name")).alias("node")).where("node IS NOT NULL").distinct()
+    stated = clean(declared)
+    if requires is not None:
+        links = requires.select(norm(F.col("src")).alias("src"), norm(F.col("dst")).alias("dst"))
+        stated = closures(links, stated, [key, "side"], depth).select(key, "side", "node")
+    if observed is not None:
+        seen = clean(observed)
+        both = seen.groupBy(key).agg(F.countDistinct("side").alias("sides")).where("sides = 2").select(key)
+        stated = stated.join(both, key, "left_anti").unionByName(seen.join(both, key, "left_semi"))
+        base = base.join(both.withColumn("watched", F.lit(True)), key, "left")
+    else:
+        base = base.withColumn("watched", F.lit(False))
+    mode = F.when(F.coalesce("watched", F.lit(False)), "observed").otherwise("declared" if requires is None else "metadata")
+    names_ = stated.where(~F.col("node").isin(*BUILD_TIME)).groupBy(key, "node").agg(F.bool_or(F.col("side") == "before").alias("b"), F.bool_or(F.col("side") == "after").alias("a"))
+    own = F.col("node") == F.col("target")
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("node"))))  # noqa: E731 (one submission's packages)
+    n = base.join(names_, key, "left").groupBy(key).agg(
+        F.first("target").alias("target"), *[F.first(c).alias(c) for c in ("edited", "applied", "gold")], F.first(mode).alias("mode"),
+        F.coalesce(F.bool_or(own & F.col("b")), F.lit(False)).alias("known"), F.coalesce(F.bool_or(own & F.col("a")), F.lit(False)).alias("target_still_present"),
+        listed(F.col("a") & ~F.col("b") & ~F.coalesce(own, F.lit(False))).alias("added"), listed(F.col("b") & ~F.col("a") & ~F.coalesce(own, F.lit(False))).alias("removed"), F.count_if("b").alias("n_before"), F.count_if("a").alias("n_after"),
+    )
+    looked = F.col("mode") != "observed"
+    cases = [
+        (F.col("target").isNull(), "unverified", F.lit("no target is named")),
+        (looked & ~F.col("edited"), "fail", F.lit("no manifest is edited")),
+        (looked & ~F.col("applied"), "fail", F.lit("the manifest edit can't be applied")),
+        (F.col("gold") & ~F.col("known"), "unverified", F.concat("target", F.lit(" is not among the packages that count"))),
+        (F.col("target_still_present"), "fail", F.concat("target", F.lit(" is still there"))),
+        (F.size("added") > 0, "fail", F.concat(F.size("added"), F.lit(" packages came: "), F.array_join(F.slice("added", 1, 6), ", "))),
+    ]
+    status, reason = F, F
+    for c, s, r in cases:
+        status, reason = status.when(c, s), reason.when(c, r)
+    reason = reason.otherwise(F.concat(F.col("n_after"), F.lit(" packages, none of them new")))
+    return n.select(key, status.otherwise("pass").alias("status"), "mode", reason.alias("reason"), "added", "removed", "target_still_present", "n_before", "n_after")
+
+
 def stack(rows: DataFrame, key: str, gates: list[str]) -> DataFrame:
     """V0 and V9 (key, failed, unverified, accepted, rests_on): lists of gates by their status columns, joined by commas;
     accepted without failed and unverified ones; what a rejection rests on. A null status is an absent gate."""

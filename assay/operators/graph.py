@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,48 @@ def through_others(edges: DataFrame) -> DataFrame:
     last = links.join(links.select(F.col("src").alias("mid"), "dst"), "dst").select("src", "dst", "mid")
     found = last.join(ways, ["src", "mid"]).where("low <> dst OR high <> dst")
     return found.select("src", "dst").distinct()
+
+
+def closures(requires: DataFrame, seeds: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """(key, node, hops): what each key's seeds(key, node) lead to over requires(src, dst) in at most `depth` hops, the seeds
+    themselves with 0. All keys go at once: a frontier of (key, node) rows is joined with the edges, and only new rows go on.
+    Rows with a null node, and edges with a null end, are left out."""
+    links = cut(requires.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    seen = front = cut(seeds.select(*key, "node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
+    for hop in range(1, depth + 1):
+        ahead = front.select(*key, F.col("node").alias("src")).join(links, "src").select(*key, F.col("dst").alias("node")).distinct()
+        front = cut(ahead.join(seen.select(*key, "node"), [*key, "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def phantoms(declared: DataFrame, requires: DataFrame, depth: int = 6) -> DataFrame:
+    """(src, dst, via, hops): the declared(src, dst) that would still be installed if src dropped them, because another of its
+    dependencies leads there over requires(src, dst) in at most `depth` hops; via is the smallest such dependency and hops
+    the fewest hops in which any of them does.
+
+    Each (src, node) keeps the two smallest different first steps that lead to it. Two are enough: of what leads to a node,
+    one at least isn't that node, and two smallest of a union come from the two smallest of its parts. A round passes on
+    only what is new in it. Nodes that nobody declares and that require nothing are never entered, and the last round only
+    enters nodes that src itself declares."""
+    wants = cut(declared.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    links = requires.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct()
+    useful = wants.select(F.col("dst").alias("next")).unionByName(links.select(F.col("node").alias("next"))).distinct()
+    links = cut(links.join(useful, "next", "left_semi").select("node", "next"))
+    held = front = cut(wants.select("src", F.col("dst").alias("node"), F.col("dst").alias("via")))
+    found = wants.limit(0).select("src", "dst", F.col("dst").alias("via"), F.lit(0).alias("hops"))
+    two = F.row_number().over(Window.partitionBy("src", "node").orderBy("via"))
+    for hop in range(1, depth + 1):
+        ahead = front.join(links, "node").select("src", F.col("next").alias("node"), "via")
+        if hop == depth:
+            ahead = ahead.join(wants.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi")
+        both = held.unionByName(ahead).distinct().withColumn("nth", two).where("nth <= 2").drop("nth")
+        before, held = held, cut(both)
+        front = cut(held.join(before, ["src", "node", "via"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = front.where("via <> node").withColumnRenamed("node", "dst").join(wants, ["src", "dst"], "left_semi")
+        found = found.unionByName(reached.select("src", "dst", "via", F.lit(hop).alias("hops")))
+    return found.groupBy("src", "dst").agg(F.min("via").alias("via"), F.min("hops").alias("hops"))

@@ -23,20 +23,39 @@ def trace_states(lines: DataFrame, verdicts: DataFrame, key: str, line: str, mar
     return both.select(key, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("malformed", F.lit(0)).alias("malformed"), state.alias("state"))
 
 
-def value_class(json: Column, depth: int = 3) -> Column:
-    """The class of a recorded value (JSON): exact, array, hashed, structural, opaque or truncated. A container has the class
-    of its worst member; members deeper than `depth` count by their own form only."""
-    get = lambda k: F.get_json_object(json, f"$.{k}")
-    kind, n = get("t"), F.coalesce(get("n").cast("long"), F.lit(0))
-    text = F.when(n > F.length(F.coalesce(get("v"), F.lit(""))), "truncated").otherwise("exact")
-    items = F.from_json(get("items"), "array<string>")
-    members = F.transform(items, lambda i: value_class(i, depth - 1)) if depth else F.transform(items, lambda i: F.lit("exact"))
-    rank = F.coalesce(F.array_max(F.transform(members, lambda c: F.array_position(F.array(*[F.lit(x) for x in CLASSES]), c))), F.lit(1))
-    inner = F.when(n > F.size(items), "truncated").otherwise(F.element_at(F.array(*[F.lit(x) for x in CLASSES]), rank.cast("int")))
+#: Types whose recorded value is the whole value.
+PRIMITIVE = ("NoneType", "bool", "int", "float", "complex")
+TEXT = ("str", "bytes", "bytearray")
+
+
+def value_class(json: Column, depth: int = 3, mixed: str = "worst") -> Column:
+    """The class of a recorded value (JSON, read as VARIANT): exact, array, hashed, structural, opaque or truncated. What
+    isn't an object is exact; what isn't JSON is null.
+
+    A container with more members than were recorded, or a truncated one, is truncated. Else it has the class of its worst
+    member, or with mixed="best" of its best one, which is what published figures count; the worst is the safe rule, since a
+    difference inside an opaque member would be missed. Maps are lists of pairs; their values count. Members deeper than
+    `depth` count by their own form only."""
+    return _variant_class(F.try_parse_json(json), depth, mixed)
+
+
+def _variant_class(v: Column, depth: int, mixed: str) -> Column:
+    get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()  # noqa: E731 (a JSON null counts as there)
+    kind, n = get("t", "string"), F.coalesce(get("n", "bigint"), F.lit(0))
+    text = F.when(n > F.length(F.coalesce(get("v", "string"), F.lit(""))), "truncated").otherwise("exact")
+    items = get("items", "array<variant>")
+    worst = len(CLASSES) - 1
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in CLASSES]), c).cast("int") - 1
+    member = lambda i: F.when(kind == "dict", F.try_variant_get(i, "$[1]", "variant")).otherwise(i)
+    ranks = F.transform(items, lambda i: rank(_variant_class(member(i), depth - 1, mixed)) if depth else F.lit(0))
+    # -1: no member yet; a truncated member decides in both rules
+    join = lambda a, r: F.when((a == worst) | (r == worst), worst).when(a < 0, r).otherwise(F.greatest(a, r) if mixed == "worst" else F.least(a, r))
+    inner = F.aggregate(ranks, F.lit(-1), join, lambda a: F.element_at(F.array(*[F.lit(x) for x in CLASSES]), F.greatest(a, F.lit(0)) + 1))
     return (
-        F.when(kind.isNull(), "exact").when(get("h").isNotNull(), "hashed").when(kind.isin("str", "bytes", "bytearray"), text)
-        .when(kind.isin("int", "float", "bool", "NoneType", "complex"), "exact").when(items.isNotNull(), inner).when(get("list").isNotNull(), "array")
-        .when(get("attrs").isNotNull() | get("len").isNotNull(), "structural").otherwise("opaque")
+        F.when(v.isNull(), F.lit(None)).when(~F.schema_of_variant(v).startswith("OBJECT"), "exact").when(has("h"), "hashed").when(kind.isin(*TEXT), text)
+        .when(kind.isin(*PRIMITIVE), "exact").when(items.isNotNull(), F.when(n > F.size(items), "truncated").otherwise(inner)).when(has("list"), "array")
+        .when(has("attrs") | has("len"), "structural").otherwise("opaque")
     )
 
 
@@ -46,6 +65,19 @@ def fidelity(calls: DataFrame, value: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))  # six rows at most
 
 
+def record_fidelity(records: DataFrame, record: str, cap: str, mixed: str = "best") -> DataFrame:
+    """(class, n, share, decided) of recorded calls, each an object with `ret` or `raised`; a call that raised is of the class
+    exception, one without either is exact. decided: does a comparison of such values look at the whole value? Headers of
+    capped files, which have a true `cap`, and lines that aren't JSON don't count."""
+    v = F.try_parse_json(record)
+    rows = records.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.coalesce(F.try_variant_get("v", f"$.{cap}", "boolean"), F.lit(False)))
+    of = lambda key: F.try_variant_get(F.col("v"), f"$.{key}", "variant")
+    kind = F.when(of("raised").isNotNull(), "exception").otherwise(F.coalesce(_variant_class(of("ret"), 3, mixed), F.lit("exact")))
+    n = rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))  # seven rows at most
+    return n.select("class", "n", share.alias("share"), F.col("class").isin("exact", "array", "hashed", "structural", "exception").alias("decided"))
+
+
 def observability(calls: DataFrame, pair: str, function: str, void: Column, opaque: Column) -> DataFrame:
     """(level, what, n) on three levels: calls, functions of a pair, pairs. A function is observable that returns a value on
     some call and takes no live object on any."""

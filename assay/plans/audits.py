@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code, names
-from ..operators import census, copies, gates, text, traces
+from ..operators import census, copies, draws, gates, text, traces
 from ..sinks import writers
 from ..sources import manifests
 from .catalogue import QUERIES, query, t
@@ -183,7 +183,7 @@ def extreme_mutation(spark, sf_dir):
 FROM (SELECT doc_id, regexp_replace(text, '\. ', '==7 ') AS body FROM documents)""")
 def phantom_use(spark, sf_dir):
     """Is the package `the` in an install log? Logs are the documents, the first sentence end of which pins a word."""
-    logs = t(spark, sf_dir, "documents").select("doc_id", F.expr(r"regexp_replace(text, '\\. ', '==7 ', 1)").alias("x"), "text")
+    logs = t(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.when(F.instr("text", ". ") > 0, F.concat(F.substring_index("text", ". ", 1), F.lit("==7 "), F.expr("substring(text, instr(text, '. ') + 2)"))).otherwise(F.col("text"))
     return gates.phantom_gate(logs.withColumn("log", first), "doc_id", "log", code.installed_pattern(F.lit("the")))
 
@@ -494,7 +494,7 @@ def greedy_draw(spark, sf_dir):
     o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     pool = o.select(F.col("o_orderpriority").alias("tier"), F.concat(F.lit("r"), "c_nationkey").alias("repo"), "c_mktsegment")
     quotas = pool.select("tier").distinct().withColumn("quota", F.lit(6))
-    return census.greedy_draw(pool, quotas, "tier", "repo", "c_mktsegment", 2, 10, 30)
+    return draws.greedy_draw(pool, quotas, "tier", "repo", "c_mktsegment", 2, 10, 30)
 
 
 @query("""WITH i AS (SELECT n_name || '__all__' || r_name AS id, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name AS a, r_name AS b, i.id FROM nation CROSS JOIN region LEFT JOIN i ON i.a = n_name AND i.b = r_name""")

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 from assay.functions import code, names
-from assay.operators import census, copies, gates, graph, relate, statistics, text, traces
+from assay.operators import census, copies, draws, gates, graph, relate, statistics, text, traces
 from assay.plans.audits import QUERIES, code_copy_scores
 from assay.sinks import writers
 from assay.sources import files, manifests
@@ -77,7 +77,7 @@ def test_greedy_draw_against_plain_python(spark):
             repos[pick[0]] += 1
             deps[pick[1]] += 1
             want.add((s, *pick))
-    got = census.greedy_draw(spark.createDataFrame(pool, "s string, r string, d string"), spark.createDataFrame(list(quota.items()), "s string, quota int"), "s", "r", "d", 2, 4, 18)
+    got = draws.greedy_draw(spark.createDataFrame(pool, "s string, r string, d string"), spark.createDataFrame(list(quota.items()), "s string, quota int"), "s", "r", "d", 2, 4, 18)
     assert {tuple(r) for r in got.collect()} == want and want
     drawn = QUERIES["greedy_draw"](spark, DATA).collect()
     assert len(drawn) == len(set(drawn)) and max(Counter(r.repo for r in drawn).values()) <= 2
