@@ -32,6 +32,8 @@ from .common import Words, cut, text_blocks, text_or_empty
 #: Distinct fingerprints of a posting list that one task compares; longer lists are split into blocks of about this size.
 LONG = 2048
 _BLOCK = 1 << 18
+#: Edges that one task contracts at most, about.
+EDGES = 500_000
 #: Parts that the members of components are dealt into, so that one giant component isn't one task.
 SALTS = 16
 #: Turan's system: three groups of positions, the triples within one and those of two from a group and one from the next.
@@ -198,13 +200,45 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     return short.unionByName(long).distinct()
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the edges u-v, without those smallest nodes."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)  # sorted, so the smaller place is the smaller node
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[a], low[b])
+        before = low.copy()
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == before).all():
+            break
+    far = low != np.arange(len(nodes))
+    return nodes[far], nodes[low[far]]
+
+
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """edges(u, v) with the same components, in `parts` tasks: each gives the stars of the edges it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+        if held:
+            u, v = _stars(*np.concatenate(held, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.coalesce(parts).mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of edges(a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is joins and minima only, and lineage is cut every round."""
+    Edges are first contracted in blocks of about EDGES, each in one task; a single block is done then. Several blocks go
+    on by alternating large-star and small-star rounds; each is joins and minima only, and lineage is cut every round."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
+    parts = max(1, -(-now.count() // EDGES))
+    now, mark = cut(_contracted(now, parts)), None
+    for _ in range(max_rounds if parts > 1 else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -216,7 +250,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         mark = seen
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if parts > 1:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

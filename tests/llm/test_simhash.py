@@ -98,3 +98,28 @@ def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark):
     assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     empty = drop_near_copies(spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, " ", "z")], "doc_id long, text string, row string")).collect()
     assert [tuple(r) for r in empty] == [(1, None, "x")]
+
+
+def test_components_in_one_and_in_many_blocks(spark, monkeypatch):
+    import random
+
+    from assay.llm import simhash
+
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)] + [(7, 7)] + [(10_000, i) for i in range(1100, 1400)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {(i, find(i)) for a, b in edges if a != b for i in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for block in (10**6, 50):
+        monkeypatch.setattr(simhash, "EDGES", block)
+        got = [tuple(r) for r in simhash.connected_components(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
