@@ -1,7 +1,7 @@
-"""Dependency manifests: reading, removing a dependency, masking, writing.
+"""Dependency manifests: removing a dependency, masking, writing; reading is in `declarations`.
 
-files(path, text) go in; the format follows from the file's name. Grammars (TOML, XML, JSON, Python) are read by the
-standard library in small helpers over Arrow batches; a file that can't be read gives no rows.
+files(path, text) go in; the format follows from the file's name. An edit is proven by reading the result with the formats'
+full grammars (TOML, XML, JSON, Python), in small helpers over Arrow batches; it declines what it can't read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import norm
+from .declarations import declared
 
 Found = list[tuple[str, str]]
 _requirement = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;#]*)")
@@ -121,17 +122,6 @@ def _without(path: str, text: str | None, name: str) -> str | None:
     return next((t for t in tries if (after := _declared(path, t)) is not None and sorted(_key(n) for n, _ in after) == rest), None)
 
 
-def declared(files: DataFrame) -> DataFrame:
-    """(path, name, specifier) of every dependency that a manifest declares."""
-
-    def run(batches):
-        for b in batches:
-            rows = [(p, *x) for p, t in zip(b["path"], b["text"], strict=True) for x in _declared(p, t) or ()]
-            yield pd.DataFrame(rows, columns=["path", "name", "specifier"])
-
-    return files.select("path", "text").mapInPandas(run, "path string, name string, specifier string")
-
-
 def with_included(files: DataFrame, rounds: int = 8) -> DataFrame:
     """(path, name, specifier) of requirement files, with those of the files that -r lines name, followed at most `rounds`
     deep; paths are relative to one tree. A file that includes itself counts once."""

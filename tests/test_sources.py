@@ -1,5 +1,6 @@
-from assay.sources import files
+from assay.sources import declarations, files, manifests
 from assay.streaming import ingest
+from pyspark.sql import functions as F
 
 
 def test_json_lines(spark, tmp_path):
@@ -42,3 +43,36 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.n for r in spark.table("counts").collect()] == [2]
+
+
+MANIFESTS = [
+    ("a/pyproject.toml", '[project]\nname = "p"\ndependencies = []\n[tool.poetry.dependencies]\npython = "^3"\n"quoted.name" = "1"\nx = { git = "u", version = \'2\' }\ny = "~3" # note "4"\n[tool.poetry.dependencies.deep]\nversion = "5"\nextras = ["q"]\n'),
+    ("b/pyproject.toml", '[build-system]\nrequires = ["no"]\n[project]\ndescription = "a # b [c"\ndependencies = [\n  "one[x]>=1,<2 ; python_version > \'3\'",  # a "comment"\n  \'two\', # ]\n  "three @ https://u/v#frag",\n]\noptional-dependencies = {t = ["no"]}\n'),
+    ("c/pyproject.toml", "[broken"),
+    ("d/pyproject.toml", None),
+    ("e/Cargo.toml", '[package]\nversion = "9"\n[dependencies]\nserde = "1"\nrand = { version = "0.8", features = ["x"] }\n"odd-one" = { path = "../o" }\n[dependencies.big]\nfeatures = ["a"]\nversion = "7"\n[target.x.dependencies]\nno = "1"\n'),
+    ("f/setup.cfg", "[options]\ninstall_requires = one\n[options.extras_require]\nt = no\n"),
+    ("g/setup.cfg", "[metadata]\ninstall_requires = no\n[options]\npackages = find:\ninstall_requires =\n\tone>=1\n\n    # c\n    two~=2 # c\nkeywords = z\n"),
+    ("h/setup.py", "from setuptools import setup\nsetup(name='x', install_requires=[\n  'one>=1',  # don't\n  \"two\" ,\n], extras_require={'t': ['no']})\n"),
+    ("i/setup.py", "import setuptools as s\nR = (\n 'a',\n 'b==2',\n)\ns.setup(install_requires=R, name='n')\n"),
+    ("j/setup.py", "setup(name='none')\n"),
+    ("k/package.json", '{"dependencies": {"a": "1", "@b/c": "^2"}, "x": {"dependencies": {"no": "1"}}}'),
+    ("l/package.json", '{"name": "n"}'),
+    ("m/x.csproj", '<Project><ItemGroup>\n<PackageReference Version="1" Include="A.B">\n<PrivateAssets>all</PrivateAssets>\n</PackageReference>\n<PackageReference Update="C"><Version>\n2 </Version></PackageReference><Reference Include="no" /><!-- <PackageReference Include="no" />\n--></ItemGroup></Project>'),
+    ("n/requirements-dev.txt", "a\r\n  b>=1 # c\n-e .\n--hash x\n\n# d\nC_d.e[f,g] == 2 ; m\nhttps://no/x\n"),
+    ("o/readme.md", "a"),
+]
+
+
+def test_manifests_by_expressions_against_full_grammars(spark):
+    df = spark.createDataFrame(MANIFESTS, "path string, text string")
+    got = sorted(tuple(r) for r in declarations.declared(df).collect())
+    want = sorted((p, n, s) for p, t in MANIFESTS if t != "[broken" for n, s in manifests._declared(p, t) or ())
+    assert got == want
+
+
+def test_formats_and_sections(spark):
+    df = spark.createDataFrame([(p,) for p in ("x/Cargo.toml", "requirements.in", "my-requirements.txt", "A.csproj", "setup.cfg.bak", None)], "p string")
+    assert [r.f for r in df.select(declarations.file_format(F.col("p")).alias("f")).collect()] == ["cargo", "requirements", None, "csproj", None, None]
+    one = spark.createDataFrame([("top = 1\n[a]\nx = 1\n[[b]]\n[ c ]\n",)], "t string").select(declarations.sections(F.col("t")).alias("s")).first()
+    assert [(s.header, s.body) for s in one.s] == [("a", "\nx = 1\n[[b]]\n"), ("c", "\n")]
