@@ -49,18 +49,8 @@ def bounded_closure(edges: DataFrame, depth: int) -> DataFrame:
 
 
 def through_others(edges: DataFrame) -> DataFrame:
-    """The edges (src, dst) whose dst is also one or two steps from another dst of the same src.
-
-    Of the ways from src to a node only the least and the greatest first step are kept: if dst is reached by any way whose
-    first step isn't dst, it is by one of them."""
-    links = edges.select("src", "dst").distinct()
-    inner = links.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    one = inner.select("src", F.col("dst").alias("mid"), F.col("dst").alias("via"))
-    two = one.join(inner.select(F.col("src").alias("mid"), F.col("dst").alias("next")), "mid").select("src", F.col("next").alias("mid"), "via")
-    ways = one.unionByName(two).groupBy("src", "mid").agg(F.min("via").alias("low"), F.max("via").alias("high"))
-    last = links.join(links.select(F.col("src").alias("mid"), "dst"), "dst").select("src", "dst", "mid")
-    found = last.join(ways, ["src", "mid"]).where("low <> dst OR high <> dst")
-    return found.select("src", "dst").distinct()
+    """The edges (src, dst) whose dst is also one or two steps from another dst of the same src."""
+    return phantoms(edges, edges, 2).select("src", "dst")
 
 
 def closures(requires: DataFrame, seeds: DataFrame, key: list[str], depth: int) -> DataFrame:
@@ -85,19 +75,20 @@ def phantoms(declared: DataFrame, requires: DataFrame, depth: int = 6) -> DataFr
 
     Each (src, node) keeps the two smallest different first steps that lead to it. Two are enough: of what leads to a node,
     one at least isn't that node, and two smallest of a union come from the two smallest of its parts. A round passes on
-    only what is new in it. Nodes that nobody declares and that require nothing are never entered, and the last round only
-    enters nodes that src itself declares."""
+    only what is new in it, and enters only nodes that require something or that src itself declares; the last round only
+    the latter."""
     wants = cut(declared.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     links = requires.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct()
-    useful = wants.select(F.col("dst").alias("next")).unionByName(links.select(F.col("node").alias("next"))).distinct()
-    links = cut(links.join(useful, "next", "left_semi").select("node", "next"))
+    links = cut(links)
+    inner = cut(links.join(links.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next"))
     held = front = cut(wants.select("src", F.col("dst").alias("node"), F.col("dst").alias("via")))
     found = wants.limit(0).select("src", "dst", F.col("dst").alias("via"), F.lit(0).alias("hops"))
     two = F.row_number().over(Window.partitionBy("src", "node").orderBy("via"))
     for hop in range(1, depth + 1):
-        ahead = front.join(links, "node").select("src", F.col("next").alias("node"), "via")
-        if hop == depth:
-            ahead = ahead.join(wants.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi")
+        step = lambda along: front.join(along, "node").select("src", F.col("next").alias("node"), "via")  # noqa: E731, B023
+        ahead = step(links).join(wants.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi")
+        if hop < depth:
+            ahead = ahead.unionByName(step(inner))
         both = held.unionByName(ahead).distinct().withColumn("nth", two).where("nth <= 2").drop("nth")
         before, held = held, cut(both)
         front = cut(held.join(before, ["src", "node", "via"], "left_anti"))

@@ -1,4 +1,4 @@
-from assay.operators import draws, gates, graph, traces
+from assay.operators import draws, gates, graph, reports, traces
 from assay.plans.catalogue import QUERIES
 from pyspark.sql import functions as F
 
@@ -202,3 +202,33 @@ def test_value_classes_of_maps_and_mixed_containers(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v string, worst string, best string")
     for r in df.select("*", *[traces.value_class(F.col("v"), mixed=m).alias(f"got_{m}") for m in ("worst", "best")]).collect():
         assert (r.got_worst, r.got_best) == (r.worst, r.best), r
+
+
+def test_grades(spark):
+    rows = [(1, "G2", "pass", "r"), (1, "G7", None, "r"), (2, "G7", "fail", "x" * 300), (2, "G2", "unverified", None), (3, "G3", "fail", ""), (3, "G2", "fail", "y"), (4, "G2", None, None)]
+    got = {r.k: r for r in reports.grade(spark.createDataFrame(rows, "k int, g string, s string, r string"), "k", "g", "s", "r").collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].accepted and got[1].rests_on is None and [tuple(x) for x in got[1].reasons] == [("G2", "r")]
+    assert (got[2].failed, got[2].unverified, got[2].rests_on, got[2].unstated) == (["G7"], ["G2"], "unstated constraint only", ["G7"]) and len(got[2].reasons[1].reason) == 160
+    assert (got[3].failed, got[3].rests_on, got[3].unstated) == (["G2", "G3"], "tests or behaviour", ["G3"])
+
+
+def test_leaks_and_second_sources(spark):
+    files = [("t", "patch.diff", None), ("t", "x/patch.diff", "no"), ("t", "x/usage.jsonl/a", "_b_"), ("t", ".git/conftest.py", "_b_"), ("t", "conftest.py", "_r_ _b_"), ("t", "a/b.py", "_r_"), ("t", "a/b.bin", "_r_"), ("t", "c.py", None)]
+    df = spark.createDataFrame(files, "t string, p string, x string")
+    got = {(r.p, r["class"], r.at_root) for r in reports.leaks(df, "t", "p", "x", ["patch.diff", "usage.jsonl"], [("block", "_b_"), ("recorder", "_r_")], ["conftest.py"], [".py"]).collect()}
+    assert got == {("patch.diff", "artefact", True), ("x/usage.jsonl/a", "artefact", False), ("conftest.py", "block", True), ("a/b.py", "recorder", False)}
+    trees = spark.createDataFrame([("t", "tox.ini", "dep_a\n"), ("t", "sub/requirements.txt", "DEP-A==1"), ("t", "requirements-b.txt", "dep-ab\n# dep-a"), ("t", "requirements.txt", "dep-a"), ("t", "a/b/requirements.txt", "dep-a"), ("u", "tox.ini", None)], "t string, p string, x string")
+    wanted = spark.createDataFrame([("t", "Dep-A", "requirements.txt", "run tox.ini"), ("u", "q", None, None)], "t string, d string, b string, ci string")
+    found = lambda w: [tuple(r) for r in reports.install_sources(trees, w, "t", "p", "x", "d", "b", "ci", ["^requirements", "^tox.ini$"]).collect()]
+    assert found(wanted) == [("t", "Dep-A", "tox.ini", True)]
+    assert found(wanted.withColumn("b", F.lit("setup.py")).withColumn("ci", F.lit(None).cast("string"))) == [("t", "Dep-A", "requirements.txt", False)]
+
+
+def test_totals_and_units_of_empty_tables(spark):
+    none = spark.createDataFrame([], "i int, f string, v boolean")
+    assert tuple(reports.mutation_totals(none, "i", F.col("v")).first()) == (0, 0, 0, 0, 0.0, 0.0)
+    assert {r.unit: (r.n, r.rate_of_all) for r in reports.outcome_units(none, "i", "f", F.col("v"), ~F.col("v")).collect()} == {"function": (0, 0.0), "item": (0, 0.0)}
+    rows = spark.createDataFrame([(1, "f", True), (1, "f", False), (1, "g", None), (2, "f", False), (2, "g", None)], "i int, f string, v boolean")
+    assert {r.unit: tuple(r)[1:5] for r in reports.outcome_units(rows, "i", "f", F.col("v"), ~F.col("v")).collect()} == {"function": (4, 1, 1, 2), "item": (2, 1, 1, 0)}
+    assert tuple(reports.mutation_totals(rows, "i", F.col("v")).first())[:4] == (2, 1, 5, 1)
