@@ -1,7 +1,7 @@
 """Exact deduplication: group by a 128-bit content hash, compare the bytes inside each group, keep one stable id.
 
 Null text is the empty text. Repeated ids with equal text are one class like any other rows; all rows that carry the
-kept id are marked as kept. A null id sorts before every other id. An empty table gives an empty result. Other columns
+kept id are marked as kept. A null id stays only where all ids of its class are null. An empty table gives an empty result. Other columns
 play no part and may have any name.
 """
 

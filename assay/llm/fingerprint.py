@@ -13,7 +13,8 @@ texts. It depends on the sets only, not on how often peeling was retried.
 
 Null text is the empty text. Repeated paragraphs of a text count once. Repeated rows and ids are kept; rows of one id
 follow each other by their text's hash, null ids come first. An empty table gives an empty result. Rows with a common id
-share one window partition, so ids should be nearly unique.
+share one window partition, so ids should be nearly unique. Other columns play no part in edited_likeness() and may have any
+name; fingerprints() replaces a column `fingerprint`.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LO
 
 def fingerprints(docs: DataFrame, text_col: str = "text", longest: int = 2 * LONG_LINE) -> DataFrame:
     """docs with a column `fingerprint`; without a shuffle."""
-    d = docs.withColumn("__d", F.expr(digests("coalesce(cast(`{}` AS string), '')".format(text_col), longest)))
-    return d.withColumn("fingerprint", F.expr(let("cells", sketch(signed("__d"), 0), spell("cells", "__d")))).drop("__d")
+    d = digests("coalesce(cast(`{}` AS string), '')".format(text_col), longest)
+    return docs.withColumn("fingerprint", F.expr(let("set_", d, let("cells", sketch(signed("set_"), 0), spell("cells", "set_")))))
 
 
 def _retry(stuck: DataFrame, level: int) -> DataFrame:

@@ -10,7 +10,7 @@ Ranks are distributed: a class is dealt into salts, each salt is numbered by its
 classes x salts) give where each begins. A length that a third of all rows share is thus split like any other.
 
 Null text is the empty text, which is one piece with only the end token. Repeated rows and ids are packed as they are; a
-null id stays null. An empty table gives an empty result.
+null id stays null. An empty table gives an empty result. Other columns play no part and may have any name.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ logarithm, since long texts' segmentations are too unlikely for a double.
 
 Null text is the empty text; its one segmentation has no pieces. Texts with fewer than k segmentations give them all, with
 log-inclusion 0. Null keys count as key 0. Repeated rows give equal samples. An empty table gives an empty result.
+Other columns play no part in encode() and may have any name; decode() replaces a column `decoded`.
 """
 
 from __future__ import annotations

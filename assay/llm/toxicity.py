@@ -12,7 +12,8 @@ that they mostly follow the same word.
 The fit takes a sample of at most about SAMPLE labelled rows, chosen by a hash of the id; scoring covers every row.
 
 Null text is the empty text and gets the score of a text without known features. Rows without id or label don't take
-part in the fit; with no labelled rows every score is 0.5. Repeated labels of one id count once, toxic if any is. Repeated
+part in the fit; without labelled rows of both kinds every score is 0.5. An empty table gives an empty result, and other
+columns play no part in score() and stay as they are in drop_toxic(), whatever their names. Repeated labels of one id count once, toxic if any is. Repeated
 rows are scored as they are.
 """
 
@@ -196,6 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     totals = train.agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") <= 0).alias("good")).first()
     n_bad, n_good = totals["bad"], totals["good"]
+    if not n_bad or not n_good:
+        return Model({}, np.zeros(0), 0.0)
     tally = train.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # signed root of the likelihood ratio, roughly: how far a feature's rate among toxic texts is from that among others
     share_bad, share_good = (F.col("bad") + 0.5) / (n_bad + 1), (F.col("good") + 0.5) / (n_good + 1)
