@@ -49,8 +49,8 @@ WINDOW, LEAST = 2_000_000, 3
 OFTEN, MOST = 64, 1_000_000
 #: Cells of a sketch, at least; a power of two.
 CELLS = 1024
-#: Shingles of a block of sets that one task holds.
-GRAMS = 3_000_000
+#: Shingles, and sets, of a block that one task holds two of.
+GRAMS, MEMBERS = 3_000_000, 512
 #: Bits of the filter that keeps rows without candidates from being built again.
 FILTER_BITS = 1 << 26
 
@@ -332,10 +332,10 @@ def _settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     """(a, b): links with the connections of those of pairs(a, b) that link, by the whole sets.
 
     Rows that pairs connect are brought together, so that each set moves once; larger groups are dealt into blocks of
-    about GRAMS shingles, and their pairs into pairs of blocks."""
+    about GRAMS shingles or MEMBERS sets, and their pairs into pairs of blocks."""
     group = connected_components(pairs)
     placed = cut(nodes.select("node", "sig", "least", "n").join(group, "node"))
-    parts = cut(placed.groupBy("root").agg(F.ceil(F.sum("n") / GRAMS).cast("int").alias("parts")))
+    parts = cut(placed.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / GRAMS), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts")))
     dealt = placed.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     blocks = dealt.withColumn("ij", F.explode(others)).select("sig", "node", "root", "ij.i", "ij.j")

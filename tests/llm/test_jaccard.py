@@ -86,7 +86,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,small,long,often,grams", [(1, 16, 2048, 64, 10**6), (2, 2, 8, 4, 1000), (3, 3, 5, 10**9, 3000)])
 def test_corpora_at_the_bound(spark, monkeypatch, seed, small, long, often, grams):
     """Also with tiny blocks, so that columns are passed on, dealt out and compared across blocks."""
-    for name, value in (("SMALL", small), ("LONG", long), ("OFTEN", often), ("GRAMS", grams)):
+    for name, value in (("SMALL", small), ("LONG", long), ("OFTEN", often), ("GRAMS", grams), ("MEMBERS", small * 20)):
         monkeypatch.setattr(jaccard, name, value)
     rows = corpus(seed)
     assert run(spark, rows) == brute(rows)
