@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import literals, scan
-from ..operators import modules, mutants, renames, sheets
+from ..functions.code import root_name
+from ..operators import modules, mutants, renames, sheets, traces
 from .catalogue import query, t
 
 
@@ -175,3 +176,16 @@ def review_sheets(spark, sf_dir):
     attempts = d.select("doc_id").join(t(spark, sf_dir, "labels"), "doc_id", "left")
     found = sheets.review_sheet(attempts, ["quality", "toxic"], patches, t(spark, sf_dir, "conversations"), "doc_id", "patch", "conv_id", "turn", "role", "text", 20, 40)
     return found.select("doc_id", F.sha1("sheet").alias("digest"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 AS k, 'dep' || p_size % 10 AS dep FROM part), n AS (SELECT dep, count(*) AS sites, bool_and(k IN (0, 1)) AS soft FROM p GROUP BY 1) SELECT dep, sites, CASE WHEN soft THEN 'optional by design' ELSE 'required' END AS verdict FROM n""")
+def guarded_imports(spark, sf_dir):
+    """A module for each part imports a package: with a way out, as a way out, with an error of its own, or plainly."""
+    dep, k = F.concat(F.lit("dep"), F.col("p_size") % 10), F.col("p_size") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("try:\n    import "), dep, F.lit(".x\nexcept ImportError:\n    pass\n"))).when(k == 1, F.concat(F.lit("try:\n    import json\nexcept ModuleNotFoundError:\n    import "), dep, F.lit(" as json\n")))
+        .when(k == 2, F.concat(F.lit("try:\n    import "), dep, F.lit("\nexcept ImportError as e:\n    raise SystemExit(1)\n"))).otherwise(F.concat(F.lit("from "), dep, F.lit(" import y\n")))
+    )
+    files = t(spark, sf_dir, "part").repartition("p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+    sites = traces.import_sites(files).select(root_name(F.col("imported")).alias("dep"), "kind").where("dep <> 'json'")
+    return traces.guard_verdict(sites, "dep", "kind")

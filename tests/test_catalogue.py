@@ -3,7 +3,7 @@ import os
 
 import duckdb
 import pytest
-from assay.plans import audits  # noqa: F401
+from assay.plans import audits, programs, removals, trees  # noqa: F401
 from assay.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
