@@ -49,8 +49,19 @@ def bounded_closure(edges: DataFrame, depth: int) -> DataFrame:
 
 
 def through_others(edges: DataFrame) -> DataFrame:
-    """The edges (src, dst) whose dst is also one or two steps from another dst of the same src."""
-    return phantoms(edges, edges, 2).select("src", "dst")
+    """The edges (src, dst) whose dst is also one or two steps from another dst of the same src.
+
+    Of the ways from src to a node only the least and the greatest first step are kept: if dst is reached by any way whose
+    first step isn't dst, it is by one of them. phantoms() goes any number of steps; this plan for two meets the users of
+    each dst with those that lead to it, which is the smaller side where few nodes lead on and each to many."""
+    links = edges.select("src", "dst").distinct()
+    inner = links.join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    one = inner.select("src", F.col("dst").alias("mid"), F.col("dst").alias("via"))
+    two = one.join(inner.select(F.col("src").alias("mid"), F.col("dst").alias("next")), "mid").select("src", F.col("next").alias("mid"), "via")
+    ways = one.unionByName(two).groupBy("src", "mid").agg(F.min("via").alias("low"), F.max("via").alias("high"))
+    last = links.join(links.select(F.col("src").alias("mid"), "dst"), "dst").select("src", "dst", "mid")
+    found = last.join(ways, ["src", "mid"]).where("low <> dst OR high <> dst")
+    return found.select("src", "dst").distinct()
 
 
 def closures(requires: DataFrame, seeds: DataFrame, key: list[str], depth: int) -> DataFrame:
