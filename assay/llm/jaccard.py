@@ -332,17 +332,18 @@ def _settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
     """(a, b): links with the connections of those of pairs(a, b) that link, by the whole sets.
 
     Rows that pairs connect are brought together, so that each set moves once; larger groups are dealt into blocks of
-    about GRAMS shingles or MEMBERS sets, and their pairs into pairs of blocks."""
+    about GRAMS shingles or MEMBERS sets, and their pairs into pairs of blocks; a set goes where its pairs are."""
     group = connected_components(pairs)
     placed = cut(nodes.select("node", "sig", "least", "n").join(group, "node"))
     parts = cut(placed.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / GRAMS), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts")))
     dealt = placed.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    blocks = dealt.withColumn("ij", F.explode(others)).select("sig", "node", "root", "ij.i", "ij.j")
-    sets = _whole_sets(docs, placed, id_col, text_col, k).join(blocks, "sig").select(F.col("root").alias("g"), "i", "j", "node", "grams")
     side = lambda c: dealt.select(F.col("node").alias(c), F.col("mine").alias(f"m{c}"), "root")
     met = pairs.join(side("a"), "a").join(side("b").drop("root"), "b")
-    met = met.select("root", F.least("ma", "mb").alias("i"), F.greatest("ma", "mb").alias("j"), "a", "b")
+    met = cut(met.select("root", F.least("ma", "mb").alias("i"), F.greatest("ma", "mb").alias("j"), "a", "b"))
+    # a set goes only where one of its pairs is
+    asked = met.select(F.col("root").alias("g"), "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = asked.join(placed.select("node", "sig"), "node")
+    sets = _whole_sets(docs, placed, id_col, text_col, k).join(asked, "sig").select("g", F.col("i").alias("x"), F.col("j").alias("y"), "node", "grams")
 
     def run(key: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
         grams = dict(zip(sets.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("grams")), strict=True))
@@ -350,7 +351,7 @@ def _settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int,
         found = np.array(list(_linked(list(asked), grams, percent)), np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return cut(sets.groupBy("g", "i", "j").cogroup(met.groupBy("root", "i", "j")).applyInArrow(run, "a long, b long"))
+    return cut(sets.groupBy("g", "x", "y").cogroup(met.groupBy("root", "i", "j")).applyInArrow(run, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
