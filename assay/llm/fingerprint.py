@@ -5,8 +5,9 @@ words whose hash, with the word before, meets a condition. A place thus depends
 paragraph's digest is a 64-bit number that also holds its length (15 bits, or 31 for the few that need them), so what
 peeling recovers also tells how much text differs. A sketch has 3 x 8 cells of
 (count, xor of digests, xor of their hashes). Two sketches are subtracted cell by cell and peeled: a cell with one digest
-gives it up, which empties others. Where peeling gets stuck, the pair's digests are dealt into 8 sketches with another
-seed, and again into 8 for each of those that fail: 24, 192, 1536 ... cells, until all of them peel.
+gives it up, which empties others. Where peeling gets stuck, the pair's digests are dealt into sketches of some DEALT digests each, at most
+MOST of them, with another seed, and those of each sketch that fails are dealt again, until all of them peel. All of that
+happens inside the row, so that only texts are shuffled, once.
 
 The likeness of two fingerprints is the length of shared paragraphs over that of all different ones; 1 for two empty
 texts. It depends on the sets only, not on how often peeling was retried.
@@ -19,23 +20,27 @@ name; fingerprints() replaces a column `fingerprint`.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import text_or_empty
 
 LONG_LINE = 400
 #: Sentences longer than this are cut on in the query, after one word of CUT_EVERY on average.
 LONG_PIECE = 120
 CUT_EVERY = 8
-SENTENCE_END = r"\n+|(?<=[.!?…])\s+|(?<=[。！？])"
+SENTENCE_END = r"\n+|(?=\s)(?<=[.!?…])\s+|(?<=[。！？])"
 _SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-#: Words with the white space behind them; characters of scripts without spaces, and of runs of over 64, stand alone.
-UNIT = rf"[^\s{_SPACELESS}]{{1,64}}+(?![^\s{_SPACELESS}])\s*+|\S\s*+|\s++"
+_LETTER = rf"[^\s{_SPACELESS}]"
+#: Words with the white space behind them; characters of scripts without spaces, and of runs of over 64, stand alone. Words
+#: of ASCII come first because a character's script is slow to look up.
+UNIT = rf"[!-~]{{1,64}}+(?!{_LETTER})\s*+|{_LETTER}{{1,64}}+(?!{_LETTER})\s*+|\S\s*+|\s++"
+#: The longest beginning of a text that ends with a sentence end behind which a sentence starts, whatever comes after it.
+HEAD = r"(?s)\A(.*(?:\n|[.!?…][ \t]+|[。！？]))(?=\S)"
 SIDE = 8
 WAYS = 3
+DEALT = 9
+MOST = 16
 MAX_LEVELS = 12
 
 
@@ -46,19 +51,25 @@ def let(name: str, value: str, body: str) -> str:
 
 def _cut_on(p: str) -> str:
     """SQL: a sentence cut at content-defined places, as an array."""
-    last = f"filter(sequence(0, size(u) - 1), i -> i = size(u) - 1 OR (xxhash64(concat(if(i = 0, '', u[i - 1]), u[i])) & {CUT_EVERY - 1}) = 0)"
+    at = f"filter(slice(sequence(0, size(u) - 1), 2, greatest(size(u) - 2, 0)), i -> (xxhash64(concat(u[i - 1], u[i])) & {CUT_EVERY - 1}) = 0)"
+    last = f"concat(if(size(u) > 1 AND (xxhash64(u[0]) & {CUT_EVERY - 1}) = 0, array(0), slice(array(0), 1, 0)), {at}, array(size(u) - 1))"
     parts = "transform(last, (z, k) -> array_join(slice(u, if(k = 0, 0, last[k - 1] + 1) + 1, z - if(k = 0, -1, last[k - 1])), ''))"
     return let("u", f"regexp_extract_all({p}, r'{UNIT}', 0)", let("last", last, parts))
 
 
-def digests(text: str, longest: int = 2 * LONG_LINE) -> str:
-    """SQL: the set of paragraph digests of a text column, as an array."""
+def _digests(text: str, longest: int) -> str:
+    """SQL: the paragraph digests of a text column in order, with repeats."""
     sentences = f"filter(split({text}, r'{SENTENCE_END}'), p -> p <> '')"
     pieces = f"flatten(transform({sentences}, p -> if(length(p) > {longest}, {_cut_on('p')}, array(p))))"
     # lengths from 2^15 on are flagged, with their higher bits in bits 16 to 31
     n = "cast(length(p) AS bigint)"
     digest = f"if({n} < 32768L, (xxhash64(p) & -65536L) | {n}, (xxhash64(p) & -4294967296L) | shiftleft(shiftright({n}, 15), 16) | 32768L | ({n} & 32767L))"
-    return f"array_distinct(transform({pieces}, p -> {digest}))"
+    return f"transform({pieces}, p -> {digest})"
+
+
+def digests(text: str, longest: int = 2 * LONG_LINE) -> str:
+    """SQL: the set of paragraph digests of a text column, as an array."""
+    return f"array_distinct({_digests(text, longest)})"
 
 
 def length_of(d: str) -> str:
@@ -70,7 +81,7 @@ def weight(d: str) -> str:
     return f"aggregate({d}, 0L, (w, d) -> w + {length_of('d')})"
 
 
-def _hash(d: str, level: int) -> str:
+def _hash(d: str, level: int | str) -> str:
     return f"xxhash64({d}, {level})"
 
 
@@ -79,39 +90,54 @@ def _mask(h: str) -> str:
     return "(" + " | ".join(f"shiftleft(1, cast({w * SIDE} + (shiftright({h}, {3 * w}) & {SIDE - 1}) AS int))" for w in range(WAYS)) + ")"
 
 
-_BITS = f"array({', '.join(str(1 << i) for i in range(SIDE * WAYS))})"
+def _placed(signed: str, level: int | str, parts: str = "1") -> str:
+    """SQL: an array of (d, n) with each digest's hash h, its cells c0, c1, c2, and the part j to which it is dealt."""
+    places = ", ".join(f"shiftright(e.h, {3 * w}) & {SIDE - 1}L AS c{w}" for w in range(WAYS))
+    return f"transform(transform({signed}, e -> struct(e.d AS d, e.n AS n, {_hash('e.d', level)} AS h)), e -> struct(e.d AS d, e.n AS n, e.h AS h, {places}, shiftrightunsigned(e.h, {3 * WAYS}) % {parts} AS j))"
+
+
+def _cells(es: str) -> str:
+    """SQL: the cells of placed digests."""
+    cell = "aggregate(filter({}, e -> e.c{} = b), struct(0 AS c, 0L AS k, 0L AS h), (a, e) -> struct(a.c + e.n AS c, a.k ^ e.d AS k, a.h ^ e.h AS h))"
+    return f"concat({', '.join(f'transform(sequence(0L, {SIDE - 1}L), b -> {cell.format(es, w)})' for w in range(WAYS))})"
 
 
 def sketch(signed: str, level: int) -> str:
     """SQL: the cells of an array of (d, n): digests that count n = 1 or -1 times."""
-    full = f"transform(transform({signed}, e -> struct(e.d AS d, e.n AS n, {_hash('e.d', level)} AS h)), e -> struct(e.d AS d, e.n AS n, e.h AS h, {_mask('e.h')} AS m))"
-    cell = "aggregate(filter(es, e -> (e.m & b) <> 0), struct(0 AS c, 0L AS k, 0L AS h), (a, e) -> struct(a.c + e.n AS c, a.k ^ e.d AS k, a.h ^ e.h AS h))"
-    return let("es", full, f"transform({_BITS}, b -> {cell})")
+    return let("es", _placed(signed, level), _cells("es"))
 
 
 def signed(d: str, n: int = 1) -> str:
     return f"transform({d}, d -> struct(d, {n} AS n))"
 
 
-def peel(cells: str, level: int, rounds: int = 16) -> str:
-    """SQL: (ok, w): whether all cells emptied, and the length of the paragraphs they gave up."""
+def peel(cells: str, level: int | str, rounds: int = 16) -> str:
+    """SQL: (ok, w): whether all cells emptied, and the length of the paragraphs they gave up. Rounds without a cell of one
+    digest end it."""
     pure = f"transform(array_distinct(filter(acc.cells, c -> abs(c.c) = 1 AND {_hash('c.k', level)} = c.h)), c -> struct(c.c AS c, c.k AS k, c.h AS h, {_mask('c.h')} AS m))"
     less = "aggregate(pure, c, (u, p) -> if((p.m & shiftleft(1, i)) <> 0, struct(u.c - p.c AS c, u.k ^ p.k AS k, u.h ^ p.h AS h), u))"
-    step = f"if(size(pure) = 0, acc, struct(transform(acc.cells, (c, i) -> {less}) AS cells, acc.w + aggregate(pure, 0L, (s, p) -> s + {length_of('p.k')}) AS w))"
-    return f"aggregate(sequence(1, {rounds}), struct({cells} AS cells, 0L AS w), (acc, r) -> {let('pure', pure, step)}, acc -> struct(forall(acc.cells, c -> c.c = 0 AND c.k = 0L AND c.h = 0L) AS ok, acc.w AS w))"
+    step = f"if(size(pure) = 0, struct(acc.cells AS cells, acc.w AS w, false AS more), struct(transform(acc.cells, (c, i) -> {less}) AS cells, acc.w + aggregate(pure, 0L, (s, p) -> s + {length_of('p.k')}) AS w, true AS more))"
+    return f"aggregate(sequence(1, {rounds}), struct({cells} AS cells, 0L AS w, true AS more), (acc, r) -> if(acc.more, {let('pure', pure, step)}, acc), acc -> struct(forall(acc.cells, c -> c.c = 0 AND c.k = 0L AND c.h = 0L) AS ok, acc.w AS w))"
 
 
 def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> struct(x.c - y.c AS c, x.k ^ y.k AS k, x.h ^ y.h AS h))"
 
 
+def plus(a: str, b: str) -> str:
+    return f"zip_with({a}, {b}, (x, y) -> struct(x.c + y.c AS c, x.k ^ y.k AS k, x.h ^ y.h AS h))"
+
+
 def spell(cells: str, d: str) -> str:
     """SQL: a fingerprint as text: number and length of paragraphs, then the cells."""
     return f"concat(size({d}), ':', {weight(d)}, ':', array_join(transform({cells}, c -> if(c.c = 0, '', concat_ws('.', c.c, hex(c.k), hex(c.h)))), ','))"
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LONG_LINE) -> DataFrame:
-    """(id, text, d, next_text, next_d): each row with the next by ascending id; after the last comes the first.
+    """(id, text, at, head, tail, head_cells, tail_cells, next_text, next_d, next_cells): each row with the next by ascending
+    id; after the last comes the first. The set of a text's digests is in two parts: head holds those of the first `at` code
+    points, which whole sentences of the text's first three quarters fill, tail what else the text has; d and cells stand for
+    both parts together.
 
     Rows are dealt into id ranges; the first row of a range is also a guest at the end of the range before it, so one
     shuffle of the texts serves all."""
@@ -133,9 +159,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LO
     both = placed.withColumn("host", F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))))))
     dealt = both.select("id", "text", F.explode("host").alias("h")).select("id", "text", "h.bucket", "h.guest")
     # digests hardly compress, so they are made behind the shuffle
-    dealt = dealt.repartition("bucket").withColumn("d", F.expr(digests("text", longest)))
+    kept = "substring(text, 1, cast(length(text) - floor(length(text) / 4) AS int))"
+    dealt = dealt.repartition("bucket").withColumn("at", F.expr(f"length(regexp_extract({kept}, r'{HEAD}', 1))"))
+    dealt = dealt.withColumn("head", F.expr(digests("substring(text, 1, at)", longest)))
+    dealt = dealt.withColumn("tail", F.array_except(F.expr(_digests("substring(text, at + 1)", longest)), "head"))
+    dealt = dealt.withColumns({f"{c}_cells": F.expr(sketch(signed(c), 0)) for c in ("head", "tail")})
     w = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), F.xxhash64("text"))
-    led = dealt.select("id", "text", "d", "guest", F.lead("text").over(w).alias("next_text"), F.lead("d").over(w).alias("next_d"))
+    following = {"next_text": F.col("text"), "next_d": F.concat("head", "tail"), "next_cells": F.expr(plus("head_cells", "tail_cells"))}
+    led = dealt.select("id", "text", "at", "head", "tail", "head_cells", "tail_cells", "guest", *[F.lead(c).over(w).alias(name) for name, c in following.items()])
     return led.where("guest = 0").drop("guest")
 
 
@@ -145,26 +176,21 @@ def fingerprints(docs: DataFrame, text_col: str = "text", longest: int = 2 * LON
     return docs.withColumn("fingerprint", F.expr(let("set_", d, let("cells", sketch(signed("set_"), 0), spell("cells", "set_")))))
 
 
-def _retry(stuck: DataFrame, level: int) -> DataFrame:
-    """(nr, w, rest): stuck(nr, a, b) dealt into 8 sketches each; w is the length that peeled, rest what is stuck again."""
-    part = f"filter({{}}, d -> pmod(xxhash64(d, {-level}), 8) = j)"
-    one = let("x", f"struct({part.format('a')} AS a, {part.format('b')} AS b)", let("r", peel(sketch(f"concat({signed('x.a')}, {signed('x.b', -1)})", level), level), "struct(r.ok AS ok, r.w AS w, if(r.ok, NULL, x.a) AS a, if(r.ok, NULL, x.b) AS b)"))
-    tried = stuck.select("nr", F.expr(f"transform(sequence(0, 7), j -> {one})").alias("tried"))
-    return tried.select("nr", F.expr("aggregate(filter(tried, t -> t.ok), 0L, (s, t) -> s + t.w)").alias("w"), F.expr("filter(tried, t -> NOT t.ok)").alias("rest"))
+def _deal(x: str, level: str) -> str:
+    """SQL: signed digests x dealt into sketches: an array of (ok, w, es), where w is the length that peeled."""
+    found = let("r", peel(_cells("es"), level), "struct(r.ok AS ok, r.w AS w, es)")
+    each = f"transform(sequence(0L, p - 1L), j -> {let('es', 'filter(placed, e -> e.j = j)', found)})"
+    return let("p", f"least({MOST}L, greatest(2L, ceil(size({x}) / {DEALT})))", let("placed", _placed(x, level, "p"), each))
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(nr, w): the length of the paragraphs in which the digest sets a and b of pairs(nr, a, b) differ, by sketches that
-    grow until they peel. nr is unique and fixed."""
-    solved, stuck, level = [], pairs, 1
-    while level <= MAX_LEVELS:
-        tried = cut(_retry(stuck, level))
-        solved.append(tried.select("nr", "w"))
-        stuck = tried.select("nr", F.explode("rest").alias("t")).select("nr", "t.a", "t.b")
-        if stuck.isEmpty():
-            return reduce(DataFrame.unionByName, solved).groupBy("nr").agg(F.sum("w").alias("w"))
-        level += 1
-    raise RuntimeError(f"sketches did not peel in {MAX_LEVELS} levels")
+def difference(a: str, b: str, first: str) -> str:
+    """SQL: the length of the paragraphs in which the digest sets a and b differ; first is what peeling their sketches gave.
+    Sets whose sketch didn't peel are dealt into more of them, level by level."""
+    tried = f"flatten(transform(acc.parts, x -> {_deal('x', 'level')}))"
+    step = let("tried", tried, "struct(transform(filter(tried, t -> NOT t.ok), t -> transform(t.es, e -> struct(e.d AS d, e.n AS n))) AS parts, acc.w + aggregate(filter(tried, t -> t.ok), 0L, (s, t) -> s + t.w) AS w)")
+    done = f"if(size(acc.parts) = 0, acc.w, cast(raise_error('sketches did not peel in {MAX_LEVELS} levels') AS bigint))"
+    again = f"aggregate(sequence(1, {MAX_LEVELS}), struct(array(concat({signed(a)}, {signed(b, -1)})) AS parts, 0L AS w), (acc, level) -> if(size(acc.parts) = 0, acc, {step}), acc -> {done})"
+    return let("z", first, f"if(z.ok, z.w, {again})")
 
 
 def likeness(wa: str, wb: str, diff: str) -> str:
@@ -177,33 +203,27 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as many of the next row's text), and the likeness of its fingerprint to that one and to the next row's."""
     led = with_next(docs, id_col, text_col, longest).withColumn("n_chars", F.length("text").cast("long"))
     edited = led.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) AS int)), substring(next_text, 1, cast(floor(n_chars / 4) AS int)))"))
-    sets = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("d").alias("a"), F.expr(digests("edited", longest)).alias("e"), F.col("next_d").alias("x"))
-    cells = sets.withColumns({f"{c}_cells": F.expr(sketch(signed(c), 0)) for c in "aex"})
+    # the sentences before `at` are those of the text itself, so the two sets share `head`, which subtraction takes away
+    own = F.array_except(F.expr(_digests("substring(edited, at + 1)", longest)), "head")
+    sets = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "head", "tail", own.alias("own"), "next_d", "head_cells", "tail_cells", "next_cells")
+    cells = sets.withColumns({"own_cells": F.expr(sketch(signed("own"), 0)), "a": F.concat("head", "tail"), "e": F.concat("head", "own")})
+    cells = cells.withColumns({f"{c}_cells": F.expr(plus("head_cells", f"{d}_cells")) for c, d in (("a", "tail"), ("e", "own"))})
     wide = cells.select(
         "id",
         "n_chars",
         "edited_sha256",
         F.expr(spell("a_cells", "a")).alias("fingerprint"),
         F.expr(spell("e_cells", "e")).alias("edited_fingerprint"),
-        *[F.expr(weight(c)).alias(f"w{c}") for c in "aex"],
-        F.expr(peel(minus("a_cells", "e_cells"), 0)).alias("pe"),
-        F.expr(peel(minus("a_cells", "x_cells"), 0)).alias("px"),
-        "a",
-        "e",
-        "x",
+        *[F.expr(weight(c)).alias(f"w{k}") for k, c in (("a", "a"), ("e", "e"), ("x", "next_d"))],
+        F.expr(difference("tail", "own", peel(minus("a_cells", "e_cells"), 0))).alias("de"),
+        F.expr(difference("a", "next_d", peel(minus("a_cells", "next_cells"), 0))).alias("dx"),
     )
-    # what peeled at once needs its digests no more
-    rest = ["if(pe.ok AND px.ok, NULL, a) AS a", "if(pe.ok, NULL, e) AS e", "if(px.ok, NULL, x) AS x"]
-    main = cut(wide.selectExpr("monotonically_increasing_id() AS nr", *[c for c in wide.columns if c not in "aex"], *rest))
-    stuck = main.where("NOT pe.ok").selectExpr("2 * nr AS nr", "a", "e AS b").unionByName(main.where("NOT px.ok").selectExpr("2 * nr + 1 AS nr", "a", "x AS b"))
-    again = differences(stuck).selectExpr("nr div 2 AS nr", "if(nr % 2 = 0, w, NULL) AS de", "if(nr % 2 = 1, w, NULL) AS dx").groupBy("nr").agg(F.max("de").alias("de"), F.max("dx").alias("dx"))
-    found = main.drop("a", "e", "x").join(again, "nr", "left")
-    return found.select(
+    return wide.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        F.expr(likeness("wa", "we", "if(pe.ok, pe.w, de)")).alias("near_edited"),
-        F.expr(likeness("wa", "wx", "if(px.ok, px.w, dx)")).alias("near_next"),
+        F.expr(likeness("wa", "we", "de")).alias("near_edited"),
+        F.expr(likeness("wa", "wx", "dx")).alias("near_next"),
     )

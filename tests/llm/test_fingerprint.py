@@ -100,3 +100,19 @@ def test_texts_without_capitals_line_ends_or_spaces_keep_their_likeness(spark):
             assert r.near_edited > 0.4
     whole = fingerprints(spark.createDataFrame([("z" * 70_000,)], "text string"), longest=100_000).first().fingerprint
     assert int(whole.split(":")[1]) == 70_000
+
+
+def test_texts_are_shuffled_once_and_retries_stay_in_the_row(spark):
+    rows = corpus(8)
+    got = edited_likeness(spark.createDataFrame(rows, "doc_id long, text string"), longest=LONG_PIECE)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    # sentence ends right before the edit, in all their forms
+    texts = ["One. two\n three. \n four.\n five. Six!\t\nseven。八。 nine… ten? e" + "x" * n for n in range(40)]
+    texts = texts + [t[: len(t) - n] for n, t in enumerate(texts)]
+    size = lambda s: sum(map(len, s))
+    for r in edited_likeness(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), longest=LONG_PIECE).collect():
+        text, other = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        q = len(text) // 4
+        a, e = fine_parts(text), fine_parts(text[: len(text) - q] + other[:q])
+        assert abs(r.near_edited - size(a & e) / size(a | e)) < 1e-9
