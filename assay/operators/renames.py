@@ -4,39 +4,50 @@ from __future__ import annotations
 
 import keyword
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code import TOKEN
-from ..functions.names import base36
 
 #: Tokens and the white space between them, so that all pieces together are the text.
 PIECE = TOKEN + r"|\n|[^\S\n]+|[\p{L}\p{N}_]"
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
+
+
+def _base36(n: int) -> str:
+    return (_base36(n // 36) if n >= 36 else "") + _DIGITS[n % 36]
+
+
+def renamed_pieces(pieces: list[str]) -> str:
+    """The renamed copy of a text that is cut into pieces: one pass that knows the depth of brackets, the last token that
+    isn't a comment, and whether a line has ended since."""
+    names: dict[str, str] = {}
+    out, depth, last, ended = [], 0, None, False
+    for p in pieces:
+        begin = p[0]
+        space = begin in " \t\n\x0b\f\r"
+        if begin == "#":
+            out.append("")
+            continue
+        if len(p) > 1 and ("'" in p or '"' in p):
+            out.append("0" if last is None or ended else p)
+        elif begin in _NAME and not keyword.iskeyword(p):
+            out.append(names.setdefault(p, "v" + _base36(len(names))))
+        else:
+            out.append(p)
+        if p == "\n" and depth <= 0 and last != "\\":
+            ended = True
+        elif not space:
+            depth += (p in ("(", "[", "{")) - (p in (")", "]", "}"))
+            last, ended = p, False
+    return "".join(out)
 
 
 def renamed(files: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, renamed) of source texts: names become v and their place of first occurrence in base 36, comments go, and a
     string that begins a statement becomes 0. Keywords, other strings, signs and white space stay.
 
-    One pass over token rows: depth and statement starts are running sums of one sort; a name's number is the dense rank
-    of its first place, joined back by name. Null texts are left out; repeated keys share one table of names."""
-    rows = files.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).alias("at", "token"))
-    token = F.col("token")
-    string = (F.length("token") > 1) & token.rlike("[\"']") & ~token.startswith("#")
-    name = token.rlike("^[A-Za-z_]") & ~string & ~token.isin(*keyword.kwlist)
-    before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.coalesce(F.sum(F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)).over(before), F.lit(0))
-    counts = ~token.rlike(r"^\s") & ~token.startswith("#")
-    rows = rows.withColumns({"depth": depth, "last": F.last(F.when(counts, F.struct("at", "token")), ignorenulls=True).over(before)})
-    ends = (token == "\n") & (F.col("depth") <= 0) & ~F.coalesce(F.col("last.token") == "\\", F.lit(False))
-    rows = rows.withColumn("line", F.max(F.when(ends, F.col("at"))).over(before))
-    begins = F.col("last").isNull() | F.coalesce(F.col("line") > F.col("last.at"), F.lit(False))
-    rows = rows.select(*key, "at", "token", name.alias("name"), (string & begins).alias("doc"))
-    first = rows.where("name").groupBy(*key, "token").agg(F.min("at").alias("first"))
-    table = first.select(*key, "token", F.concat(F.lit("v"), base36(F.row_number().over(Window.partitionBy(*key).orderBy("first")) - 1)).alias("new"))
-    out = rows.join(table, [*key, "token"], "left")
-    piece = F.when(F.col("name"), F.col("new")).when(F.col("doc"), "0").when(token.startswith("#"), "").otherwise(token)
-    parts = F.array_sort(F.collect_list(F.struct("at", piece.alias("p"))))  # one file
-    found = out.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("renamed"))
-    known = files.where(F.col(text).isNotNull()).select(*key).distinct()
-    return known.join(found, key, "left").select(*key, F.coalesce("renamed", F.lit("")).alias("renamed"))
+    Row by row, without a shuffle; repeated keys stay, each with names of its own. Null texts are left out."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return files.where(F.col(text).isNotNull()).select(*key, F.udf(renamed_pieces, "string", useArrow=True)(pieces).alias("renamed"))
