@@ -33,7 +33,9 @@ def _sql(template: str) -> str:
 
 def _trees(spark, sf_dir) -> DataFrame:
     """(repo, path, text): a manifest for each customer, and a lock file beside it."""
-    c, form = t(spark, sf_dir, "customer"), F.col("c_custkey") % len(_FORMS)
+    # reading manifests costs far more than moving such short rows; without a number, partitions this small are joined again
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    form = F.col("c_custkey") % len(_FORMS)
     name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (file, content, _) in enumerate(_FORMS):
         name, text = F.when(form == i, file).otherwise(name), F.when(form == i, _fill(content)).otherwise(text)
