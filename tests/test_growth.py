@@ -2,7 +2,7 @@
 
 import random
 
-from assay.operators import relate
+from assay.operators import graph, relate
 
 
 def test_best_match_of_token_arrays_with_many_copies(spark):
@@ -21,3 +21,20 @@ def test_best_match_of_token_arrays_with_many_copies(spark):
                 want[a] = (-j, b, len(x & y))
     got = relate.best_match(spark.createDataFrame(left, "a int, w array<string>"), spark.createDataFrame(right, "b int, w array<string>"), "a", "b", "w", 0.3, least_left=2)
     assert {r.a: (-r.jaccard, r.b, r.shared) for r in got.collect()} == want
+
+
+def test_phantoms_follow_a_dependency_once(spark, monkeypatch):
+    kept = []
+    cut = graph.cut
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    declared = [(s, d) for s in range(60) for d in range(10)]
+    requires = [(d, 10 + d) for d in range(10)] + [(10 + d, 20 + d) for d in range(10)] + [(20 + d, (d + 1) % 10) for d in range(10)]
+    got = graph.phantoms(spark.createDataFrame(declared, "src int, dst int"), spark.createDataFrame(requires, "src int, dst int"), 3)
+    assert {tuple(r) for r in got.collect()} == {(s, d, (d - 1) % 10, 3) for s, d in declared}
+    assert sum(kept) < 2 * len(declared)
