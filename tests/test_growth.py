@@ -38,3 +38,15 @@ def test_phantoms_follow_a_dependency_once(spark, monkeypatch):
     got = graph.phantoms(spark.createDataFrame(declared, "src int, dst int"), spark.createDataFrame(requires, "src int, dst int"), 3)
     assert {tuple(r) for r in got.collect()} == {(s, d, (d - 1) % 10, 3) for s, d in declared}
     assert sum(kept) < 2 * len(declared)
+
+
+def test_two_step_ways_meet_only_those_that_have_one(spark):
+    rng = random.Random(3)
+    edges = {(rng.randint(1, 40), rng.randint(1, 400)) for _ in range(900)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    ahead = {a: set(to).union(*(out.get(x, ()) for x in to)) for a, to in out.items()}
+    got = graph.through_others(spark.createDataFrame(sorted(edges), "src int, dst int"))
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a, b in edges if any(b in ahead.get(o, ()) for o in out[a] if o != b)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 3
