@@ -2,7 +2,9 @@
 
 import random
 
-from assay.operators import graph, relate
+from assay.functions import names
+from assay.operators import copies, graph, relate
+from pyspark.sql import functions as F
 
 
 def test_best_match_of_token_arrays_with_many_copies(spark):
@@ -50,3 +52,22 @@ def test_two_step_ways_meet_only_those_that_have_one(spark):
     got = graph.through_others(spark.createDataFrame(sorted(edges), "src int, dst int"))
     assert {tuple(r) for r in got.collect()} == {(a, b) for a, b in edges if any(b in ahead.get(o, ()) for o in out[a] if o != b)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 3
+
+
+def test_prints_made_in_the_row_are_those_of_windows(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(["if", "x", "(", "7", "'s'", "+"], k=n))) for i, n in enumerate([0, 3, 4, 7, 8, 9, 40, 90])] + [(20, None)]
+    df = spark.createDataFrame(docs, "k int, text string")
+    for digest in (F.crc32, F.md5):
+        want = {tuple(r) for r in copies.winnow(copies.token_rows(df, "k", "text"), "k", 4, 3, digest).collect()}
+        got = df.select("k", copies.row_prints(names.words(F.lower("text")), 4, 3, digest).alias("prints"))
+        assert {(r.k, p) for r in got.collect() for p in r.prints or []} == want
+    prints = df.select("k", copies.row_prints(names.words(F.lower("text")), 4, 3).alias("prints"))
+    lib = prints.where("k IN (5, 6)")
+    plain = lambda t: t.select("k", F.explode("prints").alias("print"))
+    pairs = copies.row_containment(prints, lib.withColumnRenamed("k", "l"), "k", "l")
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in copies.containment(plain(prints), plain(lib).withColumnRenamed("k", "l"), "k", "l").collect()}
+    assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    share = {r.k: r.containment for r in copies.row_library_containment(prints, lib, "k").collect()}
+    whole = {r.k: r.containment for r in copies.library_containment(plain(prints), plain(lib), "k").collect()}
+    assert share == {k: whole.get(k, 0.0) for k, _ in docs}
