@@ -3,7 +3,7 @@
 import random
 
 from assay.functions import names
-from assay.operators import copies, graph, relate
+from assay.operators import census, copies, graph, modules, relate
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,19 @@ def test_prints_made_in_the_row_are_those_of_windows(spark):
     share = {r.k: r.containment for r in copies.row_library_containment(prints, lib, "k").collect()}
     whole = {r.k: r.containment for r in copies.library_containment(plain(prints), plain(lib), "k").collect()}
     assert share == {k: whole.get(k, 0.0) for k, _ in docs}
+
+
+def test_copied_files_are_parsed_once(spark, monkeypatch):
+    kept, to_all = [], modules.to_all
+
+    def counted(df, *more):
+        out = to_all(df, *more)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(modules, "to_all", counted)
+    rows = [(r, f"p/m{i}.py", "import os, dep.sub as d\nfrom . import m1; d.run(d.x); d.run(d.x)\n") for r in range(30) for i in (1, 2)] + [(r, "p/__init__.py", "") for r in range(30)]
+    edges, packages, _ = modules.module_graph(spark.createDataFrame(rows, "repo int, path string, text string"))
+    assert kept[0] == 7
+    assert {tuple(r) for r in edges.collect()} == {(r, f"p/m{i}.py", d) for r in range(30) for i in (1, 2) for d in ("p/__init__.py", "p/m1.py") if d != f"p/m{i}.py"}
+    assert {tuple(r) for r in packages.collect()} == {(r, f"p/m{i}.py", "dep", 1, 4) for r in range(30) for i in (1, 2)}
