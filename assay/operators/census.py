@@ -107,7 +107,8 @@ def mention_join(variants: DataFrame, files: DataFrame, key: str, variant: str,
     first = lambda c: F.regexp_extract(F.lower(c), "[a-z0-9]+", 0)
     words = files.select(path, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     met = variants.select(key, variant, first(variant).alias("w")).distinct().join(words, "w")
-    inside = met.join(files.select(path, clean(text).alias("clean")), path)
+    # only files that were met are cleaned, which costs far more than finding words
+    inside = met.join(files.select(path, text), path).withColumn("clean", clean(text))
     alone = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(F.lower(variant), r"([^a-z0-9])", r"\\$1"), F.lit("(?![a-z0-9])"))
     return inside.where(F.regexp_like("clean", alone)).select(key, path).distinct()
 

@@ -87,3 +87,11 @@ def test_copied_files_are_parsed_once(spark, monkeypatch):
     assert kept[0] == 7
     assert {tuple(r) for r in edges.collect()} == {(r, f"p/m{i}.py", d) for r in range(30) for i in (1, 2) for d in ("p/__init__.py", "p/m1.py") if d != f"p/m{i}.py"}
     assert {tuple(r) for r in packages.collect()} == {(r, f"p/m{i}.py", "dep", 1, 4) for r in range(30) for i in (1, 2)}
+
+
+def test_only_files_that_were_met_are_cleaned(spark):
+    files = spark.createDataFrame([(1, "see CC, by-x"), (2, "cc  by."), (3, None), (4, "acc by"), (5, "none")], "p int, t string")
+    found = census.mention_join(spark.createDataFrame([("l", "cc by")], "k string, v string"), files, "k", "v", "p", "t")
+    assert {tuple(r) for r in found.collect()} == {("l", 1), ("l", 2)}
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n", 1)[1]
+    assert "[^a-z0-9_-]+" not in below
