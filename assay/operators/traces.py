@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.code import root_name, tail_name
+from .graph import to_all
 
 #: The classes of a recorded value from best to worst.
 CLASSES = ("exact", "array", "hashed", "structural", "opaque", "truncated")
@@ -122,13 +123,14 @@ def external_roots(edges: DataFrame, internal: DataFrame, caller: str, callee: s
 
 def module_edges(imports: DataFrame, modules: DataFrame, path: str, imported: str, module: str) -> DataFrame:
     """(src, dst): files of imports(path, imported) to the file of modules(path, module) with the longest module name that is
-    the imported name or a dotted beginning of it. Beginnings are made and met by an equi-join."""
+    the imported name or a dotted beginning of it. Each different name is looked up once, by an equi-join of its beginnings, so
+    a module that everyone imports stands for few rows there."""
     parts = F.split(imported, r"\.")
     starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
-    tried = imports.select(F.col(path).alias("src"), imported, F.explode(starts).alias(module))
-    hit = tried.join(modules.select(module, F.col(path).alias("dst")), module)
-    best = hit.groupBy("src", imported).agg(F.max_by("dst", F.struct(F.length(module), "dst")).alias("dst"))
-    return best.where("src <> dst").select("src", "dst").distinct()
+    tried = imports.select(imported).distinct().select(imported, F.explode(starts).alias(module))
+    hit = tried.join(to_all(modules.select(module, F.col(path).alias("dst"))), module)
+    best = to_all(hit.groupBy(imported).agg(F.max_by("dst", F.struct(F.length(module), "dst")).alias("dst")))
+    return imports.select(F.col(path).alias("src"), imported).join(best, imported).where("src <> dst").select("src", "dst").distinct()
 
 
 def footprint(imports: DataFrame, aliases: DataFrame, tests: Column, path: str, imported: str, dep: str, alias: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 from assay.functions import names
-from assay.operators import census, copies, graph, modules, relate
+from assay.operators import census, copies, graph, modules, relate, traces
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,19 @@ def test_only_files_that_were_met_are_cleaned(spark):
     assert {tuple(r) for r in found.collect()} == {("l", 1), ("l", 2)}
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n", 1)[1]
     assert "[^a-z0-9_-]+" not in below
+
+
+def test_each_imported_name_is_looked_up_once(spark, monkeypatch):
+    kept, to_all = [], traces.to_all
+
+    def counted(df):
+        out = to_all(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(traces, "to_all", counted)
+    imports = [(f"{i}.py", n) for i in range(50) for n in ("p.sub.x", "p.y", "os", "p")] + [("p/__init__.py", "p.y")]
+    known = [("p/__init__.py", "p"), ("p/sub.py", "p.sub")]
+    got = traces.module_edges(spark.createDataFrame(imports, "path string, imported string"), spark.createDataFrame(known, "path string, module string"), "path", "imported", "module")
+    assert sorted(map(tuple, got.collect())) == sorted((f"{i}.py", p) for i in range(50) for p, _ in known)
+    assert kept == [2, 3]
