@@ -95,10 +95,13 @@ def elided_digest(patches: DataFrame, key: str, text: str, injected: list[str])
 
 def matched_line_ends(patches: DataFrame, key: str, text: str, crlf_paths: DataFrame) -> DataFrame:
     """(key, text): hunk lines of files in crlf_paths(key, path) end in CR LF, other lines as they are."""
-    marked = diff_lines(patches, key, text).withColumn("path", path_of()).join(crlf_paths.select(key, "path").distinct().withColumn("crlf", F.lit(True)), [key, "path"], "left")
-    line = F.when(F.col("crlf") & F.col("body"), F.concat(F.rtrim("line", F.lit("\r")), F.lit("\r"))).otherwise(F.col("line"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", line.alias("t"))))  # one patch
-    return marked.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
+    # a patch comes together where its lines already are, and only then meets its paths: lines are shuffled once
+    line = F.struct("line_no", "line", F.when(F.col("body"), path_of()).alias("path"))
+    whole = diff_lines(patches, key, text).groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # one patch
+    paths = crlf_paths.where(F.col("path").isNotNull()).groupBy(key).agg(F.collect_set("path").alias("crlf"))
+    ends = lambda x, crlf: F.when(F.array_contains(crlf, x["path"]), F.concat(F.rtrim(x["line"], F.lit("\r")), F.lit("\r"))).otherwise(x["line"])
+    both = whole.join(paths, key, "left").select(key, "lines", F.coalesce("crlf", F.expr("cast(array() AS array<string>)")).alias("crlf"))
+    return both.select(key, F.array_join(F.transform("lines", lambda x: ends(x, F.col("crlf"))), "\n").alias("text"))
 
 
 def marker_audit(docs: DataFrame, group: Column, text: str, required: list[str], forbidden: list[str]) -> DataFrame:

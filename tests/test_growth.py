@@ -3,7 +3,7 @@
 import random
 
 from assay.functions import names
-from assay.operators import census, copies, graph, modules, relate, traces
+from assay.operators import census, copies, graph, modules, relate, text, traces
 from pyspark.sql import functions as F
 
 
@@ -111,3 +111,14 @@ def test_each_imported_name_is_looked_up_once(spark, monkeypatch):
     got = traces.module_edges(spark.createDataFrame(imports, "path string, imported string"), spark.createDataFrame(known, "path string, module string"), "path", "imported", "module")
     assert sorted(map(tuple, got.collect())) == sorted((f"{i}.py", p) for i in range(50) for p, _ in known)
     assert kept == [2, 3]
+
+
+def test_lines_of_patches_meet_no_paths(spark):
+    patch = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-a\n+b\r\n c\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-a\n+b\n"
+    df = spark.createDataFrame([(1, patch), (2, patch), (3, None), (4, "")], "id int, patch string")
+    crlf = spark.createDataFrame([(1, "x.py"), (1, "x.py"), (1, None), (2, "y.py"), (9, "x.py")], "id int, path string")
+    got = text.matched_line_ends(df, "id", "patch", crlf)
+    want = {1: patch.rstrip("\n").replace("\r", "").replace("-a\n+b\n c", "-a\r\n+b\r\n c\r"), 2: patch.rstrip("\n").replace("\r", "").replace("-a\n+b", "-a\r\n+b\r").replace("-a\r\n+b\r\n c", "-a\n+b\n c")}
+    assert {r.id: r.text for r in got.collect() if r.id < 3} == want
+    joined = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joined and not any("path" in x or "new" in x for x in joined)
