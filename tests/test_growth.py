@@ -1,9 +1,10 @@
 """Steps that must not grow faster than their input: same results as brute force, and bounds on what is moved."""
 
 import random
+import re
 
 from assay.functions import names
-from assay.operators import census, copies, graph, modules, relate, text, traces
+from assay.operators import census, copies, gates, graph, modules, relate, text, traces
 from pyspark.sql import functions as F
 
 
@@ -122,3 +123,29 @@ def test_lines_of_patches_meet_no_paths(spark):
     assert {r.id: r.text for r in got.collect() if r.id < 3} == want
     joined = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert joined and not any("path" in x or "new" in x for x in joined)
+
+
+def test_closure_report_follows_a_name_once_in_tasks_of_bounded_rows(spark, monkeypatch):
+    kept, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(graph, "PER_TASK", 100)
+    links = [(f"p{i}", f"p{i + 10}") for i in range(30)] + [("p0", "p1")]
+    after = {f"p{i}": {f"p{j}" for j in range(i, i + 31, 10)} for i in range(10)}
+    after["p0"] |= {"p1", "p11", "p21"}
+    rows = [(k, side, f"p{i}") for k in range(60) for side in ("before", "after") for i in range(10) if side == "before" or (i + k) % 10]
+    subs = spark.createDataFrame([(k, f"p{k % 10}", True, True, True) for k in range(60)], "k int, t string, edited boolean, applied boolean, gold boolean")
+    got = gates.closure_report(subs, "k", "t", spark.createDataFrame(rows, "k int, side string, name string"), None, spark.createDataFrame(links, "src string, dst string"))
+    want = {}
+    for k in range(60):
+        sides = {s: set().union(*(after[n] for key, side, n in rows if (key, side) == (k, s))) for s in ("before", "after")}
+        want[k] = (sorted(sides["after"] - sides["before"]), sorted(sides["before"] - sides["after"] - {f"p{k % 10}"}), len(sides["before"]), len(sides["after"]))
+    assert {r.k: (r.added, r.removed, r.n_before, r.n_after) for r in got.collect()} == want
+    assert sum(kept) < 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any(int(n) > 30 for n in re.findall(r"RepartitionByExpression \[k#\d+\], (\d+)", plan))
