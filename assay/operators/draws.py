@@ -16,6 +16,7 @@ footprints the smallest stays. An empty pool gives an empty draw.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable
 
@@ -23,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, parts
 
 
 def _pool(pool: DataFrame, stratum: str, repo: str, dep: str, footprint: Column, band: Column) -> DataFrame:
     named = pool.select(F.col(stratum).alias("s"), F.col(repo).alias("r"), F.col(dep).alias("d"), footprint.alias("f"), band.alias("b"))
-    return named.where("s IS NOT NULL AND r IS NOT NULL AND d IS NOT NULL").groupBy("s", "r", "d").agg(F.min(F.struct("f", "b")).alias("x")).select("s", "r", "d", "x.f", "x.b")
+    named = named.where("s IS NOT NULL AND r IS NOT NULL AND d IS NOT NULL")
+    dealt = named.repartition(parts(named.sparkSession, named.count()), "r", "d")
+    return cut(dealt.groupBy("s", "r", "d").agg(F.min(F.struct("f", "b")).alias("x")).select("s", "r", "d", "x.f", "x.b"))
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
@@ -37,9 +40,17 @@ def _first(rows: DataFrame, keys: list[str], order: list[str], most: int) -> Dat
 
 
 def _candidates(rows: DataFrame, n: int) -> DataFrame:
-    by_dep = _first(rows, ["s", "b", "d"], ["r"], n + 1)
-    by_repo = _first(by_dep, ["s", "b", "r"], ["d"], n + 1)
-    return _first(by_repo, ["s", "b"], ["r", "d"], 4 * n * (n + 1) + 1)
+    """Rule C goes bucket by bucket, eight into one, so no task sees more than eight buckets' firsts of a stratum and band."""
+    buckets, most = parts(rows.sparkSession, rows.count()), 4 * n * (n + 1) + 1
+    by_dep = _first(rows.repartition(buckets, "s", "b", "d"), ["s", "b", "d"], ["r"], n + 1)
+    dealt = by_dep.withColumn("bucket", F.pmod(F.xxhash64("r"), F.lit(buckets))).repartition(buckets, "bucket")
+    by_repo = _first(dealt, ["s", "b", "r", "bucket"], ["d"], n + 1)
+    first = _first(by_repo, ["s", "b", "bucket"], ["r", "d"], most)
+    while buckets > 1:
+        buckets = math.ceil(buckets / 8)
+        first = first.withColumn("bucket", F.col("bucket") % buckets).repartition(32 * buckets, "s", "b", "bucket")
+        first = _first(first, ["s", "b", "bucket"], ["r", "d"], most)
+    return first.drop("bucket")
 
 
 def _quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
@@ -106,7 +117,7 @@ def stratified_draw(pool: DataFrame, stratum: str, repo: str, dep: str, footprin
     then by name. What caps leave open is filled from the whole pool: those pairs in order of how often repository and
     dependency had been drawn, then how far the footprint is from the pool's median, then by name, within the caps. A null
     footprint is a band of its own and farthest from the median."""
-    rows = cut(_pool(pool, stratum, repo, dep, F.col(footprint).cast("long"), F.coalesce(band(F.col(footprint)).cast("string"), F.lit(""))))
+    rows = _pool(pool, stratum, repo, dep, F.col(footprint).cast("long"), F.coalesce(band(F.col(footprint)).cast("string"), F.lit("")))
     drawn = cut(_drawn(rows, lambda sizes: _quotas(sizes, n), per_repo, per_dep, n))
     taken = drawn.count()
     filled = drawn.limit(0)
@@ -118,8 +129,9 @@ def stratified_draw(pool: DataFrame, stratum: str, repo: str, dep: str, footprin
         rest = rest.withColumn("off", F.coalesce(F.abs(F.col("f") - F.lit(middle)), F.lit(float("inf"))))
         order = ["nr", "nd", "off", "r", "d", "s"]
         # of a repository's pairs at most n fail for their dependency's cap, so the ones behind come too late; and so on
-        rest = _first(rest.where((F.col("nr") < per_repo) & (F.col("nd") < per_dep)), ["r"], order, n + per_repo)
-        rest = _first(rest, ["d"], order, n + per_dep)
+        tasks = parts(rows.sparkSession, rows.count())
+        rest = _first(rest.where((F.col("nr") < per_repo) & (F.col("nd") < per_dep)).repartition(tasks, "r"), ["r"], order, n + per_repo)
+        rest = _first(rest.repartition(tasks, "d"), ["d"], order, n + per_dep)
         near = rest.orderBy(*order).limit(n * (2 * n + per_repo + per_dep) + n).withColumn("one", F.lit(1))
 
         def fill(t: pd.DataFrame) -> pd.DataFrame:

@@ -232,3 +232,21 @@ def test_totals_and_units_of_empty_tables(spark):
     rows = spark.createDataFrame([(1, "f", True), (1, "f", False), (1, "g", None), (2, "f", False), (2, "g", None)], "i int, f string, v boolean")
     assert {r.unit: tuple(r)[1:5] for r in reports.outcome_units(rows, "i", "f", F.col("v"), ~F.col("v")).collect()} == {"function": (4, 1, 1, 2), "item": (2, 1, 1, 0)}
     assert tuple(reports.mutation_totals(rows, "i", F.col("v")).first())[:4] == (2, 1, 5, 1)
+
+
+def test_draw_in_tasks_of_bounded_rows(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(graph, "PER_TASK", 30)
+    rng = random.Random(4)
+    pool = [("x" if rng.random() < 0.9 else "y", f"r{rng.randrange(300):03d}", f"d{i:03d}", rng.choice([0, 1, 9, None])) for i in range(600)]
+    assert draw(spark, pool, 4, 1, 1) == plain_draw(pool, 4, 1, 1, bands)
+    rows = spark.createDataFrame([(*p, bands(p[3])) for p in pool], "s string, r string, d string, f long, b string")
+    first = draws._candidates(rows, 1)
+    want = {}
+    for p in sorted(pool, key=lambda p: (p[1], p[2])):
+        mine = want.setdefault((p[0], bands(p[3])), [])
+        if sum(m[1] == p[1] for m in mine) < 2 and len(mine) < 9:
+            mine.append(p)
+    assert {tuple(r)[:4] for r in first.select("s", "r", "d", "f").collect()} == {p for rows in want.values() for p in rows}
+    assert ", 20\n" in first._jdf.queryExecution().optimizedPlan().toString()
