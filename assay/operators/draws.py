@@ -43,7 +43,7 @@ def _candidates(rows: DataFrame, n: int) -> DataFrame:
     """Rule C goes bucket by bucket, eight into one, so no task sees more than eight buckets' firsts of a stratum and band."""
     buckets, most = parts(rows.sparkSession, rows.count()), 4 * n * (n + 1) + 1
     by_dep = _first(rows.repartition(buckets, "s", "b", "d"), ["s", "b", "d"], ["r"], n + 1)
-    dealt = by_dep.withColumn("bucket", F.pmod(F.xxhash64("r"), F.lit(buckets))).repartition(buckets, "bucket")
+    dealt = by_dep.withColumn("bucket", F.pmod(F.xxhash64("r"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
     by_repo = _first(dealt, ["s", "b", "r", "bucket"], ["d"], n + 1)
     first = _first(by_repo, ["s", "b", "bucket"], ["r", "d"], most)
     while buckets > 1:
