@@ -5,9 +5,11 @@ words whose hash, with the word before, meets a condition. A place thus depends
 paragraph's digest is a 64-bit number that also holds its length (15 bits, or 31 for the few that need them), so what
 peeling recovers also tells how much text differs. A sketch has 3 x 8 cells of
 (count, xor of digests, xor of their hashes). Two sketches are subtracted cell by cell and peeled: a cell with one digest
-gives it up, which empties others. Where peeling gets stuck, the pair's digests are dealt into sketches of some DEALT digests each, at most
-MOST of them, with another seed, and those of each sketch that fails are dealt again, until all of them peel. All of that
-happens inside the row, so that only texts are shuffled, once.
+gives it up, which empties others. Where peeling gets stuck, the pair's digests are dealt, by ranges of their hash, into small
+sketches of DEALT digests each, and those of the sketches that fail are dealt again with another hash, until all of them
+peel. All of that happens inside the row, so that only texts are shuffled, once. Work grows with the digests: Spark
+interprets functions of arrays and copies what transform() and aggregate() give deeply, so cells and digests are plain numbers
+where they are many.
 
 The likeness of two fingerprints is the length of shared paragraphs over that of all different ones; 1 for two empty
 texts. It depends on the sets only, not on how often peeling was retried.
@@ -39,32 +41,37 @@ UNIT = rf"[!-~]{{1,64}}+(?!{_LETTER})\s*+|{_LETTER}{{1,64}}+(?!{_LETTER})\s*+|\S
 HEAD = r"(?s)\A(.*(?:\n|[.!?…][ \t]+|[。！？]))(?=\S)"
 SIDE = 8
 WAYS = 3
-DEALT = 9
-MOST = 16
-MAX_LEVELS = 12
+#: Sets whose sketch doesn't peel are dealt into sketches of DEALT digests and WAYS x DEALT_SIDE cells.
+DEALT = 4
+DEALT_SIDE = 4
+MAX_LEVELS = 24
 
 
 def let(name: str, value: str, body: str) -> str:
-    """SQL: body with name bound to value, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    """SQL: body with name bound to value, which is computed once. The last step of aggregate() copies nothing, transform()
+    would copy what body gives, deeply."""
+    return f"aggregate(array(), {value}, ({name}, _) -> {name}, {name} -> {body})"
+
+
+def _digest(p: str) -> str:
+    """SQL: the digest of a paragraph."""
+    # lengths from 2^15 on are flagged, with their higher bits in bits 16 to 31
+    n = f"cast(length({p}) AS bigint)"
+    return f"if(length({p}) < 32768, (xxhash64({p}) & -65536L) | {n}, (xxhash64({p}) & -4294967296L) | shiftleft(shiftright({n}, 15), 16) | 32768L | ({n} & 32767L))"
 
 
 def _cut_on(p: str) -> str:
-    """SQL: a sentence cut at content-defined places, as an array."""
+    """SQL: the digests of a sentence cut at content-defined places, as an array."""
     at = f"filter(slice(sequence(0, size(u) - 1), 2, greatest(size(u) - 2, 0)), i -> (xxhash64(concat(u[i - 1], u[i])) & {CUT_EVERY - 1}) = 0)"
     last = f"concat(if(size(u) > 1 AND (xxhash64(u[0]) & {CUT_EVERY - 1}) = 0, array(0), slice(array(0), 1, 0)), {at}, array(size(u) - 1))"
-    parts = "transform(last, (z, k) -> array_join(slice(u, if(k = 0, 0, last[k - 1] + 1) + 1, z - if(k = 0, -1, last[k - 1])), ''))"
-    return let("u", f"regexp_extract_all({p}, r'{UNIT}', 0)", let("last", last, parts))
+    part = "array_join(slice(u, if(k = 0, 0, last[k - 1] + 1) + 1, z - if(k = 0, -1, last[k - 1])), '')"
+    return let("u", f"regexp_extract_all({p}, r'{UNIT}', 0)", let("last", last, f"transform(last, (z, k) -> {let('q', part, _digest('q'))})"))
 
 
 def _digests(text: str, longest: int) -> str:
     """SQL: the paragraph digests of a text column in order, with repeats."""
     sentences = f"filter(split({text}, r'{SENTENCE_END}'), p -> p <> '')"
-    pieces = f"flatten(transform({sentences}, p -> if(length(p) > {longest}, {_cut_on('p')}, array(p))))"
-    # lengths from 2^15 on are flagged, with their higher bits in bits 16 to 31
-    n = "cast(length(p) AS bigint)"
-    digest = f"if({n} < 32768L, (xxhash64(p) & -65536L) | {n}, (xxhash64(p) & -4294967296L) | shiftleft(shiftright({n}, 15), 16) | 32768L | ({n} & 32767L))"
-    return f"transform({pieces}, p -> {digest})"
+    return f"flatten(transform({sentences}, p -> if(length(p) > {longest}, {_cut_on('p')}, array({_digest('p')}))))"
 
 
 def digests(text: str, longest: int = 2 * LONG_LINE) -> str:
@@ -90,25 +97,13 @@ def _mask(h: str) -> str:
     return "(" + " | ".join(f"shiftleft(1, cast({w * SIDE} + (shiftright({h}, {3 * w}) & {SIDE - 1}) AS int))" for w in range(WAYS)) + ")"
 
 
-def _placed(signed: str, level: int | str, parts: str = "1") -> str:
-    """SQL: an array of (d, n) with each digest's hash h, its cells c0, c1, c2, and the part j to which it is dealt."""
-    places = ", ".join(f"shiftright(e.h, {3 * w}) & {SIDE - 1}L AS c{w}" for w in range(WAYS))
-    return f"transform(transform({signed}, e -> struct(e.d AS d, e.n AS n, {_hash('e.d', level)} AS h)), e -> struct(e.d AS d, e.n AS n, e.h AS h, {places}, shiftrightunsigned(e.h, {3 * WAYS}) % {parts} AS j))"
-
-
-def _cells(es: str) -> str:
-    """SQL: the cells of placed digests."""
-    cell = "aggregate(filter({}, e -> e.c{} = b), struct(0 AS c, 0L AS k, 0L AS h), (a, e) -> struct(a.c + e.n AS c, a.k ^ e.d AS k, a.h ^ e.h AS h))"
-    return f"concat({', '.join(f'transform(sequence(0L, {SIDE - 1}L), b -> {cell.format(es, w)})' for w in range(WAYS))})"
-
-
-def sketch(signed: str, level: int) -> str:
-    """SQL: the cells of an array of (d, n): digests that count n = 1 or -1 times."""
-    return let("es", _placed(signed, level), _cells("es"))
-
-
-def signed(d: str, n: int = 1) -> str:
-    return f"transform({d}, d -> struct(d, {n} AS n))"
+def sketch(d: str, level: int) -> str:
+    """SQL: the cells of a digest set."""
+    cell = "transform(sequence(0L, {}L), b -> {})"
+    xor = "if(size(in_) = 0, 0L, aggregate(in_, 0L, (a, d) -> a ^ {}))"
+    found = let("in_", "filter(ds, (d, i) -> (shiftright(hs[i], {}) & {}L) = b)", f"struct(size(in_) AS c, {xor.format('d')} AS k, {xor.format(_hash('d', level))} AS h)")
+    cells = f"concat({', '.join(cell.format(SIDE - 1, found.format(3 * w, SIDE - 1)) for w in range(WAYS))})"
+    return let("ds", d, let("hs", f"transform(ds, d -> {_hash('d', level)})", cells))
 
 
 def peel(cells: str, level: int | str, rounds: int = 16) -> str:
@@ -163,7 +158,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LO
     dealt = dealt.repartition("bucket").withColumn("at", F.expr(f"length(regexp_extract({kept}, r'{HEAD}', 1))"))
     dealt = dealt.withColumn("head", F.expr(digests("substring(text, 1, at)", longest)))
     dealt = dealt.withColumn("tail", F.array_except(F.expr(_digests("substring(text, at + 1)", longest)), "head"))
-    dealt = dealt.withColumns({f"{c}_cells": F.expr(sketch(signed(c), 0)) for c in ("head", "tail")})
+    dealt = dealt.withColumns({f"{c}_cells": F.expr(sketch(c, 0)) for c in ("head", "tail")})
     w = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), F.xxhash64("text"))
     following = {"next_text": F.col("text"), "next_d": F.concat("head", "tail"), "next_cells": F.expr(plus("head_cells", "tail_cells"))}
     led = dealt.select("id", "text", "at", "head", "tail", "head_cells", "tail_cells", "guest", *[F.lead(c).over(w).alias(name) for name, c in following.items()])
@@ -173,23 +168,45 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, longest: int = 2 * LO
 def fingerprints(docs: DataFrame, text_col: str = "text", longest: int = 2 * LONG_LINE) -> DataFrame:
     """docs with a column `fingerprint`; without a shuffle."""
     d = digests("coalesce(cast(`{}` AS string), '')".format(text_col), longest)
-    return docs.withColumn("fingerprint", F.expr(let("set_", d, let("cells", sketch(signed("set_"), 0), spell("cells", "set_")))))
+    return docs.withColumn("fingerprint", F.expr(let("set_", d, let("cells", sketch("set_", 0), spell("cells", "set_")))))
+
+
+def _reseeded(d: str, level: str) -> str:
+    """SQL: a digest of the same length with another hash."""
+    return f"if(({d} & 32768L) = 0L, ({_hash(d, level)} & -65536L) | ({d} & 65535L), ({_hash(d, level)} & -4294967296L) | ({d} & 4294967295L))"
+
+
+def _dealt(n: str) -> str:
+    """SQL: sorted digests ds dealt into ranges of DEALT each; a digest that stands there twice, once for each set, falls into
+    one range."""
+    start = lambda i: f"least({n}, {i} + if(get(ds, {i}) = get(ds, {i} - 1), 1, 0))"
+    part = let("i", start(f"{DEALT} * k"), f"slice(ds, i + 1, {start(f'{DEALT} * (k + 1)')} - i)")
+    return f"transform(sequence(0, ({n} - 1) div {DEALT}), k -> {part})"
 
 
-def _deal(x: str, level: str) -> str:
-    """SQL: signed digests x dealt into sketches: an array of (ok, w, es), where w is the length that peeled."""
-    found = let("r", peel(_cells("es"), level), "struct(r.ok AS ok, r.w AS w, es)")
-    each = f"transform(sequence(0L, p - 1L), j -> {let('es', 'filter(placed, e -> e.j = j)', found)})"
-    return let("p", f"least({MOST}L, greatest(2L, ceil(size({x}) / {DEALT})))", let("placed", _placed(x, level, "p"), each))
+def _settle(x: str) -> str:
+    """SQL: the length of those of a few digests x, of both sets together, that only one set has, or -1 if their sketch
+    doesn't peel. Its cells are (xor of digests, xor of their hashes), so a digest of both sets leaves nothing, and a cell
+    whose hash is that of its digest holds one digest alone. Taken from the total of a way, those must leave nothing or one."""
+    # bits that are hash in every digest, far from those that sorting made alike
+    cells = ", ".join(f"transform(sequence(0L, {DEALT_SIDE - 1}L), b -> filter({x}, d -> (shiftright(d, {32 + 2 * w}) & {DEALT_SIDE - 1}L) = b))" for w in range(WAYS))
+    xor = lambda d: f"transform(held, y -> if(size(y) = 0, 0L, if(size(y) = 1, {d.format('y[0]')}, aggregate(y, 0L, (a, d) -> a ^ {d.format('d')}))))"
+    total = lambda c: " ^ ".join(f"{c}[{b}]" for b in range(DEALT_SIDE))
+    pure = "array_distinct(filter(ks, (k, i) -> xxhash64(k) = hs[i]))"
+    w = weight("pure")
+    found = f"if(k = 0L AND h = 0L, {w}, if(xxhash64(k) = h, {w} + {length_of('k')}, -1L))"
+    left = let("k", f"aggregate(pure, {total('ks')}, (a, d) -> a ^ d)", let("h", f"aggregate(pure, {total('hs')}, (a, d) -> a ^ xxhash64(d))", found))
+    return let("held", f"concat({cells})", let("ks", xor("{}"), let("hs", xor("xxhash64({})"), let("pure", pure, left))))
 
 
 def difference(a: str, b: str, first: str) -> str:
     """SQL: the length of the paragraphs in which the digest sets a and b differ; first is what peeling their sketches gave.
-    Sets whose sketch didn't peel are dealt into more of them, level by level."""
-    tried = f"flatten(transform(acc.parts, x -> {_deal('x', 'level')}))"
-    step = let("tried", tried, "struct(transform(filter(tried, t -> NOT t.ok), t -> transform(t.es, e -> struct(e.d AS d, e.n AS n))) AS parts, acc.w + aggregate(filter(tried, t -> t.ok), 0L, (s, t) -> s + t.w) AS w)")
-    done = f"if(size(acc.parts) = 0, acc.w, cast(raise_error('sketches did not peel in {MAX_LEVELS} levels') AS bigint))"
-    again = f"aggregate(sequence(1, {MAX_LEVELS}), struct(array(concat({signed(a)}, {signed(b, -1)})) AS parts, 0L AS w), (acc, level) -> if(size(acc.parts) = 0, acc, {step}), acc -> {done})"
+    Sets whose sketch didn't peel are dealt into more of them, and what doesn't peel there again with another hash."""
+    seeded = f"if(level = 1, acc.left, transform(acc.left, d -> {_reseeded('d', 'level')}))"
+    tried = let("tried", f"transform(parts, x -> {_settle('x')})", "struct(flatten(filter(parts, (x, k) -> tried[k] < 0L)) AS left, acc.w + aggregate(tried, 0L, (s, w) -> s + greatest(w, 0L)) AS w)")
+    step = let("ds", f"sort_array({seeded})", let("parts", _dealt("size(ds)"), tried))
+    done = f"if(size(acc.left) = 0, acc.w, cast(raise_error('sketches did not peel in {MAX_LEVELS} levels') AS bigint))"
+    again = f"aggregate(sequence(1, {MAX_LEVELS}), struct(concat({a}, {b}) AS left, 0L AS w), (acc, level) -> if(size(acc.left) = 0, acc, {step}), acc -> {done})"
     return let("z", first, f"if(z.ok, z.w, {again})")
 
 
@@ -206,7 +223,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the sentences before `at` are those of the text itself, so the two sets share `head`, which subtraction takes away
     own = F.array_except(F.expr(_digests("substring(edited, at + 1)", longest)), "head")
     sets = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "head", "tail", own.alias("own"), "next_d", "head_cells", "tail_cells", "next_cells")
-    cells = sets.withColumns({"own_cells": F.expr(sketch(signed("own"), 0)), "a": F.concat("head", "tail"), "e": F.concat("head", "own")})
+    cells = sets.withColumns({"own_cells": F.expr(sketch("own", 0)), "a": F.concat("head", "tail"), "e": F.concat("head", "own")})
     cells = cells.withColumns({f"{c}_cells": F.expr(plus("head_cells", f"{d}_cells")) for c, d in (("a", "tail"), ("e", "own"))})
     wide = cells.select(
         "id",

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import regex
 from assay.llm.common import xxh64_spans
+from assay.llm import fingerprint
 from assay.llm.fingerprint import CUT_EVERY, LONG_LINE, LONG_PIECE, SENTENCE_END, UNIT, edited_likeness, fingerprints
 
 
@@ -116,3 +117,27 @@ def test_texts_are_shuffled_once_and_retries_stay_in_the_row(spark):
         q = len(text) // 4
         a, e = fine_parts(text), fine_parts(text[: len(text) - q] + other[:q])
         assert abs(r.near_edited - size(a & e) / size(a | e)) < 1e-9
+
+
+def test_stuck_sets_are_dealt_into_small_sketches_and_lose_nothing(spark):
+    rng = random.Random(3)
+
+    def digest():
+        n, h = rng.choice([1, 40, 32_767, 32_768, 70_000]), rng.getrandbits(64)
+        d = (h & ~0xFFFF) | n if n < 1 << 15 else (h & ~0xFFFFFFFF) | (n >> 15 << 16) | (1 << 15) | (n & 0x7FFF)
+        return n, d - (1 << 64) * (d >> 63)
+
+    rows, want = [], {}
+    for i, (own, other, shared) in enumerate([(0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 0, 3), (3, 2, 4), (0, 0, 40), (5, 90, 7), (700, 0, 0), (0, 6, 900), (3000, 2500, 1500)]):
+        a, b, both = ([digest() for _ in range(k)] for k in (own, other, shared))
+        rows.append((i, [d for _, d in a + both], [d for _, d in both + b]))
+        want[i] = sum(n for n, _ in a + b)
+    sets = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    stuck = fingerprint.difference("a", "b", "struct(false AS ok, 0L AS w)")
+    assert {r.i: r.w for r in sets.selectExpr("i", f"{stuck} AS w").collect()} == want
+    dealt = fingerprint.let("ds", "sort_array(concat(a, b))", fingerprint._dealt("size(ds)"))
+    for r, (_, a, b) in zip(sets.where("size(a) + size(b) > 0").orderBy("i").selectExpr("i", f"{dealt} AS parts").collect(), rows[1:], strict=True):
+        assert sorted(d for p in r.parts for d in p) == sorted(a + b)
+        assert max(map(len, r.parts)) <= fingerprint.DEALT + 1
+        where = [{k for k, p in enumerate(r.parts) if d in p} for d in set(a) & set(b)]
+        assert all(len(w) == 1 for w in where)
