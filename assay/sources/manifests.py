@@ -22,6 +22,8 @@ from .declarations import declared
 
 Found = list[tuple[str, str]]
 _requirement = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*([^;#]*)")
+# an element of an XML file that names a dependency; a comment is matched whole, so that what stands in it stays
+_reference = re.compile(r"""(?s)<!--.*?-->|<(Package|Project)Reference\b(?:[^>"']|"[^"]*"|'[^']*')*?(?:/>|>.*?</\1Reference\s*>)""")
 
 
 def _one(line: str) -> Found:
@@ -115,8 +117,10 @@ def _without(path: str, text: str | None, name: str) -> str | None:
         return None
     rest = sorted(_key(n) for n, _ in before if _key(n) != _key(name))
     lines = text.splitlines(keepends=True)
-    loose = re.escape(name).replace(r"\-", "[-_.]").replace("_", "[-_.]").replace(r"\.", "[-_.]")
+    loose = "[-_.]".join(map(re.escape, re.split("[-_.]", name)))
     tries = ["".join(lines[:i] + lines[i + 1 :]) for i, line in enumerate(lines) if re.search(rf"(?i)(?<![\w.-]){loose}(?![\w-])", line)]
+    if path.endswith(".csproj"):  # first, since a line of it may be the attribute alone
+        tries.insert(0, _reference.sub(lambda m: "" if _key(name) in {_key(n) for n, _ in _declared("x.csproj", m[0]) or ()} else m[0], text))
     item = rf"""(["']){loose}(?![\w-])[^"'\n]*\1(?:\s*:\s*"[^"\n]*")?"""
     tries += [re.sub(rx, "", text, count=1, flags=re.I) for rx in (rf"{item}\s*,\s*", rf",\s*{item}", item)]
     return next((t for t in tries if (after := _declared(path, t)) is not None and sorted(_key(n) for n, _ in after) == rest), None)

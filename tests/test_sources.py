@@ -1,3 +1,4 @@
+from assay.plans import trees
 from assay.sources import declarations, files, manifests
 from assay.streaming import ingest
 from pyspark.sql import functions as F
@@ -76,3 +77,26 @@ def test_formats_and_sections(spark):
     assert [r.f for r in df.select(declarations.file_format(F.col("p")).alias("f")).collect()] == ["cargo", "requirements", None, "csproj", None, None]
     one = spark.createDataFrame([("top = 1\n[a]\nx = 1\n[[b]]\n[ c ]\n",)], "t string").select(declarations.sections(F.col("t")).alias("s")).first()
     assert [(s.header, s.body) for s in one.s] == [("a", "\nx = 1\n[[b]]\n"), ("c", "\n")]
+
+
+def test_removals_from_manifests_of_all_formats(spark):
+    rows = [
+        ("a/x.csproj", '<Project xmlns="u"><!-- <PackageReference Include="A.B" /> --><ItemGroup><PackageReference Include="A.B" Version="1" /><PackageReference Update=\'C\'>\n<Version>2</Version></PackageReference><ProjectReference Include="../A.B.csproj" /></ItemGroup></Project>', "a_b"),
+        ("b/x.csproj", '<Project><PackageReference Include="a>b" /><PackageReference\n Update="C"\n>\n<Version>2</Version>\n</PackageReference></Project>', "c"),
+        ("c/x.csproj", '<Project><PackageReference Include="A" /></Project>', "b"),
+        ("d/package.json", '{"dependencies": {"left-pad": "1", "b": "2"}}', "left-pad"),
+        ("e/requirements.txt", "left_pad\nleft-pad-more\n", "left-pad"),
+        ("f/Cargo.toml", '[dependencies]\nleft-pad = "1"\nb = "2"\n', "left-pad"),
+    ]
+    got = {r.path[0]: r.text for r in manifests.without(spark.createDataFrame(rows, "path string, text string, gone string"), "gone").collect()}
+    assert got == {
+        "a": rows[0][1].replace('<PackageReference Include="A.B" Version="1" />', ""), "b": '<Project><PackageReference Include="a>b" /></Project>', "c": None,
+        "d": '{"dependencies": {"b": "2"}}', "e": "left-pad-more\n", "f": '[dependencies]\nb = "2"\n',
+    }
+
+
+def test_removals_cover_all_customers(spark):
+    data = "/root/testdata/sf0.001"
+    repos = {f"r{r.c_custkey}" for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
+    got = {r.path.split("/")[0] for r in trees.dependencies_after_removal(spark, data).collect()}
+    assert got == repos
