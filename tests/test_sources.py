@@ -100,3 +100,11 @@ def test_removals_cover_all_customers(spark):
     repos = {f"r{r.c_custkey}" for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
     got = {r.path.split("/")[0] for r in trees.dependencies_after_removal(spark, data).collect()}
     assert got == repos
+
+
+def test_requirement_files_of_all_customers(spark):
+    data = "/root/testdata/sf0.001"
+    repos = {r.c_custkey for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
+    got = {r.path: r.text for r in trees.rewritten_requirements(spark, data).collect()}
+    assert {int(p.split("/")[0][1:]) for p in got} == repos
+    assert all(t.startswith("../x.csproj\nLib.") for p, t in got.items() if p.endswith(".csproj"))
