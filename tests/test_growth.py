@@ -55,6 +55,29 @@ def test_two_step_ways_meet_only_those_that_have_one(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 3
 
 
+def test_two_step_ways_go_in_passes_that_leave_no_shuffle_files(spark, monkeypatch):
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    rng = random.Random(4)
+    edges = sorted({(rng.randint(1, 60), rng.randint(1, 90)) for _ in range(2000)}) + [(1, 7), (1, None), (None, 7), (70, 71), (71, 71)]
+    out = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            out.setdefault(a, set()).add(b)
+    ahead = {a: set(to).union(*(out.get(x, ()) for x in to)) for a, to in out.items()}
+    want = sorted((a, b) for a, to in out.items() for b in to if any(b in ahead.get(o, ()) for o in to if o != b))
+    df = spark.createDataFrame(edges, "src int, dst int")
+    for few, most in ((1_000_000, 1), (5, 1), (5, 10**9)):
+        monkeypatch.setattr(graph, "FEW", few)
+        monkeypatch.setattr(graph, "PAIRS", most)
+        before = files()
+        got = graph.through_others(df)
+        assert files() == before
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan if most > 1 else "Join" not in plan and plan.count("LogicalRDD") > 3
+        assert sorted(map(tuple, got.collect())) == want
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_prints_made_in_the_row_are_those_of_windows(spark):
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choices(["if", "x", "(", "7", "'s'", "+"], k=n))) for i, n in enumerate([0, 3, 4, 7, 8, 9, 40, 90])] + [(20, None)]
