@@ -51,7 +51,7 @@ def test_best_match_goes_in_passes_that_leave_no_shuffle_files(spark, monkeypatc
     joined = lambda rows: {k: set().union(*(ws for j, ws in rows if j == k)) for k, _ in rows}
     want = {a: min(((-len(x & y) / len(x | y), b) for b, y in joined(right).items() if len(x & y) >= 0.4 * len(x | y)), default=None) for a, x in joined(left).items()}
     dfs = spark.createDataFrame(left, "a int, w array<string>"), spark.createDataFrame(right, "b int, w array<string>")
-    monkeypatch.setattr(relate, "MEETINGS", 1)
+    monkeypatch.setattr(relate, "STARTS", 500)
     for vocabulary, known in ((1_000_000, 1 << 20), (10, 4), (0, 4)):
         monkeypatch.setattr(relate, "VOCABULARY", vocabulary)
         monkeypatch.setattr(relate, "KNOWN", known)
